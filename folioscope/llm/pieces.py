@@ -56,6 +56,7 @@ class Pieces:
             raise ValueError("user-defined and unused pieces, and pieces over several words, are not served")
         self.byte_id = {int(n[1:-1], 16): i for i, (n, k) in enumerate(zip(names, kinds)) if k == 6}
         self.text = [b"" if k == 3 else bytes([int(n[1:-1], 16)]) if k == 6 else n.replace(MARK, " ").encode() for n, k in zip(names, kinds)]
+        self.digits = [b"%d" % i for i in range(len(names))]
         self.text[names.index("<unk>")] = " ⁇ ".encode()
 
         symbol = {n: i for i, (n, k) in enumerate(zip(names, kinds)) if k == 1}
@@ -192,7 +193,7 @@ class Pieces:
 
     def _ids(self, symbols: list[int]) -> list[int]:
         """Byte pieces for what the vocabulary lacks."""
-        if all(0 <= s < self.known for s in symbols):
+        if not symbols or (min(symbols) >= 0 and max(symbols) < self.known):
             return symbols
         out: list[int] = []
         for s in symbols:
@@ -213,7 +214,7 @@ class Pieces:
             some = words[k : k + ROUND_WORDS]
             for w, symbols in zip(some, self.merge([w.replace(" ", MARK) for w in some])):
                 ids = self._ids(symbols)
-                out[w] = (",".join(map(str, ids)).encode(), len(ids), self.decode_bytes(ids))
+                out[w] = (b",".join([self.digits[i] for i in ids]), len(ids), self.decode_bytes(ids))
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
