@@ -105,22 +105,23 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         raise ValueError(f"three segments serve up to {MAX_BITS} differing bits")
     stash = Stash(fps.sparkSession, "simhash")
     index = fps.select("fp", F.explode(_variants("fp")).alias("key"))
-    hubs = index.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub <> top").select("key", "hub")
-    shared = stash.put(index.join(hubs, "key"), "shared")
-
-    star = shared.where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
+    hubs = index.groupBy("key").agg(F.min("fp").alias("hub"))
+    star = index.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
     first = stash.put(connected_components(star), "first")
 
     of_fp = first.select(F.col("node").alias("fp"), F.col("component").alias("own"))
-    of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    owned = fps.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"))
+    index = owned.select("fp", "own", F.explode(_variants("fp")).alias("key"))
+    mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.count("*").alias("n"))
+    # every row of the index is placed, also those alone under their key: what is written grows with the input only
     placed = stash.put(
-        shared.join(of_fp, "fp", "left")
-        .join(of_hub, "hub", "left")
-        .select("key", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("main", "hub").alias("main")),
+        index.join(mains, "key").select("key", "fp", F.nullif("own", "fp").alias("own"), F.nullif("main", "own").alias("main"), (F.col("n") > 1).alias("shared")),
         "placed",
     )
-    strays = placed.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
-    rest = placed.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
+    own = F.coalesce("own", "fp")
+    rows = placed.where("shared").select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
+    strays = rows.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
+    rest = rows.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
     pairs = strays.join(
         rest,
         (F.col("key") == F.col("key_b"))
@@ -130,7 +131,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         & (F.shiftrightunsigned("key", 22) == _first_shared_key("fp_a", "fp_b")),
     )
     second = stash.put(connected_components(pairs.select("own_a", "own_b")), "second")
-    stash.drop(shared)
+    stash.drop(placed)
 
     singles = second.join(first.select("node"), "node", "left_anti")
     own = first.unionByName(singles.select("node", F.col("node").alias("component")))
