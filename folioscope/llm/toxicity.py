@@ -35,13 +35,14 @@ from folioscope.llm.language import sample
 from folioscope.llm.util import is_held_out
 
 #: Labelled documents learned from at most for each label, and windows of each of them.
-SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 700, 10
+SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1000, 8
 STEPS, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 14, 8
 GRAM_ROWS, GRAM_SIZE = 1 << 15, 16
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 5, 256, 0.05
+TABLES, TABLE_RATE = ("word", "gram"), 4
 #: Windows scored at once in a task, and distinct words kept.
 GROUP = 8192
 LEXICON_WORDS = 200_000
@@ -109,7 +110,8 @@ def fresh(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     size = WORD_SIZE + GRAM_SIZE
     draw = lambda *shape, by: rng.normal(scale=by, size=shape).astype(np.float32)
-    net = {"word": draw(WORD_ROWS, WORD_SIZE, by=0.1), "gram": draw(GRAM_ROWS, GRAM_SIZE, by=0.3)}
+    # zero: what training has not met says nothing
+    net = {"word": np.zeros((WORD_ROWS, WORD_SIZE), np.float32), "gram": np.zeros((GRAM_ROWS, GRAM_SIZE), np.float32)}
     for side in ("f", "b"):
         net[f"in_{side}"] = draw(size, 3 * HIDDEN, by=size**-0.5)
         net[f"re_{side}"] = draw(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5)
@@ -310,7 +312,12 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     if labels.all():
         return Model(None, constant=1.0)
     rng = np.random.default_rng(seed)
-    texts = [t for t, _ in examples]
+    # every fourth example of a label shows how the network does on documents that it has not met
+    aside = np.zeros(len(labels), bool)
+    for y in (0, 1):
+        aside[np.flatnonzero(labels == y)[3::4]] = True
+    checks, check_labels = [t for (t, _), a in zip(examples, aside) if a], labels[aside]
+    texts, labels = [t for (t, _), a in zip(examples, aside) if not a], labels[~aside]
     number: dict[bytes, int] = {}
     ids, ends = _number(texts, number)
     distinct = list(number)
@@ -318,7 +325,7 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     target = labels[owner]
     use = _first_of_each(owner, rng.random(len(owner)))
     net = fresh(seed)
-    moved = {k: np.zeros_like(v) for k, v in net.items()}
+    moved = {k: np.float32(0) if k in TABLES else np.zeros_like(v) for k, v in net.items()}
     total = EPOCHS * -(-len(owner) // BATCH)
     step = 0
     for epoch in range(EPOCHS):
@@ -341,9 +348,14 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
             rate = RATE * (1 - 0.8 * step / total)
             step += 1
             for name, g in grads.items():
-                moved[name] += g * g
-                net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
-    return _calibrated(net, texts, labels)
+                if name in TABLES:
+                    # one pace for the whole table, so that a row met once hardly moves
+                    moved[name] += np.float32((g * g).sum(axis=1).max())
+                    net[name] -= (TABLE_RATE * rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
+                else:
+                    moved[name] += g * g
+                    net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
+    return _calibrated(net, checks, check_labels) if checks else _calibrated(net, texts, labels)
 
 
 def _first_of_each(owner: np.ndarray, by: np.ndarray, most: int = WINDOWS_PER_DOCUMENT) -> np.ndarray:
