@@ -21,6 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,10 @@ SALTS = 512
 CACHE_WORDS, CACHE_BYTES = 500_000, 48
 
 
+#: Latin letters that lower-casing leaves single, and what may stand behind them.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")
+
+
 class WordIds:
     """Ids by a tokenizer that drops white space; words between ASCII spaces are encoded apart and cached."""
 
@@ -51,6 +56,14 @@ class WordIds:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.cache: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ids = self.tokenizer.get_vocab()
+        #: Which ids end a word, if words of letters are one unit to this tokenizer and drop nothing.
+        self.ends = np.zeros(1 << 16, bool) if suffix else None
+        if suffix:
+            self.ends[[i for piece, i in ids.items() if piece.endswith(suffix)]] = True
+        one = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self.marks = {b"": b"", b".": one("."), b",": one(",")}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
@@ -58,12 +71,32 @@ class WordIds:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        learned = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(new, found)}
+        learned = self._learn(list({w for words in split for w in words if w not in cache}))
         cache.update((w, v) for w, v in learned.items() if len(w) <= CACHE_BYTES)
         return [b"".join([cache[w] if w in cache else learned[w] for w in words]) for words in split]
 
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters, with a stop or comma behind them or not, are encoded many at a time; others alone."""
+        plain, rest, out = [], [], {}
+        for w in new:
+            (plain if PLAIN.fullmatch(w.decode()) else rest).append(w)
+        if plain and self.ends is not None:
+            cores = list({w.rstrip(b".,") for w in plain})
+            ids_of: dict[bytes, bytes] = {}
+            for k in range(0, len(cores), 200):
+                some = cores[k : k + 200]
+                ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u2")
+                cuts = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+                raw = ids.tobytes()
+                ids_of |= {w: raw[a:b] for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)}
+            for w in plain:
+                core = w.rstrip(b".,")
+                out[w] = ids_of[core] + self.marks[w[len(core) :]]
+        else:
+            rest = new
+        found = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+        return out | {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(rest, found)}
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordIds:

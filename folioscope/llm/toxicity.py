@@ -38,10 +38,14 @@ from folioscope.llm.util import is_held_out
 SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1000, 8
 STEPS, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 14, 8
-GRAM_ROWS, GRAM_SIZE = 1 << 15, 16
+GRAM_ROWS, GRAM_SIZE = 1 << 17, 16
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
-EPOCHS, BATCH, RATE = 5, 256, 0.05
+ROUNDS, BATCH, RATE = 320, 256, 0.05
+#: Rounds before which windows are chosen anew by what the network finds, and after which documents aside are looked at.
+REVIEWS, CHECK_EVERY = (130, 195, 260), 40
+#: Hash rows met in fewer documents of the sample stay zero: they say little about other documents.
+LEAST_DOCUMENTS = 5
 TABLES, TABLE_RATE = ("word", "gram"), 4
 #: Windows scored at once in a task, and distinct words kept.
 GROUP = 8192
@@ -73,7 +77,7 @@ class Vocabulary:
             if n in GRAMS:
                 inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
                 mixed = (h[inside] ^ np.uint32(n)) * np.uint32(0x9E3779B1)
-                rows.append((mixed >> np.uint32(17)).astype(np.int64))
+                rows.append((mixed >> np.uint32(15)).astype(np.int64))
                 owners.append(owner[: len(owner) - n + 1][inside])
         self.gram = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.gram_of = np.concatenate(owners) if owners else np.zeros(0, np.int64)
@@ -172,14 +176,14 @@ def logits(net: dict, projected: dict[str, np.ndarray], words: np.ndarray, none:
     return pooled @ net["out"] + net["out_bias"][0]
 
 
-def _gradients(net: dict, vocabulary: Vocabulary, words: np.ndarray, none: int, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted log loss, by back-propagation through time."""
+def _gradients(net: dict, vocabulary: Vocabulary, words: np.ndarray, none: int, target: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the log loss, by back-propagation through time."""
     inputs = vocabulary.inputs(net)
     projected = _project(inputs, net)
     mask, keep = words != none, []
     states = _states(projected, words, mask, net, keep)
     hidden, share, pooled = _pooled(states, mask, net)
-    error = (_sigmoid(pooled @ net["out"] + net["out_bias"][0]) - target) * weight / len(target)
+    error = (_sigmoid(pooled @ net["out"] + net["out_bias"][0]) - target) / len(target)
     out = {"out": pooled.T @ error, "out_bias": np.array([error.sum()])}
     d_pool = error[:, None] * net["out"]
     d_share = np.einsum("tnk,nk->tn", states, d_pool)
@@ -227,6 +231,7 @@ class Model:
     net: dict[str, np.ndarray] | None
     curve: np.ndarray | None = None
     constant: float = 0.0
+    loss: float = 0.0
 
     def score(self, texts: list[str | None], lexicon: Lexicon | None = None) -> np.ndarray:
         if self.net is None:
@@ -326,36 +331,50 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     use = _first_of_each(owner, rng.random(len(owner)))
     net = fresh(seed)
     moved = {k: np.float32(0) if k in TABLES else np.zeros_like(v) for k, v in net.items()}
-    total = EPOCHS * -(-len(owner) // BATCH)
-    step = 0
-    for epoch in range(EPOCHS):
-        if epoch >= 2:
+    live = _live_rows(distinct, ids, ends)
+    best: Model | None = None
+    for step in range(ROUNDS):
+        if step in REVIEWS:
             found = _logits_at(net, distinct, ids, starts, stops)
             toxic = (found > 0) | _first_of_each(owner, -found, 1)
             hard = _first_of_each(owner, -found, WINDOWS_PER_DOCUMENT // 2) | _first_of_each(owner, rng.random(len(owner)), WINDOWS_PER_DOCUMENT // 2)
             use = np.where(target == 1, toxic & _first_of_each(owner, rng.random(len(owner)) - toxic), hard)
-        chosen = rng.permutation(np.flatnonzero(use))
-        share = target[chosen].mean()
-        weights = np.where(target == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
-        for k in range(0, len(chosen), BATCH):
-            at = chosen[k : k + BATCH]
-            words = _window_words(ids, starts[at], stops[at], -1)
-            seen, local = np.unique(words, return_inverse=True)
-            local = local.reshape(words.shape)
-            known = seen[seen >= 0]
-            local = np.where(words < 0, len(known), local - (len(seen) - len(known)))
-            grads = _gradients(net, Vocabulary([distinct[w] for w in known]), local, len(known), target[at], weights[at])
-            rate = RATE * (1 - 0.8 * step / total)
-            step += 1
-            for name, g in grads.items():
-                if name in TABLES:
-                    # one pace for the whole table, so that a row met once hardly moves
-                    moved[name] += np.float32((g * g).sum(axis=1).max())
-                    net[name] -= (TABLE_RATE * rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
-                else:
-                    moved[name] += g * g
-                    net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
-    return _calibrated(net, checks, check_labels) if checks else _calibrated(net, texts, labels)
+        # as many windows of either label, whatever their numbers
+        at = np.concatenate([rng.choice(np.flatnonzero(use & (target == y)), BATCH // 2) for y in (0, 1)])
+        words = _window_words(ids, starts[at], stops[at], -1)
+        seen, local = np.unique(words, return_inverse=True)
+        known = seen[seen >= 0]
+        local = np.where(words < 0, len(known), local.reshape(words.shape) - (len(seen) - len(known)))
+        grads = _gradients(net, Vocabulary([distinct[w] for w in known]), local, len(known), target[at])
+        rate = RATE * (1 - 0.8 * step / ROUNDS)
+        for name, g in grads.items():
+            if name in TABLES:
+                g *= live[name][:, None]
+                # one pace for the whole table, so that a row met once hardly moves
+                moved[name] += np.float32((g * g).sum(axis=1).max())
+                net[name] -= (TABLE_RATE * rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
+            else:
+                moved[name] += g * g
+                net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
+        if (step + 1) % CHECK_EVERY == 0 and step >= REVIEWS[0]:
+            now = _calibrated(net, checks or texts, check_labels if checks else labels)
+            if best is None or now.loss < best.loss:
+                best = now
+    return best
+
+
+def _live_rows(distinct: list[bytes], ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+    """Which hash rows enough documents have."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+    pair = np.unique(owner * len(distinct) + ids) if len(ids) else np.zeros(0, np.int64)
+    vocabulary = Vocabulary(distinct)
+    first = np.searchsorted(vocabulary.gram_of, np.arange(len(distinct) + 1))
+    seen = {name: np.zeros(rows, np.int32) for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
+    for words in np.split(pair % max(1, len(distinct)), np.flatnonzero(np.diff(pair // max(1, len(distinct)))) + 1):
+        seen["word"][np.unique(vocabulary.word[words])] += 1
+        spans = [vocabulary.gram[first[w] : first[w + 1]] for w in words]
+        seen["gram"][np.unique(np.concatenate(spans)) if spans else []] += 1
+    return {name: (n >= LEAST_DOCUMENTS).astype(np.float32) for name, n in seen.items()}
 
 
 def _first_of_each(owner: np.ndarray, by: np.ndarray, most: int = WINDOWS_PER_DOCUMENT) -> np.ndarray:
@@ -388,7 +407,10 @@ def _calibrated(net: dict, texts: list[str], labels: np.ndarray) -> Model:
         bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge
         curve = curve - np.clip(np.linalg.solve(bend, slope), -1, 1)
     rates = curve[:2] / width
-    return Model(net, np.append(rates, curve[2] - rates @ middle))
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))), 1e-6, 1 - 1e-6)
+    loss = -(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+    weight = np.where(labels == 1, 1 / max(1, labels.sum()), 1 / max(1, (1 - labels).sum()))
+    return Model({k: v.copy() for k, v in net.items()}, np.append(rates, curve[2] - rates @ middle), loss=float((weight * loss).sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
