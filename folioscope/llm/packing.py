@@ -37,8 +37,8 @@ from folioscope.llm.util import Stash
 WINDOW = 2048
 END_ID = 1
 SALTS = 512
-#: Words kept per Python worker with their ids, and the longest one that is kept.
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
+#: Words that a Python worker keeps with their ids in each of two generations, and the longest one that is kept.
+CACHE_WORDS, CACHE_BYTES = 300_000, 48
 
 
 #: Latin letters that lower-casing leaves single, and what may stand behind them.
@@ -55,7 +55,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        self.encode_many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         ids = self.tokenizer.get_vocab()
         #: Which ids end a word, if words of letters are one unit to this tokenizer and drop nothing.
@@ -68,10 +70,13 @@ class WordIds:
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
         split = [t.encode().split() for t in texts]  # of bytes: at ASCII spaces only
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        learned = self._learn(list({w for words in split for w in words if w not in cache}))
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = {w for words in split for w in words if w not in cache}
+        again = {w: older[w] for w in new if w in older}
+        cache.update(again)
+        learned = self._learn(list(new.difference(again)))
         cache.update((w, v) for w, v in learned.items() if len(w) <= CACHE_BYTES)
         return [b"".join([cache[w] if w in cache else learned[w] for w in words]) for words in split]
 
@@ -83,18 +88,18 @@ class WordIds:
         if plain and self.ends is not None:
             cores = list({w.rstrip(b".,") for w in plain})
             ids_of: dict[bytes, bytes] = {}
-            for k in range(0, len(cores), 200):
-                some = cores[k : k + 200]
-                ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u2")
+            groups = [cores[k : k + 200] for k in range(0, len(cores), 200)]
+            for some, found in zip(groups, self.encode_many([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u2")
                 cuts = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
                 raw = ids.tobytes()
-                ids_of |= {w: raw[a:b] for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)}
+                ids_of.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
             for w in plain:
                 core = w.rstrip(b".,")
                 out[w] = ids_of[core] + self.marks[w[len(core) :]]
         else:
             rest = new
-        found = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+        found = self.encode_many([w.decode() for w in rest], add_special_tokens=False)
         return out | {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(rest, found)}
 
 

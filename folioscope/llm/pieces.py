@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-#: Words kept per Python worker, and the longest one that is kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Words that a Python worker keeps in each of two generations, and the longest one that is kept.
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: Words merged at once.
 ROUND_WORDS = 20_000
 
@@ -82,6 +82,7 @@ class Pieces:
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         self._build(np.array(keys, np.int64), np.array(ranks, np.int32), np.array(merged, np.int32), bits)
         self.cache: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[bytes, int, bytes]] = {}
 
     def _build(self, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray, bits: int) -> None:
         """An open-addressed table of pairs: linear probing, at most a quarter full."""
@@ -239,10 +240,12 @@ class Pieces:
         """(ids' number, digest of ids, digest of decoded text) of each text."""
         split = [self.words(t.replace(MARK, " ")) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         new = {w for words in split for w in words if w not in cache}
-        learned = self.learn(sorted(new, key=len))
+        again = {w: older[w] for w in new if w in older}
+        cache.update(again)
+        learned = self.learn(sorted(new.difference(again), key=len))
         cache.update((w, v) for w, v in learned.items() if len(w) <= CACHE_CHARS)
         out = []
         for words in split:
