@@ -8,7 +8,8 @@ logit. A document's score comes from its highest window and the share of its win
 look toxic, by a fitted logistic curve.
 
 Training is in numpy, by back-propagation through time on a bounded, documented sample of
-labelled documents. Labels are given to documents, not windows: at first all windows
+labelled documents. The first value of each embedding starts as the smoothed log-odds of its
+hash row among toxic and clean documents. Labels are given to documents, not windows: at first all windows
 of a toxic document count as toxic, later those that the network finds so and the highest
 one.
 
@@ -35,18 +36,22 @@ from folioscope.llm.language import sample
 from folioscope.llm.util import is_held_out
 
 #: Labelled documents learned from at most for each label, and windows of each of them.
-SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1000, 8
+SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1600, 8
 STEPS, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 14, 8
 GRAM_ROWS, GRAM_SIZE = 1 << 17, 16
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (3, 4, 5)
-ROUNDS, BATCH, RATE = 320, 256, 0.05
+ROUNDS, BATCH, RATE = 200, 256, 0.05
 #: Rounds before which windows are chosen anew by what the network finds, and after which documents aside are looked at.
-REVIEWS, CHECK_EVERY = (130, 195, 260), 40
+REVIEWS, CHECK_EVERY = (60, 110, 160), 40
 #: Hash rows met in fewer documents of the sample stay zero: they say little about other documents.
-LEAST_DOCUMENTS = 5
-TABLES, TABLE_RATE = ("word", "gram"), 4
+LEAST_DOCUMENTS = 3
+#: Scale of the log-odds that embeddings start from.
+ODDS = 0.5
+#: Parts that a label's examples go to in turn: 0 counts log-odds, 1 trains the network, 2 fits the curve and picks the round.
+PARTS = (0, 1, 0, 2, 0, 1)
+TABLES, TABLE_RATE = ("word", "gram"), 1
 #: Windows scored at once in a task, and distinct words kept.
 GROUP = 8192
 LEXICON_WORDS = 200_000
@@ -317,12 +322,13 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     if labels.all():
         return Model(None, constant=1.0)
     rng = np.random.default_rng(seed)
-    # every fourth example of a label shows how the network does on documents that it has not met
-    aside = np.zeros(len(labels), bool)
+    part = np.zeros(len(labels), np.int64)
     for y in (0, 1):
-        aside[np.flatnonzero(labels == y)[3::4]] = True
-    checks, check_labels = [t for (t, _), a in zip(examples, aside) if a], labels[aside]
-    texts, labels = [t for (t, _), a in zip(examples, aside) if not a], labels[~aside]
+        part[labels == y] = np.resize(PARTS, int((labels == y).sum()))
+    of = lambda k: ([t for (t, _), p in zip(examples, part) if p == k], labels[part == k])
+    (counted, counted_labels), (texts, labels), (checks, check_labels) = of(0), of(1), of(2)
+    if len(set(labels)) < 2 or len(set(check_labels)) < 2:  # too few for parts of their own
+        counted, counted_labels = texts, labels = checks, check_labels = [t for t, _ in examples], np.array([int(y) for _, y in examples], np.float32)
     number: dict[bytes, int] = {}
     ids, ends = _number(texts, number)
     distinct = list(number)
@@ -331,7 +337,7 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     use = _first_of_each(owner, rng.random(len(owner)))
     net = fresh(seed)
     moved = {k: np.float32(0) if k in TABLES else np.zeros_like(v) for k, v in net.items()}
-    live = _live_rows(distinct, ids, ends)
+    live = _start_from_odds(net, counted, counted_labels)
     best: Model | None = None
     for step in range(ROUNDS):
         if step in REVIEWS:
@@ -357,24 +363,30 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
                 moved[name] += g * g
                 net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
         if (step + 1) % CHECK_EVERY == 0 and step >= REVIEWS[0]:
-            now = _calibrated(net, checks or texts, check_labels if checks else labels)
+            now = _calibrated(net, checks, check_labels)
             if best is None or now.loss < best.loss:
                 best = now
     return best
 
 
-def _live_rows(distinct: list[bytes], ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Which hash rows enough documents have."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-    pair = np.unique(owner * len(distinct) + ids) if len(ids) else np.zeros(0, np.int64)
-    vocabulary = Vocabulary(distinct)
-    first = np.searchsorted(vocabulary.gram_of, np.arange(len(distinct) + 1))
-    seen = {name: np.zeros(rows, np.int32) for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
-    for words in np.split(pair % max(1, len(distinct)), np.flatnonzero(np.diff(pair // max(1, len(distinct)))) + 1):
-        seen["word"][np.unique(vocabulary.word[words])] += 1
+def _start_from_odds(net: dict, texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Sets each embedding's first value to its hash row's log-odds; says which rows enough documents have."""
+    number: dict[bytes, int] = {}
+    ids, ends = _number(texts, number)
+    vocabulary = Vocabulary(list(number))
+    first = np.searchsorted(vocabulary.gram_of, np.arange(len(number) + 1))
+    seen = {name: np.zeros((2, rows)) for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
+    for start, end, label in zip(np.concatenate(([0], ends[:-1])), ends, labels):
+        words = np.unique(ids[start:end])
+        seen["word"][int(label)][np.unique(vocabulary.word[words])] += 1
         spans = [vocabulary.gram[first[w] : first[w + 1]] for w in words]
-        seen["gram"][np.unique(np.concatenate(spans)) if spans else []] += 1
-    return {name: (n >= LEAST_DOCUMENTS).astype(np.float32) for name, n in seen.items()}
+        seen["gram"][int(label)][np.unique(np.concatenate(spans)) if spans else []] += 1
+    live = {}
+    for name, (clean, toxic) in seen.items():
+        live[name] = (toxic + clean >= LEAST_DOCUMENTS).astype(np.float32)
+        odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
+        net[name][:, 0] = ODDS * live[name] * odds
+    return live
 
 
 def _first_of_each(owner: np.ndarray, by: np.ndarray, most: int = WINDOWS_PER_DOCUMENT) -> np.ndarray:
