@@ -1,10 +1,476 @@
-"""Queries over the driver's tables, with the SQL each must agree with."""
+"""Queries over the driver's tables, with the SQL each must agree with.
+
+The tables stand in for the specification's entities: a document's source is its
+knowledge base, its quality label its state, an event's user the owner. The numbers below
+(k, thresholds, sizes) are parameters of these queries, not of the operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions.scalar import fingerprint, snippet
+from folioscope.operators import activity as A
+from folioscope.operators import documents as D
+from folioscope.operators import retrieval as R
+from folioscope.sources.tables import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name with the SQL that it must agree with."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with kb_id and status."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    status = F.when(F.col("quality") == 1, D.READY).when(F.col("quality") == 0, "failed").otherwise("parsing")
+    joined = docs.join(labels, "doc_id", "left")
+    return joined.withColumns({"kb_id": F.col("source"), "user_id": F.lit(1), "status": status})
+
+
+SQL_DOCUMENTS = """WITH d AS (SELECT doc_id, text, lang, n_chars, source AS kb_id,
+  CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'failed' ELSE 'parsing' END AS status
+  FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(
+    SQL_DOCUMENTS
+    + """ SELECT kb_id, count(*) AS n_files, count(*) FILTER (WHERE status = 'ready') AS n_ready,
+  count(*) FILTER (WHERE status = 'parsing') AS n_processing, count(*) FILTER (WHERE status = 'failed') AS n_failed,
+  max(doc_id) AS last_doc FROM d GROUP BY kb_id"""
+)
+def kb_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    kbs = docs.select("kb_id").distinct()
+    of = lambda s: F.count_if(F.col("status") == s)
+    counts = docs.groupBy("kb_id").agg(
+        F.count("*").alias("n_files"), of("ready").alias("n_ready"), of("parsing").alias("n_processing"), of("failed").alias("n_failed"),
+        F.max("doc_id").alias("last_doc"),
+    )
+    return kbs.join(counts, "kb_id", "left").orderBy(F.col("last_doc").desc(), "kb_id")
+
+
+@query(
+    """SELECT 'kbs' AS kind, count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'files', count(*) FROM documents
+  UNION ALL SELECT 'conversations', count(DISTINCT conv_id) FROM conversations"""
+)
+def home_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, talk = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "conversations")
+    total = lambda df, kind, n: df.agg(n.alias("n")).select(F.lit(kind).alias("kind"), "n")
+    parts = total(docs, "kbs", F.count_distinct("source")).unionByName(total(docs, "files", F.count("*")))
+    return parts.unionByName(total(talk, "conversations", F.count_distinct("conv_id")))
+
+
+@query(SQL_DOCUMENTS + " SELECT doc_id, kb_id, lang, n_chars FROM d WHERE status = 'ready'")
+def ready_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.ready(_documents(spark, sf_dir)).select("doc_id", "kb_id", "lang", "n_chars")
+
+
+@query(SQL_DOCUMENTS + " SELECT doc_id, status, n_chars FROM d WHERE kb_id = 'src3'")
+def scoped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.scoped(D.owned(_documents(spark, sf_dir), 1), "src3").select("doc_id", "status", "n_chars")
+
+
+@query(
+    SQL_DOCUMENTS
+    + """, starts AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 50 - 1, 0) // 350 + 1)) AS pos FROM d
+  WHERE kb_id = 'src3' AND status = 'ready' AND length(text) > 0)
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(substr(text, CAST(pos * 350 + 1 AS BIGINT), 400)) AS digest FROM starts"""
+)
+def scoped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    pieces = D.chunks(read_table(spark, sf_dir, "documents").where("source = 'src3'"), 400, 50)
+    return D.scoped_chunks(pieces, docs, 1, "src3").select("doc_id", "pos", fingerprint(F.col("text")).alias("digest"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, unnest(range(0, greatest(length(text) - 101, 0) // 900 + 1)) AS pos, text FROM documents WHERE length(text) > 0)
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 900 AS INTEGER) AS start, length(substr(text, CAST(pos * 900 + 1 AS BIGINT), 1000)) AS n,
+  sha256(substr(text, CAST(pos * 900 + 1 AS BIGINT), 1000)) AS digest FROM p"""
+)
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = D.chunks(read_table(spark, sf_dir, "documents"), 1000, 100)
+    return pieces.select("doc_id", "pos", "start", F.char_length("text").cast("long").alias("n"), fingerprint(F.col("text")).alias("digest"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph FROM documents)
+  SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, length(text) AS n FROM l WHERE length(trim(text)) > 0"""
+)
+def parse_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.paragraphs(read_table(spark, sf_dir, "documents")).select("doc_id", "paragraph", F.char_length("text").cast("long").alias("n"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, sha256(text) AS digest FROM documents),
+  g AS (SELECT source, digest, min(doc_id) AS first_id FROM f GROUP BY source, digest HAVING count(*) > 1)
+  SELECT doc_id, first_id FROM f JOIN g USING (source, digest) WHERE doc_id <> first_id"""
+)
+def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", fingerprint(F.col("text")).alias("digest"))
+    return D.mark_duplicates(docs, ["source", "digest"])
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.keyword_search(read_table(spark, sf_dir, "documents"), "text", "License").select("doc_id", "source")
+
+
+@query(
+    """SELECT doc_id, substr(text, greatest(strpos(text, 'License') - 20, 1), strpos(text, 'License') - greatest(strpos(text, 'License') - 20, 1) + 27) AS snippet
+  FROM documents WHERE strpos(text, 'License') > 0"""
+)
+def evidence_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", snippet(F.col("text"), F.lit("License"), 20).alias("snippet")).where("snippet is not null")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 0")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    left = D.cascade_delete(docs, {"labels": labels}, docs.where("doc_id % 10 = 0"))
+    return left["documents"].select("doc_id", "n_chars")
+
+
+@query(
+    """SELECT l.doc_id, l.quality, d.doc_id IS NULL AS source_deleted FROM labels l
+  LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0) d ON l.doc_id = d.doc_id"""
+)
+def citation_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = read_table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
+    return D.mark_citations(read_table(spark, sf_dir, "labels"), live).select("doc_id", "quality", "source_deleted")
+
+
+@query("SELECT source AS kb_id, count(*) AS n_files, count(*) > 50 AS over FROM documents GROUP BY source")
+def capacity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.capacity(read_table(spark, sf_dir, "documents").withColumnRenamed("source", "kb_id"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, lang, n_chars, count(*) OVER (PARTITION BY doc_id // 4) AS batch_files FROM documents)
+  SELECT doc_id, CASE WHEN lang = 'es' THEN 'type' WHEN n_chars * 1024 <= 0 THEN 'empty' WHEN n_chars * 1024 > 20971520 THEN 'size'
+  WHEN batch_files > 5 THEN 'too_many' END AS reason FROM f"""
+)
+def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "es", "exe").otherwise("txt")
+    files = docs.select(
+        "doc_id", F.expr("doc_id div 4").alias("batch_id"), kind.alias("file_type"), (F.col("n_chars") * 1024).alias("size_bytes"),
+        F.lit(False).alias("encrypted"), F.lit(False).alias("damaged"),
+    )
+    return D.validate_uploads(files).select("doc_id", "reason")
+
+
+@query(
+    """SELECT conv_id, turn, length(text) BETWEEN 1 AND 40 AS name_ok, length(text) BETWEEN 1 AND 60 AS title_ok, length(text) BETWEEN 0 AND 200 AS description_ok,
+  length(trim(text)) = 0 AS blank FROM conversations"""
+)
+def length_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", D.length_ok(text, D.NAME_CHARS).alias("name_ok"), D.length_ok(text, D.TITLE_CHARS).alias("title_ok"),
+        D.length_ok(text, D.DESCRIPTION_CHARS).alias("description_ok"), (F.length(F.trim(text)) == 0).alias("blank"),
+    )
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(read_table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+SQL_SCORED = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
+  s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT e FROM q)) AS score FROM embeddings WHERE vec_id <> 0)"""
+
+
+@query(SQL_SCORED + " SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 1 ORDER BY s.score DESC, vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0 and label = 1")
+    return R.top_k(R.score(scope, _query_vector(spark, sf_dir)), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(SQL_SCORED + " SELECT label, round(max(score), 6) AS best, NOT max(score) >= 0.35 AS refused FROM s GROUP BY label")
+def retrieval_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0")
+    found = R.refusals(vectors.select("label"), R.score(vectors, _query_vector(spark, sf_dir)), 0.35, "label")
+    return found.select("label", F.round("best", 6).alias("best"), "refused")
+
+
+@query(
+    SQL_SCORED
+    + """, a AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s WHERE label < 5),
+  b AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM s),
+  u AS (SELECT vec_id, rank FROM a WHERE rank <= 50 UNION ALL SELECT vec_id, rank FROM b WHERE rank <= 50)
+  SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY vec_id"""
+)
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0")
+    scored = R.score(vectors, _query_vector(spark, sf_dir)).withColumn("one", F.lit(1))
+    first = R.top_k_per_query(scored.where("label < 5"), 50, "one", "vec_id")
+    second = R.top_k_per_query(scored.withColumn("score", F.col("label")), 50, "one", "vec_id")
+    return R.fuse([first, second], "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    """WITH b AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM documents) SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM b WHERE used <= 20000"""
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return R.context_budget(docs, 20000, "source", "n_chars", [F.col("n_chars"), F.col("doc_id")]).select("source", "doc_id", "used")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def conversation_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = A.restore_conversations(read_table(spark, sf_dir, "conversations"))
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    return talk.select("conv_id", "n_turns", fingerprint(F.array_join(lines, "\n")).alias("digest"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 4)
+  SELECT conv_id, turn, role FROM r WHERE n <= 2"""
+)
+def message_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.message_page(read_table(spark, sf_dir, "conversations"), 4, 2).select("conv_id", "turn", "role")
+
+
+@query(
+    """SELECT conv_id, turn, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', true) AS allowed FROM conversations"""
+)
+def practice_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), (F.col("role") == "assistant").alias("answered"), F.lit(True).alias("reviewed")
+    )
+    return A.practice_gate(rows).select(F.col("session_id").alias("conv_id"), F.col("seq").alias("turn"), "allowed")
+
+
+@query(
+    """SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS n_correct, count(*) FILTER (WHERE role = 'user') AS n_partial,
+  count(*) FILTER (WHERE role = 'system') AS n_wrong FROM conversations GROUP BY conv_id"""
+)
+def practice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = F.when(F.col("role") == "assistant", "correct").when(F.col("role") == "user", "partial").when(F.col("role") == "system", "wrong")
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), result.alias("result"))
+    return A.practice_summary(rows).select(F.col("session_id").alias("conv_id"), "n", "n_correct", "n_partial", "n_wrong")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE user_id = 7")
+def owned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.owned(read_table(spark, sf_dir, "events"), 7).select("event_id", "event_type", "value")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.recent(read_table(spark, sf_dir, "events"), "ts", "event_id", 20).select("event_id", "user_id")
+
+
+@query(
+    """SELECT user_id, event_type, event_id FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"""
+)
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return A.latest(rows, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(
+    """SELECT event_type AS stage, count(*) AS n, count(*) FILTER (WHERE value > 90) AS n_failed, CAST(sum(user_id % 3) AS BIGINT) AS n_retries,
+  round(avg(CAST(value AS BIGINT)), 6) AS avg_s FROM events GROUP BY event_type"""
+)
+def event_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("ts").cast("timestamp")
+    rows = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("stage"), F.when(F.col("value") > 90, "FAILED").otherwise("SUCCEEDED").alias("status"), (F.col("user_id") % 3).alias("retries"),
+        start.alias("started_at"), F.timestamp_micros(F.unix_micros(start) + F.rint("value").cast("long") * 1_000_000).alias("ended_at"),
+    )
+    return A.diagnostics(rows, "stage").select("stage", "n", "n_failed", "n_retries", F.round("avg_s", 6).alias("avg_s"))
+
+
+@query("SELECT event_id AS task_id, event_type AS kind FROM events")
+def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "events").withColumnsRenamed({"event_id": "task_id", "event_type": "kind"})
+    return A.redacted(rows)
+
+
+PRICES = [("click", "0.07"), ("view", "0.15"), ("purchase", "0.47"), ("signup", "0.30"), ("error", "1.20")]
+SQL_COST = """WITH p(kind, usd) AS (VALUES ('click', 0.07), ('view', 0.15), ('purchase', 0.47), ('signup', 0.30), ('error', 1.20)),
+  u AS (SELECT user_id, event_id, ts, CAST(floor(value * 1000) AS BIGINT) AS tokens, CAST(usd AS DECIMAL(10,4)) AS usd FROM events JOIN p ON event_type = kind)"""
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read_table(spark, sf_dir, "events")
+    usage = events.select("user_id", "event_id", "ts", F.col("event_type").alias("kind"), F.floor(F.col("value") * 1000).alias("tokens"))
+    return usage, spark.createDataFrame(PRICES, "kind string, usd_per_million string")
+
+
+@query(SQL_COST + " SELECT strftime(ts, '%Y-%m') AS month, CAST(sum(tokens * usd) / 1000000 AS DOUBLE) AS cost FROM u GROUP BY 1")
+def monthly_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.monthly_cost(*_usage(spark, sf_dir)).select("month", F.col("cost").cast("double").alias("cost"))
+
+
+@query(
+    SQL_COST
+    + """, c AS (SELECT strftime(ts, '%Y-%m') AS month, sum(tokens * usd) / 1000000 AS cost FROM u GROUP BY 1)
+  SELECT month, CASE WHEN cost >= 5 THEN 'STOP' WHEN cost >= 4 THEN 'ALERT' ELSE 'OK' END AS state FROM c"""
+)
+def budget_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.monthly_cost(*_usage(spark, sf_dir)).select("month", A.budget_state(F.col("cost")).alias("state"))
+
+
+@query(
+    """WITH u AS (SELECT event_id, strftime(ts, '%Y-%m') AS month, user_id, ts, CAST(floor(value * 1000) AS BIGINT) AS amount FROM events),
+  r AS (SELECT event_id, coalesce(sum(amount) OVER (PARTITION BY user_id, month ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+  SELECT event_id, CAST(before AS BIGINT) AS spent_before, before < 5000000 AS allowed FROM r"""
+)
+def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events")
+    month = F.concat_ws("/", F.col("user_id"), F.date_format("ts", "yyyy-MM"))
+    usage = events.withColumn("cost", (F.floor(F.col("value") * 1000).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(20,6)"))
+    rows = A.running_spend(usage, month, "cost", ["ts", "event_id"])
+    return rows.select("event_id", (F.col("spent_before") * 1_000_000).cast("long").alias("spent_before"), "allowed")
+
+
+@query(
+    """SELECT lang, count(*) AS n, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+)
+def label_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = read_table(spark, sf_dir, "labels").join(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return joined.groupBy("lang").agg(
+        F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("good"), F.round(F.avg("toxic"), 6).alias("toxic")
+    )
+
+
+@query(
+    """WITH s AS (SELECT user_id AS doc_id, event_type AS stage, CASE WHEN value > 20 THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, event_id AS attempt FROM events),
+  n AS (SELECT doc_id, stage, arg_max(status, attempt) AS status FROM s WHERE stage IN ('click', 'view', 'purchase') GROUP BY doc_id, stage),
+  c AS (SELECT doc_id, count(*) FILTER (WHERE status = 'SUCCEEDED') AS k FROM n GROUP BY doc_id)
+  SELECT doc_id, coalesce(k, 0) = 3 AS usable FROM (SELECT DISTINCT doc_id FROM s) LEFT JOIN c USING (doc_id)"""
+)
+def stage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("value") > 20, "SUCCEEDED").otherwise("FAILED")
+    rows = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_type").alias("stage"), status.alias("status"), F.col("event_id").alias("attempt")
+    )
+    return D.stage_completeness(rows, ("click", "view", "purchase"))
+
+
+@query(
+    """WITH h AS (SELECT user_id, lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, s AS to_status
+  FROM (SELECT *, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'RUNNING' WHEN 'error' THEN 'CONFIGURING' ELSE 'COMPLETED' END AS s FROM events))
+  SELECT user_id, from_status, to_status FROM h WHERE from_status IS NOT NULL
+  AND (from_status, to_status) NOT IN (('CONFIGURING', 'RUNNING'), ('RUNNING', 'RUNNING'), ('RUNNING', 'COMPLETED'))"""
+)
+def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type").isin("view", "click"), "RUNNING").when(F.col("event_type") == "error", "CONFIGURING").otherwise("COMPLETED")
+    history = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", status.alias("status"))
+    return A.illegal_transitions(spark, history, "practice", "user_id", ["ts", "event_id"])
+
+
+@query(
+    """WITH a AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 3 <> 0),
+  b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 5 <> 0)
+  SELECT doc_id, CASE WHEN a.digest IS NULL THEN 'new' WHEN b.digest IS NULL THEN 'only_existing' WHEN a.digest = b.digest THEN 'same' ELSE 'conflict' END AS state
+  FROM a FULL JOIN b USING (doc_id)"""
+)
+def restore_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("digest"))
+    changed = docs.where("doc_id % 5 <> 0").withColumn("digest", F.when(F.expr("doc_id % 7 = 0"), "x").otherwise(F.col("digest")))
+    return D.restore_conflicts(docs.where("doc_id % 3 <> 0"), changed, "doc_id", "digest")
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE NOT (label % 2 = 0 AND vec_id % 3 = 0)")
+def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
+    model = F.when(F.expr("label % 2 = 0"), "new").otherwise("old")
+    vectors = rows.select("chunk_id", model.alias("model"), F.expr("cast(chunk_id % 3 as string)").alias("index_version"))
+    return D.stale_chunks(rows.select("chunk_id"), vectors, "new", "0")
+
+
+# Beyond the specification: general relational coverage over the star schema.
+
+
+@query(
+    """SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice * 100 AS BIGINT)) // 100 AS BIGINT) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY r_name, n_name"""
+)
+def ext_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: read_table(spark, sf_dir, n)
+    joined = (
+        t("lineitem")
+        .join(t("orders").where("o_orderdate >= timestamp_ntz '1995-01-01'"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    return joined.groupBy("r_name", "n_name").agg(F.sum(cents).alias("cents"), F.count("*").alias("n")).select(
+        "r_name", "n_name", F.expr("cents div 100").alias("revenue"), "n"
+    )
+
+
+@query(
+    "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"
+)
+def ext_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus")
+    return rows.agg(F.sum("l_quantity").cast("long").alias("quantity"), F.count_distinct("l_orderkey").alias("n_orders"))
+
+
+@query(
+    """SELECT user_id, event_id, rank() OVER w AS r, dense_rank() OVER w AS d, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS n, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type)"""
+)
+def ext_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_type, by_time = Window.partitionBy("user_id").orderBy("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read_table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.rank().over(by_type).cast("long").alias("r"), F.dense_rank().over(by_type).cast("long").alias("d"),
+        F.count("*").over(by_time.rowsBetween(-4, 0)).alias("n"), F.lead("event_type").over(by_time).alias("following"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
+  SELECT e.event_id, v.view_id FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts"""
+)
+def ext_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest view at or before each purchase: one union and one window, no range join."""
+    events = read_table(spark, sf_dir, "events").where("event_type in ('purchase', 'view')")
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    order = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id")
+    seen = F.last(view, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return events.select("event_id", "event_type", seen.alias("view_id")).where("event_type = 'purchase'").select("event_id", "view_id")
+
+
+@query(
+    """SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders
+  EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'"""
+)
+def ext_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    some = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey").intersect(orders.select("o_custkey"))
+    return some.subtract(orders.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+  s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, count(DISTINCT k) AS n_sessions FROM s GROUP BY user_id"""
+)
+def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sessions = events.groupBy("user_id", F.session_window("ts", "6 hours")).count()
+    return sessions.groupBy("user_id").agg(F.count("*").alias("n_sessions"))
