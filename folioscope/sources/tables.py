@@ -20,6 +20,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text and Markdown originals, one row a file: path, name, file_type, size_bytes, modified_at, content.
 
     Bytes are decoded as UTF-8; a file that isn't is marked as damaged rather than dropped.
+    Spark's scan leaves out files of no bytes; uploads of size 0 are refused with a reason before.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
