@@ -67,18 +67,20 @@ class WordIds:
         one = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         self.marks = {b"": b"", b".": one("."), b",": one(",")}
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit numbers."""
-        split = [t.encode().split() for t in texts]  # of bytes: at ASCII spaces only
+    def batch(self, texts: list[str | bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit numbers; bytes are taken as UTF-8."""
+        split = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]  # of bytes: at ASCII spaces only
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        new = {w for words in split for w in words if w not in cache}
-        again = {w: older[w] for w in new if w in older}
-        cache.update(again)
-        learned = self._learn(list(new.difference(again)))
-        cache.update((w, v) for w, v in learned.items() if len(w) <= CACHE_BYTES)
-        return [b"".join([cache[w] if w in cache else learned[w] for w in words]) for words in split]
+        known = [list(map(self.cache.get, words)) for words in split]
+        new = {w for words, ids in zip(split, known) if None in ids for w, i in zip(words, ids) if i is None}
+        found = {w: self.older[w] for w in new if w in self.older}
+        found |= self._learn(list(new.difference(found)))
+        self.cache.update((w, v) for w, v in found.items() if len(w) <= CACHE_BYTES)
+        return [
+            b"".join([found[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+            for words, ids in zip(split, known)
+        ]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Words of letters, with a stop or comma behind them or not, are encoded many at a time; others alone."""
@@ -122,7 +124,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_c
             for k in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(k, rows_at_once)
                 n, crcs, length, crc, tails = [], [], [], [], []
-                for raw in words.batch([t or "" for t in part.column(1).to_pylist()]):
+                for raw in words.batch([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]):
                     ids = np.frombuffer(raw + end, "<u2")
                     whole = len(ids) // window
                     tail = ids[whole * window :]

@@ -241,15 +241,15 @@ class Pieces:
         split = [self.words(t.replace(MARK, " ")) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        new = {w for words in split for w in words if w not in cache}
-        again = {w: older[w] for w in new if w in older}
-        cache.update(again)
-        learned = self.learn(sorted(new.difference(again), key=len))
-        cache.update((w, v) for w, v in learned.items() if len(w) <= CACHE_CHARS)
+        known = [list(map(self.cache.get, words)) for words in split]
+        new = {w for words, rows in zip(split, known) if None in rows for w, r in zip(words, rows) if r is None}
+        found = {w: self.older[w] for w in new if w in self.older}
+        found |= self.learn(sorted(new.difference(found), key=len))
+        self.cache.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
         out = []
-        for words in split:
-            rows = [cache[w] if w in cache else learned[w] for w in words]
+        for words, rows in zip(split, known):
+            if None in rows:
+                rows = [found[w] if r is None else r for w, r in zip(words, rows)]
             text = b"".join([r[2] for r in rows])
             text = text[1:] if self.prefix and text.startswith(b" ") else text
             out.append((sum([r[1] for r in rows]), hashlib.sha256(b",".join([r[0] for r in rows])).hexdigest(), hashlib.sha256(text).hexdigest()))
