@@ -31,11 +31,11 @@ RULES: dict[str, tuple[str, str]] = {
         "word_chars >= 3 * n_words and word_chars <= 9 * n_words and n_words > 0",
         "word_chars < 2 * n_words or word_chars > 14 * n_words",
     ),
-    "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    "line_copies": ("20 * n_dup_lines <= n_lines", "5 * n_dup_lines > n_lines"),
-    "repeated_words": ("10 * n_repeat_words <= n_words", "3 * n_repeat_words > n_words"),
+    "symbols": ("50 * n_symbols <= n_words", "20 * n_symbols > n_words"),
+    "line_copies": ("10 * n_dup_lines <= n_lines", "2 * n_dup_lines > n_lines"),
+    "repeated_words": ("10 * n_repeat_words <= n_words", "100 * n_repeat_words > 45 * n_words"),
     "word_runs": ("50 * n_same_next <= n_words", "5 * n_same_next > n_words"),
-    "sentence_ends": ("n_sentence_ends > 0 and n_words <= 60 * n_sentence_ends", "n_words > 200 * n_sentence_ends"),
+    "sentence_ends": ("n_words <= 60 * n_sentence_ends", "n_words > 100 * n_sentence_ends"),
 }
 FEATURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -121,28 +121,37 @@ def vote_pattern() -> Column:
     return code.cast("int")
 
 
-def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60) -> dict[int, float]:
+#: What is believed before any document is seen: how often a rule says bad about a good and about a bad document,
+#: the share of good documents, and how much the belief weighs for each class, as a multiple of the documents.
+#: One rule alone can't tell "bad documents break it" from "good ones break it now and then"; the belief does.
+BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD = 0.005, 0.3, 0.9
+WEIGHT_GOOD, WEIGHT_BAD, WEIGHT_SHARE = 3.0, 0.05, 0.5
+
+
+def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60, belief: float = 1.0) -> dict[int, float]:
     """Posterior probability of good for each pattern, by expectation-maximisation.
 
-    Starts from the smoothed share of good votes; accuracies carry a small prior (two good
-    and one bad case seen), so a rule that never votes stays harmless. An equal vote about
-    nothing known stays at the class share.
+    Starts from suspicion: a document without a bad vote is taken as good, one with bad votes as
+    bad, the more the surer; a good document breaks few rules, but a bad one often breaks
+    just one. The rounds then estimate the rules' accuracies, together with the belief above,
+    whose weight ``belief`` scales.
     """
     votes = {p: [p // 3**k % 3 for k in range(rules)] for p in counts}
-    post = {p: (1 + 2 * v.count(GOOD)) / (2 + 2 * v.count(GOOD) + 2 * v.count(BAD)) for p, v in votes.items()}
+    post = {p: 0.99 if BAD not in v else 0.05 ** v.count(BAD) for p, v in votes.items()}
     total = sum(counts.values())
+    of_good, of_bad, of_share = (max(1.0, belief * w * total) for w in (WEIGHT_GOOD, WEIGHT_BAD, WEIGHT_SHARE))
     for _ in range(rounds):
-        share = (sum(counts[p] * post[p] for p in post) + 1) / (total + 2)
+        share = (sum(counts[p] * post[p] for p in post) + SHARE_GOOD * of_share) / (total + of_share)
         odds = math.log(share / (1 - share))
         gain = []
         for k in range(rules):
-            cell = [[2.0, 1.0], [1.0, 2.0]]  # [bad documents, good ones][votes bad, votes good]
+            good = [BREAKS_GOOD * of_good, (1 - BREAKS_GOOD) * of_good]  # good documents' bad and good votes
+            bad = [BREAKS_BAD * of_bad, (1 - BREAKS_BAD) * of_bad]
             for p, v in votes.items():
                 if v[k] != ABSTAIN:
-                    cell[1][v[k]] += counts[p] * post[p]
-                    cell[0][v[k]] += counts[p] * (1 - post[p])
-            of_good, of_bad = cell[1][GOOD] / sum(cell[1]), cell[0][GOOD] / sum(cell[0])
-            gain.append((math.log((1 - of_good) / (1 - of_bad)), math.log(of_good / of_bad)))
+                    good[v[k]] += counts[p] * post[p]
+                    bad[v[k]] += counts[p] * (1 - post[p])
+            gain.append([math.log(good[x] / sum(good)) - math.log(bad[x] / sum(bad)) for x in (BAD, GOOD)])
         for p, v in votes.items():
             x = odds + sum(gain[k][v[k]] for k in range(rules) if v[k] != ABSTAIN)
             post[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
@@ -152,10 +161,11 @@ def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60)
 def _judged(rows: DataFrame, pattern: str) -> DataFrame:
     """``rows`` with their quality; the table of patterns is bounded by the rules, so it is broadcast."""
     spark = rows.sparkSession
-    counts = {r[0]: r[1] for r in rows.groupBy(pattern).count().collect()}
+    # base failures are decided already, and so many alike would draw the class of bad documents to themselves
+    counts = {r[0]: r[1] for r in rows.where("not base_failed").groupBy(pattern).count().collect()}
     table = [(p, float(q)) for p, q in fit_votes(counts).items()]
     known = spark.createDataFrame(table, "pattern int, quality double")
-    return rows.join(F.broadcast(known), F.col(pattern) == known["pattern"]).drop(known["pattern"])
+    return rows.join(F.broadcast(known), F.col(pattern) == known["pattern"], "left").drop(known["pattern"])
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -164,7 +174,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = docs.select(F.col(id_col).alias("doc_id"), features(text_or_empty(text_col)).alias("f")).select("doc_id", "f.*")
     rows = stash.put(seen.withColumns({"base_failed": base_failed(), "vote_pattern": vote_pattern()}), "features")
     return _judged(rows, "vote_pattern").select(
-        "doc_id", *FEATURES, "base_failed", "quality",
+        "doc_id", *FEATURES, "base_failed", F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")).alias("quality"),
         (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"),
     )
 

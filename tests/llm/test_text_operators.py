@@ -71,8 +71,12 @@ def test_votes_find_the_better_rules():
         good = rng.random() < 0.7
         votes = [int(good) if rng.random() < 0.9 else int(not good) for _ in range(2)] + [rng.randint(0, 1)]
         counts[votes[0] + 3 * votes[1] + 9 * votes[2]] += 1
-    post = quality.fit_votes(dict(counts), rules=3)
+    post = quality.fit_votes(dict(counts), rules=3, belief=0.0)
     assert post[1 + 3 + 0] > 0.9 and post[0 + 0 + 9] < 0.1
+    fair, broken = 3**len(quality.RULES) // 2, 3**len(quality.RULES) // 2 - 9  # all say good; all but the third
+    for n in (10, 10_000_000):
+        post = quality.fit_votes({fair: 93 * n, broken: 7 * n})
+        assert post[fair] > 0.9 and post[broken] < 0.5
     assert quality.fit_votes({}) == {} and 0 < quality.fit_votes({3**len(quality.RULES) - 1: 5})[3**len(quality.RULES) - 1] < 1
 
 
