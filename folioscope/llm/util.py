@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: By application, where the session names no folder.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is set."""
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="folioscope-")
+        root = _OWN[app]
     return root.rstrip("/")
 
 
