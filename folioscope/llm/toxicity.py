@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.language import sample
 from folioscope.llm.util import is_held_out
 
-#: Labelled documents learned from at most for each label, and windows of each of them.
-SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1600, 8
+#: Labelled documents learned from at most for each label, and windows of each of them. Up to 1000 rows of a key Spark
+#: cuts the ranking on each partition before it shuffles.
+SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1000, 8
 STEPS, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 14, 8
 GRAM_ROWS, GRAM_SIZE = 1 << 17, 16
@@ -72,7 +73,7 @@ class Vocabulary:
         self.word = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in words), np.int64, len(words))
         flat = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8).astype(np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         rows, owners = [], []
         h = flat
         for n in range(2, max(GRAMS) + 1):
@@ -82,10 +83,10 @@ class Vocabulary:
             if n in GRAMS:
                 inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
                 mixed = (h[inside] ^ np.uint32(n)) * np.uint32(0x9E3779B1)
-                rows.append((mixed >> np.uint32(15)).astype(np.int64))
+                rows.append((mixed >> np.uint32(15)).astype(np.int32))
                 owners.append(owner[: len(owner) - n + 1][inside])
-        self.gram = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.gram_of = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        self.gram = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.gram_of = np.concatenate(owners) if owners else np.zeros(0, np.int32)
         order = np.argsort(self.gram_of, kind="stable")
         self.gram, self.gram_of = self.gram[order], self.gram_of[order]
         self.counts = np.maximum(1, np.bincount(self.gram_of, minlength=len(words)))
@@ -99,6 +100,12 @@ class Vocabulary:
         return np.concatenate([net["word"][self.word], sums / self.counts[:, None].astype(np.float32)], axis=1)
 
 
+def word_inputs(words: list[bytes], net: dict[str, np.ndarray], at_once: int = 10_000) -> np.ndarray:
+    """Inputs of many words, in parts that take little memory."""
+    parts = [Vocabulary(words[k : k + at_once]).inputs(net) for k in range(0, len(words), at_once)]
+    return np.concatenate(parts) if parts else np.zeros((0, WORD_SIZE + GRAM_SIZE), np.float32)
+
+
 def windows_of(count: int) -> list[int]:
     """First words of a text's windows: every STRIDE words, until the last word is in one."""
     return list(range(0, max(1, count - STEPS + STRIDE), STRIDE)) if count > STEPS else [0]
@@ -264,7 +271,7 @@ class Lexicon:
         ids, ends = _number(texts, self.number)
         new = list(islice(self.number, self.known, None))
         if new:
-            projected = _project(Vocabulary(new).inputs(self.net), self.net)
+            projected = _project(word_inputs(new, self.net), self.net)
             while len(self.rows["f"]) <= len(self.number):
                 self.rows = {s: np.concatenate([r, np.zeros_like(r)]) for s, r in self.rows.items()}
             for side, rows in self.rows.items():
@@ -399,7 +406,7 @@ def _first_of_each(owner: np.ndarray, by: np.ndarray, most: int = WINDOWS_PER_DO
 
 
 def _logits_at(net: dict, distinct: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    projected = _project(Vocabulary(distinct).inputs(net), net)
+    projected = _project(word_inputs(distinct, net), net)
     none = len(distinct)
     parts = [_window_words(ids, starts[k : k + GROUP], stops[k : k + GROUP], none) for k in range(0, len(starts), GROUP)]
     return np.concatenate([logits(net, projected, p, none) for p in parts])

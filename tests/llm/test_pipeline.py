@@ -47,7 +47,8 @@ def test_dedup_stage(spark, documents):
     assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
 
 
-def test_secrets_stage(spark, documents):
+def test_secrets_stage(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     spans = {r.doc_id: r.spans for r in secrets.scan_secrets(documents).collect()}
     before = {r.doc_id: r.text for r in documents.collect()}
     hit = 0
