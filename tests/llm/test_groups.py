@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -135,6 +136,22 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_lone_vectors_in_a_large_label(spark):
+    """Pairs just above the threshold among 60000 vectors of one label: 8 passes find too few."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, y = x[:1000], x[1000:2000]
+    y = y - (y * a).sum(axis=1, keepdims=True) * a
+    x[1000:2000] = 0.9301 * a + (1 - 0.9301**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": lists, "label": np.ones(len(x), "int32")})
+    got = embeddings.near_duplicates(spark.createDataFrame(table)).where("n_links = 1 and vec_id < 2000")
+    assert got.count() > 0.93 * 2000
+    sizes = [embeddings.passes_for(n) for n in (0, 2000, 200_000, 1_000_000, 10**9)]
+    assert sizes[:2] == [8, 8] and 12 <= sizes[2] < sizes[3] < sizes[4]
+
+
 def judge(url):
     """Host, path and the longest rule, by hand."""
     if url is None or "://" not in url:
