@@ -122,39 +122,39 @@ def vote_pattern() -> Column:
 
 
 #: What is believed before any document is seen: how often a rule says bad about a good and about a bad document,
-#: the share of good documents, and how much the belief weighs for each class, as a multiple of the documents.
-#: One rule alone can't tell "bad documents break it" from "good ones break it now and then"; the belief does.
-BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD = 0.005, 0.3, 0.9
-WEIGHT_GOOD, WEIGHT_BAD, WEIGHT_SHARE = 3.0, 0.05, 0.5
+#: the share of good documents, and how much the beliefs weigh for both classes, as a multiple of the documents.
+#: One rule alone can't tell "bad documents break it" from "good ones break it now and then"; the belief does, and it
+#: weighs so much that the verdict on documents that break one rule doesn't turn with their number.
+BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD = 0.02, 0.3, 0.9
+#: Rules believed otherwise (good, bad): prose, lists and verse hardly hold these symbols, so this one rejects alone.
+BREAKS_OTHERWISE = {"symbols": (0.0005, 0.8)}
+WEIGHT = 30.0
 
 
 def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60, belief: float = 1.0) -> dict[int, float]:
     """Posterior probability of good for each pattern, by expectation-maximisation.
 
-    Starts from suspicion: a document without a bad vote is taken as good, one with bad votes as
-    bad, the more the surer; a good document breaks few rules, but a bad one often breaks
-    just one. The rounds then estimate the rules' accuracies, together with the belief above,
-    whose weight ``belief`` scales.
+    Starts from the beliefs above alone, whatever the counts. The rounds then estimate the
+    rules' accuracies together with the beliefs, whose weight ``belief`` scales; both classes
+    are held by them equally, so that no pattern becomes a class by its count.
     """
     votes = {p: [p // 3**k % 3 for k in range(rules)] for p in counts}
-    post = {p: 0.99 if BAD not in v else 0.05 ** v.count(BAD) for p, v in votes.items()}
-    total = sum(counts.values())
-    of_good, of_bad, of_share = (max(1.0, belief * w * total) for w in (WEIGHT_GOOD, WEIGHT_BAD, WEIGHT_SHARE))
-    for _ in range(rounds):
-        share = (sum(counts[p] * post[p] for p in post) + SHARE_GOOD * of_share) / (total + of_share)
+    breaks = [BREAKS_OTHERWISE.get(name, (BREAKS_GOOD, BREAKS_BAD)) for name in RULES]
+    weight = max(1.0, belief * WEIGHT * sum(counts.values()))
+    post: dict[int, float] = {}
+    for _ in range(rounds + 1):
+        share = (sum(counts[p] * post[p] for p in post) + SHARE_GOOD * weight) / (sum(counts[p] for p in post) + weight)
         odds = math.log(share / (1 - share))
         gain = []
         for k in range(rules):
-            good = [BREAKS_GOOD * of_good, (1 - BREAKS_GOOD) * of_good]  # good documents' bad and good votes
-            bad = [BREAKS_BAD * of_bad, (1 - BREAKS_BAD) * of_bad]
-            for p, v in votes.items():
-                if v[k] != ABSTAIN:
-                    good[v[k]] += counts[p] * post[p]
-                    bad[v[k]] += counts[p] * (1 - post[p])
+            good, bad = ([x * weight, (1 - x) * weight] for x in breaks[k])  # each class's bad and good votes
+            for p, q in post.items():
+                if votes[p][k] != ABSTAIN:
+                    good[votes[p][k]] += counts[p] * q
+                    bad[votes[p][k]] += counts[p] * (1 - q)
             gain.append([math.log(good[x] / sum(good)) - math.log(bad[x] / sum(bad)) for x in (BAD, GOOD)])
-        for p, v in votes.items():
-            x = odds + sum(gain[k][v[k]] for k in range(rules) if v[k] != ABSTAIN)
-            post[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        sums = {p: odds + sum(gain[k][v[k]] for k in range(rules) if v[k] != ABSTAIN) for p, v in votes.items()}
+        post = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for p, x in sums.items()}
     return post
 
 

@@ -80,6 +80,17 @@ def test_votes_find_the_better_rules():
     assert quality.fit_votes({}) == {} and 0 < quality.fit_votes({3**len(quality.RULES) - 1: 5})[3**len(quality.RULES) - 1] < 1
 
 
+def test_votes_on_one_broken_rule_do_not_turn_with_their_number():
+    """Whatever share of the rows breaks one rule only: all but the symbols rule leave them, that one rejects them."""
+    fair = 3**len(quality.RULES) // 2
+    for k, name in enumerate(quality.RULES):
+        for share in (1, 3, 10, 33, 50):
+            post = quality.fit_votes({fair: 1000 * (100 - share), fair - 3**k: 1000 * share})
+            assert (post[fair - 3**k] >= 0.5) == (name != "symbols") and post[fair] > 0.9
+    post = quality.fit_votes({fair: 66_000, fair - 3**6: 33_000, fair - 3**6 - 3**4 - 3**5: 1000})
+    assert post[fair - 3**6] > 0.5 > post[fair - 3**6 - 3**4 - 3**5]
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", t):
