@@ -4,7 +4,8 @@ Each rule votes good (1), bad (0) or abstains (2). The votes of a document form
 pattern; there are at most 3 ** len(RULES) patterns whatever the number of documents.
 Expectation-maximisation over the counted patterns estimates how often each rule says
 good about good and about bad documents, and a document is judged by the posterior
-probability that it is good, not by passing every rule.
+probability that it is good, not by passing every rule. The counts and the posteriors are
+of all documents; those that fail the base rule are never kept, whatever their posterior.
 
 Cases: null text counts as empty; no words give zero features, and rules that divide by
 them abstain; repeated rows are judged alike; an empty table gives an empty result; other
@@ -161,8 +162,7 @@ def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60,
 def _judged(rows: DataFrame, pattern: str) -> DataFrame:
     """``rows`` with their quality; the table of patterns is bounded by the rules, so it is broadcast."""
     spark = rows.sparkSession
-    # base failures are decided already, and so many alike would draw the class of bad documents to themselves
-    counts = {r[0]: r[1] for r in rows.where("not base_failed").groupBy(pattern).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(pattern).count().collect()}
     table = [(p, float(q)) for p, q in fit_votes(counts).items()]
     known = spark.createDataFrame(table, "pattern int, quality double")
     return rows.join(F.broadcast(known), F.col(pattern) == known["pattern"], "left").drop(known["pattern"])
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = docs.select(F.col(id_col).alias("doc_id"), features(text_or_empty(text_col)).alias("f")).select("doc_id", "f.*")
     rows = stash.put(seen.withColumns({"base_failed": base_failed(), "vote_pattern": vote_pattern()}), "features")
     return _judged(rows, "vote_pattern").select(
-        "doc_id", *FEATURES, "base_failed", F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")).alias("quality"),
+        "doc_id", *FEATURES, "base_failed", "quality",
         (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"),
     )
 

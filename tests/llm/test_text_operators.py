@@ -80,6 +80,20 @@ def test_votes_find_the_better_rules():
     assert quality.fit_votes({}) == {} and 0 < quality.fit_votes({3**len(quality.RULES) - 1: 5})[3**len(quality.RULES) - 1] < 1
 
 
+def test_quality_counts_every_row(spark):
+    """Documents that fail the base rule take part in the fit and get its posterior, but are never kept."""
+    text = " ".join(f"word{k}" + "." * (k % 9 == 8) for k in range(90))
+    short = " ".join(text.split()[:45])
+    rows = [(k, text if k < 20 else short) for k in range(30)]
+    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fair = 3**len(quality.RULES) // 2
+    post = quality.fit_votes({fair: 20, fair - 1: 10})
+    assert len(got) == 30
+    for r in got:
+        assert r.base_failed == (r.doc_id >= 20) and r.kept == (r.doc_id < 20)
+        assert r.quality == pytest.approx(post[fair - (r.doc_id >= 20)]) and r.quality > 0
+
+
 def test_votes_on_one_broken_rule_do_not_turn_with_their_number():
     """Whatever share of the rows breaks one rule only: all but the symbols rule leave them, that one rejects them."""
     fair = 3**len(quality.RULES) // 2
