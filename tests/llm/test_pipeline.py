@@ -1,5 +1,8 @@
 """Every stage of the pipeline against a plainer count of the same thing."""
 
+import itertools
+import random
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +50,41 @@ def test_dedup_stage(spark, documents):
     assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
 
 
+def test_near_dedup_stage(spark):
+    """Groups by 5-word Jaccard of 0.8, by brute force; copies with a word changed here and there are among them."""
+    rng, words = random.Random(4), [f"w{k}" for k in range(3000)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for group in range(60):
+        base = rng.choices(words, k=200)
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(200), k * (1 + group % 3)):
+                copy[at] = rng.choice(words)
+            rows.append((10_000 + 10 * group + k, " ".join(copy)))
+    rows += [(20_000, None), (20_001, ""), (20_002, " \n"), (20_003, "Two words"), (20_004, "two  words")]
+    sets = {}
+    for i, text in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    docs = spark.createDataFrame(rows + [(None, "no id"), (None, "no id")], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    got = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and got.count(None) == 2
+    assert sorted(i for i in got if i is not None) == sorted(i for i in group if group[i] == i)
+
+
 def test_secrets_stage(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     spans = {r.doc_id: r.spans for r in secrets.scan_secrets(documents).collect()}
