@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -257,5 +259,31 @@ def test_word_ids_match_the_tokenizer():
     rng, tokenizer, mine = random.Random(2), Tokenizer.from_file(WORDS), packing.load(WORDS)
     alphabet = "abcdeſŉßÀÖØöøİıɏéÉ.,'!?1 \n\t\x1c\xa0́日ǅǆ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["It's. of, IT'S.. a.b ,x <|endoftext|>."]
-    got = [np.frombuffer(b, "<u2").tolist() for b in mine.batch(texts)]
-    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, ends = mine.batch(pa.array([*texts, None]))
+    got = [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert mine.units and got == [[*e.ids, 1] for e in tokenizer.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
+def test_texts_are_sliced_by_their_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 5, "c" * 30, "", "d"]})
+    parts = [p.column(0).to_pylist() for p in packing.slices(batch, 0, 10)]
+    assert sum(parts, []) == batch.column(0).to_pylist() and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in parts)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_combinations_place_the_tails(sf):
+    """On the given documents' lengths over nine tenths of the tails find a place without being cut."""
+    words, texts = packing.load(WORDS), pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])
+    lengths = collections.Counter()
+    for batch in texts.to_batches():
+        for part in packing.slices(batch, 0):
+            lengths.update((np.diff(words.batch(part.column(0))[1], prepend=0) % 2048).tolist())
+    lengths.pop(0, None)
+    rows, sequences = packing.plan(lengths)
+    placed = sum(high - low for _, low, high, _, _, stream in rows if stream is None)
+    assert placed > 0.9 * lengths.total() and sequences == -(-sum(k * v for k, v in lengths.items()) // 2048)
+    by_sequence = collections.Counter()
+    for length, low, high, first, _, stream in rows:
+        if stream is None:
+            by_sequence.update({s: length for s in range(first, first + high - low)})
+    assert set(by_sequence.values()) == {2048}  # each combination fills its window
