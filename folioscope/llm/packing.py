@@ -47,7 +47,7 @@ CHOICES, MOST_PARTS, SOLUTIONS = 8, 8, 12
 #: A remainder under this isn't rounded up.
 LEAST_SHARE = 0.02
 #: Bytes of text whose distinct words are encoded together in a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 #: Latin letters that lower-casing leaves single, and ASCII signs but the apostrophe: what simple words consist of.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
