@@ -25,13 +25,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.sampling import labelled_sample
 from folioscope.llm.util import is_held_out
 
-#: Documents learned from at most, for each language, and characters of all their snippets together.
-SAMPLE_PER_LANGUAGE = 250
+#: Documents learned from at most, for each language, and characters of each at most, in stretches from all over it.
+SAMPLE_PER_LANGUAGE, MOST_CHARS = 250, 16_384
+#: Characters of a snippet at most, and about how many snippets are learned from.
 SNIPPET, SNIPPETS = 240, 6000
 ROWS, DIMENSIONS = 1 << 15, 16
 EPOCHS, RATE = 3, 0.6
@@ -166,23 +168,10 @@ def _calibrated(model: Model, checks: list[tuple[str, str]], rng: np.random.Gene
     return model
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list[tuple[str, str]]:
-    """(text, label) of at most ``per_label`` learnable documents a label, the same ones on every run.
-
-    Ids are chosen first, from narrow columns; ranks are cut to the limit before the shuffle.
-    """
-    named = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = named.where(~is_held_out(F.col("id"))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
-    picked = [r[0] for r in chosen.select("id").distinct().collect()]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in picked], "id long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    rows = rows.where("text is not null and label is not null").join(F.broadcast(wanted), "id").dropDuplicates(["id"])
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: r.id)]
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return train(sample(docs, id_col, text_col, lang_col, SAMPLE_PER_LANGUAGE))
+    """A model of the languages of learnable documents, from a bounded sample."""
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("label"))
+    return train(labelled_sample(named.select("id", "text"), named.select("id", "label"), SAMPLE_PER_LANGUAGE, MOST_CHARS))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,13 +8,13 @@ logit. A document's score comes from its highest window and the share of its win
 look toxic, by a fitted logistic curve.
 
 Training is in numpy, by back-propagation through time on a bounded, documented sample of
-labelled documents. The first value of each embedding starts as the smoothed log-odds of its
-hash row among toxic and clean documents. Labels are given to documents, not windows: at first all windows
+labelled documents. The smoothed log-odds of its hash row among toxic and clean documents are
+added to the first value of each embedding; while training, those of a document come from other
+documents than it. Labels are given to documents, not windows: at first all windows
 of a toxic document count as toxic, later those that the network finds so and the highest
 one.
 
-Cases: null or empty text has one window without words and gets the score of nothing seen,
-near 0; very long texts are scored whole, windows in bounded groups; a label that is null or
+Cases: text without a word (null, empty, or signs alone) scores 0 and is not learned from; very long texts are scored whole, windows in bounded groups; a label that is null or
 belongs to no document is not learned from; no toxic or no clean example makes a model that
 scores everything 0 (no toxic) or 1 (no clean); repeated rows are scored alike; other columns are ignored.
 """
@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.language import sample
+from folioscope.llm.sampling import labelled_sample
 from folioscope.llm.util import is_held_out
 
-#: Labelled documents learned from at most for each label, and windows of each of them. Up to 1000 rows of a key Spark
-#: cuts the ranking on each partition before it shuffles.
-SAMPLE_PER_LABEL, WINDOWS_PER_DOCUMENT = 1000, 8
+#: Labelled documents learned from at most for each label, characters of each at most (in stretches from all over it)
+#: and windows of each.
+SAMPLE_PER_LABEL, MOST_CHARS, WINDOWS_PER_DOCUMENT = 1000, 32_768, 8
+#: The score of a text without a word, which no curve decides.
+NO_WORDS = 0.0
 STEPS, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 14, 8
 GRAM_ROWS, GRAM_SIZE = 1 << 17, 16
@@ -50,8 +52,9 @@ REVIEWS, CHECK_EVERY = (60, 110, 160), 40
 LEAST_DOCUMENTS = 3
 #: Scale of the log-odds that embeddings start from.
 ODDS = 0.5
-#: Parts that a label's examples go to in turn: 0 counts log-odds, 1 trains the network, 2 fits the curve and picks the round.
-PARTS = (0, 1, 0, 2, 0, 1)
+#: Parts that a label's examples go to in turn: 0 and 1 train the network, each with log-odds counted in the other;
+#: 2 fits the curve and picks the round.
+PARTS = (0, 1, 0, 1, 2)
 TABLES, TABLE_RATE = ("word", "gram"), 1
 #: Windows scored at once in a task, and distinct words kept.
 GROUP = 8192
@@ -206,11 +209,12 @@ def _gradients(net: dict, vocabulary: Vocabulary, words: np.ndarray, none: int,
     out["att_bias"] = d_hidden.sum(axis=(0, 1))
     d_states = share[:, :, None] * d_pool + d_hidden @ net["att"].T
 
-    d_rows = {s: np.zeros_like(projected[s]) for s in ("f", "b")}
+    d_rows = {}
     for side in ("f", "b"):
         at = 0 if side == "f" else HIDDEN
         re, d_re = net[f"re_{side}"], np.zeros_like(net[f"re_{side}"])
         d_h = np.zeros((words.shape[1], HIDDEN), np.float32)
+        d_all = np.zeros((*words.shape, 3 * HIDDEN), projected[side].dtype)
         for _, t, h, r, z, back, c in reversed([k for k in keep if k[0] == side]):
             d_new = (d_h + d_states[t, :, at : at + HIDDEN]) * mask[t][:, None]
             passed = (d_h + d_states[t, :, at : at + HIDDEN]) * ~mask[t][:, None]
@@ -221,18 +225,28 @@ def _gradients(net: dict, vocabulary: Vocabulary, words: np.ndarray, none: int,
             d_back = np.concatenate([d_r, d_z, d_c * r], axis=1)
             d_re += h.T @ d_back
             d_h = d_new * z + d_back @ re.T + passed
-            np.add.at(d_rows[side], words[t], d_x)
+            d_all[t] = d_x
+        d_rows[side] = _summed(words.ravel(), d_all.reshape(-1, 3 * HIDDEN), len(projected[side]))
         out[f"re_{side}"] = d_re
     d_inputs = np.zeros_like(inputs)
     for side in ("f", "b"):
         rows = d_rows[side][:-1]
         out[f"in_{side}"], out[f"bias_{side}"] = inputs.T @ rows, rows.sum(axis=0)
         d_inputs += rows @ net[f"in_{side}"].T
-    out["word"], out["gram"] = np.zeros_like(net["word"]), np.zeros_like(net["gram"])
-    np.add.at(out["word"], vocabulary.word, d_inputs[:, :WORD_SIZE])
-    if len(vocabulary.gram):
-        d_grams = d_inputs[:, WORD_SIZE:] / vocabulary.counts[:, None].astype(np.float32)
-        np.add.at(out["gram"], vocabulary.gram, d_grams[vocabulary.gram_of])
+    out["word"] = _summed(vocabulary.word, d_inputs[:, :WORD_SIZE], WORD_ROWS)
+    d_grams = d_inputs[:, WORD_SIZE:] / vocabulary.counts[:, None].astype(np.float32)
+    out["gram"] = _summed(vocabulary.gram, d_grams[vocabulary.gram_of], GRAM_ROWS)
+    return out
+
+
+def _summed(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """For each of ``rows`` the sum of the values that ``index`` sends there."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        starts = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+        out[index[starts]] = np.add.reduceat(values[order], starts, axis=0)
     return out
 
 
@@ -248,8 +262,10 @@ class Model:
     def score(self, texts: list[str | None], lexicon: Lexicon | None = None) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.constant)
-        x = document_features(texts, *window_logits(self.net, texts, lexicon or Lexicon(self.net)))
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -60, 60)))
+        owner, found, counts = window_logits(self.net, texts, lexicon or Lexicon(self.net))
+        x = document_features(len(texts), owner, found)
+        scores = 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -60, 60)))
+        return np.where(counts > 0, scores, NO_WORDS)
 
 
 class Lexicon:
@@ -301,28 +317,29 @@ def _all_windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, np.concatenate(firsts) if firsts else np.zeros(0, np.int64), ends[owner]
 
 
-def window_logits(net: dict, texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(text, logit) of every window of every text."""
+def window_logits(net: dict, texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window's text and logit, and every text's number of words."""
     ids, ends = lexicon.take_in(texts)
     owner, starts, stops = _all_windows(ends)
     out = [
         logits(net, lexicon.rows, _window_words(ids, starts[k : k + GROUP], stops[k : k + GROUP], 0), 0)
         for k in range(0, len(starts), GROUP)
     ]
-    return owner, np.concatenate(out) if out else np.zeros(0, np.float32)
+    return owner, np.concatenate(out) if out else np.zeros(0, np.float32), np.diff(ends, prepend=0)
 
 
-def document_features(texts: list[str | None], owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+def document_features(texts: int, owner: np.ndarray, found: np.ndarray) -> np.ndarray:
     """A document's highest logit, and the share of its windows that look toxic, smoothed."""
-    top = np.full(len(texts), -np.inf)
+    top = np.full(texts, -np.inf)
     np.maximum.at(top, owner, found)
-    count = np.bincount(owner, minlength=len(texts))
-    share = np.bincount(owner, weights=_sigmoid(found), minlength=len(texts)) / np.maximum(count, 1)
+    count = np.bincount(owner, minlength=texts)
+    share = np.bincount(owner, weights=_sigmoid(found), minlength=texts) / np.maximum(count, 1)
     return np.stack([top, np.log(share + 0.01)], axis=1)
 
 
 def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
-    """``examples`` are (text, toxic)."""
+    """``examples`` are (text, toxic); those without a word are left out."""
+    examples = [(t, y) for t, y in examples if words_of(t)]
     labels = np.array([int(y) for _, y in examples], np.float32)
     if not len(labels) or not labels.any():
         return Model(None)
@@ -332,33 +349,37 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
     part = np.zeros(len(labels), np.int64)
     for y in (0, 1):
         part[labels == y] = np.resize(PARTS, int((labels == y).sum()))
-    of = lambda k: ([t for (t, _), p in zip(examples, part) if p == k], labels[part == k])
-    (counted, counted_labels), (texts, labels), (checks, check_labels) = of(0), of(1), of(2)
-    if len(set(labels)) < 2 or len(set(check_labels)) < 2:  # too few for parts of their own
-        counted, counted_labels = texts, labels = checks, check_labels = [t for t, _ in examples], np.array([int(y) for _, y in examples], np.float32)
+    texts = [t for t, _ in examples]
+    if any(len(set(labels[part == k])) < 2 for k in range(3)):  # too few for parts of their own
+        texts, labels, part = 3 * texts, np.tile(labels, 3), np.repeat([0, 1, 2], len(labels))
+    checks, check_labels = [t for t, p in zip(texts, part) if p == 2], labels[part == 2]
+    texts, labels, part = [t for t, p in zip(texts, part) if p != 2], labels[part != 2], part[part != 2]
     number: dict[bytes, int] = {}
     ids, ends = _number(texts, number)
     distinct = list(number)
     owner, starts, stops = _all_windows(ends)
-    target = labels[owner]
+    target, side = labels[owner], part[owner]
     use = _first_of_each(owner, rng.random(len(owner)))
     net = fresh(seed)
     moved = {k: np.float32(0) if k in TABLES else np.zeros_like(v) for k, v in net.items()}
-    live = _start_from_odds(net, counted, counted_labels)
+    odds, live = _log_odds(distinct, ids, ends, labels, part)
     best: Model | None = None
     for step in range(ROUNDS):
         if step in REVIEWS:
-            found = _logits_at(net, distinct, ids, starts, stops)
+            found = np.zeros(len(owner), np.float32)
+            for k in (0, 1):
+                mine = side == k
+                found[mine] = _logits_at(_with_odds(net, odds[k]), distinct, ids, starts[mine], stops[mine])
             toxic = (found > 0) | _first_of_each(owner, -found, 1)
             hard = _first_of_each(owner, -found, WINDOWS_PER_DOCUMENT // 2) | _first_of_each(owner, rng.random(len(owner)), WINDOWS_PER_DOCUMENT // 2)
             use = np.where(target == 1, toxic & _first_of_each(owner, rng.random(len(owner)) - toxic), hard)
-        # as many windows of either label, whatever their numbers
-        at = np.concatenate([rng.choice(np.flatnonzero(use & (target == y)), BATCH // 2) for y in (0, 1)])
+        # as many windows of either label, whatever their numbers; the two parts take turns
+        at = np.concatenate([rng.choice(np.flatnonzero(use & (target == y) & (side == step % 2)), BATCH // 2) for y in (0, 1)])
         words = _window_words(ids, starts[at], stops[at], -1)
         seen, local = np.unique(words, return_inverse=True)
         known = seen[seen >= 0]
         local = np.where(words < 0, len(known), local.reshape(words.shape) - (len(seen) - len(known)))
-        grads = _gradients(net, Vocabulary([distinct[w] for w in known]), local, len(known), target[at])
+        grads = _gradients(_with_odds(net, odds[step % 2]), Vocabulary([distinct[w] for w in known]), local, len(known), target[at])
         rate = RATE * (1 - 0.8 * step / ROUNDS)
         for name, g in grads.items():
             if name in TABLES:
@@ -370,30 +391,44 @@ def train(examples: list[tuple[str, int]], seed: int = 5) -> Model:
                 moved[name] += g * g
                 net[name] -= (rate * g / (np.sqrt(moved[name]) + 1e-6)).astype(np.float32)
         if (step + 1) % CHECK_EVERY == 0 and step >= REVIEWS[0]:
-            now = _calibrated(net, checks, check_labels)
+            now = _calibrated(_with_odds(net, odds[2]), checks, check_labels)
             if best is None or now.loss < best.loss:
                 best = now
     return best
 
 
-def _start_from_odds(net: dict, texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Sets each embedding's first value to its hash row's log-odds; says which rows enough documents have."""
-    number: dict[bytes, int] = {}
-    ids, ends = _number(texts, number)
-    vocabulary = Vocabulary(list(number))
-    first = np.searchsorted(vocabulary.gram_of, np.arange(len(number) + 1))
-    seen = {name: np.zeros((2, rows)) for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
-    for start, end, label in zip(np.concatenate(([0], ends[:-1])), ends, labels):
+def _with_odds(net: dict, odds: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The network with log-odds added to each embedding's first value."""
+    out = net | {name: net[name].copy() for name in TABLES}
+    for name in TABLES:
+        out[name][:, 0] += odds[name]
+    return out
+
+
+def _log_odds(distinct: list[bytes], ids: np.ndarray, ends: np.ndarray, labels: np.ndarray, part: np.ndarray) -> tuple[list[dict], dict[str, np.ndarray]]:
+    """Hash rows' log-odds for documents of part 0 (counted in part 1), of part 1 (in part 0) and for others (in both).
+
+    Also says which rows enough documents have.
+    """
+    vocabulary = Vocabulary(distinct)
+    first = np.searchsorted(vocabulary.gram_of, np.arange(len(distinct) + 1))
+    seen = {name: np.zeros((2, 2, rows)) for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS))}
+    for start, end, label, k in zip(np.concatenate(([0], ends[:-1])), ends, labels.astype(int), part):
         words = np.unique(ids[start:end])
-        seen["word"][int(label)][np.unique(vocabulary.word[words])] += 1
+        seen["word"][k, label][np.unique(vocabulary.word[words])] += 1
         spans = [vocabulary.gram[first[w] : first[w + 1]] for w in words]
-        seen["gram"][int(label)][np.unique(np.concatenate(spans)) if spans else []] += 1
-    live = {}
-    for name, (clean, toxic) in seen.items():
-        live[name] = (toxic + clean >= LEAST_DOCUMENTS).astype(np.float32)
-        odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
-        net[name][:, 0] = ODDS * live[name] * odds
-    return live
+        seen["gram"][k, label][np.unique(np.concatenate(spans)) if spans else []] += 1
+    documents = np.array([[((part == k) & (labels == y)).sum() for y in (0, 1)] for k in (0, 1)])
+    live = {name: (n.sum(axis=(0, 1)) >= LEAST_DOCUMENTS).astype(np.float32) for name, n in seen.items()}
+    out = []
+    for counted in ([1], [0], [0, 1]):
+        total, odds = documents[counted].sum(axis=0), {}
+        for name, n in seen.items():
+            clean, toxic = n[counted].sum(axis=0)
+            heard = toxic + clean >= min(LEAST_DOCUMENTS, LEAST_DOCUMENTS * len(counted) / 2)
+            odds[name] = (ODDS * heard * (np.log((toxic + 0.5) / (total[1] + 1)) - np.log((clean + 0.5) / (total[0] + 1)))).astype(np.float32)
+        out.append(odds)
+    return out, live
 
 
 def _first_of_each(owner: np.ndarray, by: np.ndarray, most: int = WINDOWS_PER_DOCUMENT) -> np.ndarray:
@@ -414,7 +449,7 @@ def _logits_at(net: dict, distinct: list[bytes], ids: np.ndarray, starts: np.nda
 
 def _calibrated(net: dict, texts: list[str], labels: np.ndarray) -> Model:
     """A logistic curve over documents' features, slightly smoothed at the ends, by Newton's steps."""
-    x = document_features(texts, *window_logits(net, texts, Lexicon(net)))
+    x = document_features(len(texts), *window_logits(net, texts, Lexicon(net))[:2])
     middle, width = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = np.concatenate([(x - middle) / width, np.ones((len(x), 1))], axis=1)
     y = labels * 0.99 + 0.005
@@ -434,11 +469,9 @@ def _calibrated(net: dict, texts: list[str], labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of ``labels`` (doc_id, toxic), from a bounded sample of labelled documents."""
-    marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("toxic")).where("label_id is not null and toxic is not null")
-    marked = marked.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = named.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    return train(sample(joined, "doc_id", "text", "toxic", SAMPLE_PER_LABEL))
+    marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return train(labelled_sample(named, marks, SAMPLE_PER_LABEL, MOST_CHARS))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 250) -> DataFrame:
