@@ -6,11 +6,15 @@ the trigrams that any query names, the documents that hold them; counting a clau
 postings for each document intersects them, and only documents that meet a clause are
 verified with that rule's expression. Rules without mandatory trigrams scan every text.
 
+Only ids and postings are shuffled, and the texts that hold some clause's rarest trigram; all other
+texts can't be candidates and are scanned where they are read.
+
 Cases: null text counts as empty and has no span; a null id can't be indexed, so such
 rows are verified with every rule; rows that repeat an id share their candidates, a
 superset for each, and are verified apart; equal starts are ordered by the rules' order;
-an empty table gives an empty result; other columns don't matter to ``scan_secrets`` and
-pass through ``redact_secrets``.
+very long texts and texts with very many spans take time in proportion to their length, as running
+sums go by blocks and no expression starts inside a run of its own letters; an empty table gives an empty
+result; other columns don't matter to ``scan_secrets`` and pass through ``redact_secrets``.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.util import let, text_or_empty
+from folioscope.llm.util import Stash, let, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -54,8 +59,8 @@ MORE_RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z]+://[^\s:/@]+:[^\s:/@]+@"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", r"(?<![a-z])[a-z]+://[^\s:/@]+:[^\s:/@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -101,7 +106,7 @@ def _part(op, arg) -> tuple[set[str] | None, Clauses]:
         return {chr(arg).lower()}, NOTHING
     if op is sre.IN and len(arg) <= MOST and all(o is sre.LITERAL for o, _ in arg):
         return {chr(v).lower() for _, v in arg}, NOTHING
-    if op is sre.AT:
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
         return {""}, NOTHING
     if op is sre.SUBPATTERN:
         return _walk(arg[3])
@@ -130,26 +135,42 @@ def trigram_query(pattern: str) -> Clauses:
     return _of_strings(strings) if strings is not None else query
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class Term:
+    """A trigram of one clause of a rule's query; ``needed`` is how many trigrams the clause has."""
+
+    trigram: str
+    rule: int
+    clause: int
+    needed: int
+
+
+def query_terms(rules: tuple[Rule, ...]) -> list[Term]:
+    queries = [(r, trigram_query(rule.pattern)) for r, rule in enumerate(rules)]
+    clauses = [(r, c, clause) for r, q in queries if q != NOTHING for c, clause in enumerate(sorted(map(sorted, q)))]
+    return [Term(t, r, c, len(clause)) for r, c, clause in clauses for t in clause]
+
+
+def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("low")).where("id is not null")
+
+
+def inverted_index(docs: DataFrame, terms: list[Term], id_col: str, text_col: str) -> DataFrame:
+    """Postings (id, trigrams): the trigrams of the queries that a row holds; rows that hold none have no posting."""
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted({x.trigram for x in terms})]))
+    return _lowered(docs, id_col, text_col).select("id", held.alias("trigrams")).where("size(trigrams) > 0")
+
+
+def candidates(index: DataFrame, terms: list[Term]) -> DataFrame:
     """(id, rules): per document, the indexes of the rules whose trigram query it meets.
 
-    Postings are (trigram, id) for the trigrams that queries name; the table of queries is
-    bounded by the rules and broadcast.
+    The table of queries is bounded by the rules and broadcast.
     """
-    spark = docs.sparkSession
-    terms, seen = [], set()
-    for r, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        if query != NOTHING:
-            for c, clause in enumerate(sorted(map(sorted, query))):
-                terms += [(t, r, c, len(clause)) for t in clause]
-                seen.update(clause)
-    lowered = docs.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("low")).where("id is not null")
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(seen)]))
-    postings = lowered.select("id", F.explode(held).alias("trigram"))
-    query_terms = spark.createDataFrame(terms, "trigram string, rule int, clause int, needed int")
+    postings = index.select("id", F.explode("trigrams").alias("trigram"))
+    rows = [(x.trigram, x.rule, x.clause, x.needed) for x in terms]
+    queries = index.sparkSession.createDataFrame(rows, "trigram string, rule int, clause int, needed int")
     met = (
-        postings.join(F.broadcast(query_terms), "trigram")
+        postings.join(F.broadcast(queries), "trigram")
         .groupBy("id", "rule", "clause", "needed")
         .agg(F.count_distinct("trigram").alias("n"))
         .where("n = needed")
@@ -157,49 +178,89 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return met.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
+def rarest(index: DataFrame, terms: list[Term]) -> list[str]:
+    """The trigram with the fewest postings of each clause; there are as many postings lists as trigrams in the queries."""
+    sizes = {r[0]: r[1] for r in index.select(F.explode("trigrams").alias("trigram")).groupBy("trigram").count().collect()}
+    clauses: dict[tuple[int, int], list[str]] = {}
+    for x in terms:
+        clauses.setdefault((x.rule, x.clause), []).append(x.trigram)
+    return sorted({min(clause, key=lambda t: (sizes.get(t, 0), t)) for clause in clauses.values()})
+
+
+#: Values that a running sum or maximum goes through at once; blocks are then put together.
+RUN_BLOCK = 256
+#: Characters of a piece that texts are cut from.
+PIECE = 4096
 NO_SPANS = "cast(array() as array<struct<start: int, rank: int, kind: string, end: int>>)"
 
 
+def running(values: Column, over) -> Column:
+    """For each integer its sum, or whatever ``over`` makes of two, with all before it, in blocks: no long array is grown by one again and again."""
+
+    def scan(xs: Column) -> Column:
+        def step(out: Column, x: Column) -> Column:
+            return F.concat(out, F.array(F.when(F.size(out) == 0, x).otherwise(over(F.get(out, F.size(out) - 1), x))))
+
+        return F.aggregate(xs, F.expr("cast(array() as array<int>)"), step)
+
+    def joined(blocks: Column) -> Column:
+        tops = let(scan(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1))), lambda t: F.transform(blocks, lambda b, k: F.struct(b.alias("b"), F.get(t, k - 1).alias("before"))))
+        return F.flatten(F.transform(tops, lambda x: F.transform(x["b"], lambda v: F.when(x["before"].isNull(), v).otherwise(over(x["before"], v)))))
+
+    def cut(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / RUN_BLOCK).cast("int")), lambda k: scan(F.slice(xs, k * RUN_BLOCK + 1, F.lit(RUN_BLOCK))))
+        return F.when(F.size(xs) > 0, let(blocks, joined)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return let(values, cut)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans: (start, rank, kind, end), in code points, end exclusive.
 
-    Matches and the pieces between them alternate, so their lengths give the places.
+    Matches and the pieces between them alternate, so their lengths give the places. A text without a match is
+    gone through once.
     """
 
     def place(matches: Column, pieces: Column) -> Column:
-        def step(state: Column, m: Column) -> Column:
-            start = state["at"] + F.char_length(F.get(pieces, state["i"]))
-            end = start + F.char_length(m)
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-            fits = F.char_length(F.regexp_extract(m, rule.regex, rule.group)) >= rule.least
-            out = F.when(fits, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-            return F.struct(end.alias("at"), (state["i"] + 1).alias("i"), out.alias("out"))
-
-        none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr(NO_SPANS).alias("out"))
-        return F.aggregate(matches, none, step)["out"]
-
-    found = let(
+        steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(pieces, i)))
+
+        def span(m: Column, end: Column) -> Column:
+            return F.struct((end - F.char_length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), m.alias("m"))
+
+        fits = F.filter(F.zip_with(matches, running(steps, lambda a, b: a + b), span), lambda s: F.char_length(F.regexp_extract(s["m"], rule.regex, rule.group)) >= rule.least)
+        return F.transform(fits, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
+
+    return let(
         F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)),
-        lambda matches: let(F.split(text, rule.regex, -1), lambda pieces: place(matches, pieces)),
+        lambda matches: F.when(F.size(matches) > 0, let(F.split(text, rule.regex, -1), lambda pieces: place(matches, pieces))).otherwise(F.expr(NO_SPANS)),
     )
-    return F.when(text.rlike(rule.regex), found).otherwise(F.expr(NO_SPANS))
 
 
 def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
     """(row, text, spans): each row as it came, its text or "", and its spans by start, then rule."""
-    found = candidates(docs, rules, id_col, text_col)
+    terms = query_terms(rules)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), text_or_empty(text_col).alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("key"), text_or_empty(f"`{text_col}`").alias("text")
+    )
+    scans = {r: _spans(F.col("text"), rule, r) for r, rule in enumerate(rules)}
+    indexed = {x.rule for x in terms}
+
+    def scanned(some: DataFrame, due) -> DataFrame:
+        spans = [F.when(due(r), scan).otherwise(F.expr(NO_SPANS)) if r in indexed else scan for r, scan in scans.items() if r not in indexed or due(r) is not None]
+        return some.select("row", "text", F.sort_array(F.concat(*spans, F.expr(NO_SPANS))).alias("spans"))
+
+    if not terms:
+        return scanned(rows, lambda r: None)
+    index = Stash(docs.sparkSession, "secrets").put(inverted_index(docs, terms, f"`{id_col}`", f"`{text_col}`"), "index")
+    low = F.lower("text")
+    possible = let(low, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in rarest(index, terms)]))
+    named = rows.where("key is not null").withColumn("possible", possible)
+    few = named.where("possible").join(candidates(index, terms), F.col("key") == F.col("id"), "left")
+    return (
+        scanned(few, lambda r: F.coalesce(F.array_contains("rules", r), F.lit(False)))
+        .unionByName(scanned(named.where("not possible"), lambda r: None))
+        .unionByName(scanned(rows.where("key is null"), lambda r: F.lit(True)))
     )
-    joined = rows.join(found, F.col("key") == F.col("id"), "left").select("row", "key", "text", "rules")
-    spans = []
-    for r, rule in enumerate(rules):
-        scanned = _spans(F.col("text"), rule, r)
-        if trigram_query(rule.pattern) != NOTHING:
-            due = F.col("key").isNull() | F.coalesce(F.array_contains("rules", r), F.lit(False))
-            scanned = F.when(due, scanned).otherwise(F.expr(NO_SPANS))
-        spans.append(scanned)
-    return joined.select("row", "text", F.sort_array(F.concat(*spans)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -230,15 +291,21 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, .
     """
     scanned = _with_spans(docs, rules, id_col, text_col)
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        before = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(inside, state["out"]).otherwise(F.concat(state["out"], before, F.lit(mask))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = let(F.aggregate("spans", start, step), lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    def piece(chunks: Column, start: Column, end: Column) -> Column:
+        """Characters from start up to end, from the chunks that hold them."""
+        a, b = (start / PIECE).cast("int"), (end / PIECE).cast("int")
+        first, last = F.coalesce(F.get(chunks, a), F.lit("")), F.coalesce(F.get(chunks, b), F.lit(""))
+        across = F.concat(F.substring(first, start % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end % PIECE))
+        return F.when(a == b, F.substring(first, start % PIECE + 1, end - start)).otherwise(across)
+
+    def cut(chunks: Column, reach: Column) -> Column:
+        """What stands before each group of overlapping spans, with a mask behind it, and what stands after the last."""
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        opens = F.transform(F.col("spans"), lambda s, i: F.when((i == 0) | (s["start"] >= before(i)), F.struct(before(i).alias("from"), s["start"].alias("to"))))
+        parts = F.transform(F.array_compact(opens), lambda o: F.concat(piece(chunks, o["from"], o["to"]), F.lit(mask)))
+        return F.concat(F.array_join(parts, ""), piece(chunks, F.get(reach, F.size(reach) - 1), F.char_length("text")))
+
+    chunked = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    masked = let(chunked, lambda c: let(running(F.transform("spans", lambda s: s["end"]), F.greatest), lambda r: cut(c, r)))
     text = F.when(F.size("spans") > 0, masked).otherwise(F.col(f"row.`{text_col}`"))
     return scanned.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +139,53 @@ def test_more_secrets_and_masks(spark):
     assert masked == {1: "a # b", 2: "#", 3: "see #host/x", 4: "é # é", 5: None, 6: "clean"}
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Time follows the length, also of runs that an expression could start in again and again."""
+    many = "password=hunter%06d é\n"
+    texts = ["q" * 1_000_000 + "://", "eyJ" * 300_000, "".join(many % k for k in range(50_000)), "secret" * 100_000, "x" * 9000 + "token: abcdef", "-----BEGIN " + "A " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    scanned = {r.doc_id: r for r in secrets.span_digest(secrets.scan_secrets(df)).collect()}
+    starts = [m.span() for m in re.finditer(r"password=hunter\d+", texts[2])]
+    assert scanned[2].spans == ",".join(f"assign:{a}:{b}" for a, b in starts) and scanned[2].n_assign == 50_000
+    assert [scanned[k].spans for k in (0, 1, 3, 4, 5)] == ["", "", "", "assign:9000:9013", ""]
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert masked[2] == "[secret] é\n" * 50_000 and masked[4] == "x" * 9000 + "[secret]" and masked[0] == texts[0]
+    assert time.time() - began < 60
+
+
+def plain_spans(text):
+    """All spans of all rules by Python's expressions."""
+    out = []
+    for rank, rule in enumerate(secrets.RULES):
+        for m in re.finditer(("(?i)" if rule.ignore_case else "") + "(?a)" + rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.least:
+                out.append((m.start(), rank, rule.kind, m.end()))
+    return sorted(out)
+
+
+def test_all_spans_and_masks(spark):
+    """Random texts made of secrets and near misses, with every rule's spans and the masked text."""
+    rng = random.Random(8)
+    bits = ["password=", "abcdef", "'", " ", "\n", "é", "🙂", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "ghp_" + "x" * 36, "xoxb-1234567890", "sk_live_" + "z" * 16, "AIza" + "_" * 35,
+            "eyJabcdefgh.eyJabcdefgh.abcdefgh", "http://u:p@h", "-----BEGIN PRIVATE KEY-----", "token: ", "word ", "eyJ", "://", "a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([3, 30, 1500]))) for _ in range(120)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    found = 0
+    for r in secrets.scan_secrets(df).collect():
+        want = plain_spans(texts[r.doc_id])
+        assert [tuple(s) for s in r.spans] == want
+        found += len(want)
+    assert found > 500
+    for r in secrets.redact_secrets(df).collect():
+        text, at = "", 0
+        for start, _, _, end in plain_spans(texts[r.doc_id]):
+            text += texts[r.doc_id][at:start] + "[secret]" if start >= at else ""
+            at = max(at, end)
+        assert r.text == text + texts[r.doc_id][at:] and r["a.b"] == "x"
+    assert secrets.redact_secrets(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_never_miss(rule):
     """Every match of an expression holds all trigrams of some clause."""
