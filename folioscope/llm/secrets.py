@@ -151,14 +151,12 @@ def query_terms(rules: tuple[Rule, ...]) -> list[Term]:
     return [Term(t, r, c, len(clause)) for r, c, clause in clauses for t in clause]
 
 
-def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("low")).where("id is not null")
-
-
 def inverted_index(docs: DataFrame, terms: list[Term], id_col: str, text_col: str) -> DataFrame:
-    """Postings (id, trigrams): the trigrams of the queries that a row holds; rows that hold none have no posting."""
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted({x.trigram for x in terms})]))
-    return _lowered(docs, id_col, text_col).select("id", held.alias("trigrams")).where("size(trigrams) > 0")
+    """Postings (trigram, id), for the trigrams of the queries."""
+    names = sorted({x.trigram for x in terms})
+    held = let(F.lower(text_or_empty(text_col)), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in names])))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col)).where("id is not null")
+    return named.select("id", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, terms: list[Term]) -> DataFrame:
@@ -166,11 +164,10 @@ def candidates(index: DataFrame, terms: list[Term]) -> DataFrame:
 
     The table of queries is bounded by the rules and broadcast.
     """
-    postings = index.select("id", F.explode("trigrams").alias("trigram"))
     rows = [(x.trigram, x.rule, x.clause, x.needed) for x in terms]
     queries = index.sparkSession.createDataFrame(rows, "trigram string, rule int, clause int, needed int")
     met = (
-        postings.join(F.broadcast(queries), "trigram")
+        index.join(F.broadcast(queries), "trigram")
         .groupBy("id", "rule", "clause", "needed")
         .agg(F.count_distinct("trigram").alias("n"))
         .where("n = needed")
@@ -180,7 +177,7 @@ def candidates(index: DataFrame, terms: list[Term]) -> DataFrame:
 
 def rarest(index: DataFrame, terms: list[Term]) -> list[str]:
     """The trigram with the fewest postings of each clause; there are as many postings lists as trigrams in the queries."""
-    sizes = {r[0]: r[1] for r in index.select(F.explode("trigrams").alias("trigram")).groupBy("trigram").count().collect()}
+    sizes = {r[0]: r[1] for r in index.groupBy("trigram").count().collect()}
     clauses: dict[tuple[int, int], list[str]] = {}
     for x in terms:
         clauses.setdefault((x.rule, x.clause), []).append(x.trigram)
@@ -214,26 +211,40 @@ def running(values: Column, over) -> Column:
     return let(values, cut)
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans: (start, rank, kind, end), in code points, end exclusive.
+def _spans(text: Column, rules: tuple[Rule, ...], due) -> Column:
+    """The spans of the rules for which ``due`` of the rule's index isn't false: (start, rank, kind, end), in code points, end exclusive.
 
     Matches and the pieces between them alternate, so their lengths give the places. A text without a match is
-    gone through once.
+    gone through once by a rule. ``due`` is null for rules that are never due.
     """
+    texts = F.expr("cast(array() as array<string>)")
+    tried = [(r, rule, due(r)) for r, rule in enumerate(rules) if due(r) is not None]
+    if not tried:
+        return F.expr(NO_SPANS)
+    found = F.array(*[F.when(asked, F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))).otherwise(texts) for _, rule, asked in tried])
 
-    def place(matches: Column, pieces: Column) -> Column:
+    def cut(every: Column) -> Column:
+        pieces = F.array(*[F.when(F.size(F.get(every, F.lit(k))) > 0, F.split(text, rule.regex, -1)).otherwise(texts) for k, (_, rule, _) in enumerate(tried)])
+        return let(pieces, lambda p: F.flatten(F.transform(every, lambda matches, k: place(matches, F.get(p, k), k))))
+
+    def place(matches: Column, pieces: Column, k: Column) -> Column:
         steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(pieces, i)))
+        spans = F.zip_with(matches, running(steps, lambda a, b: a + b), lambda m, end: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("m")))
+        ranks, kinds = F.array(*[F.lit(r) for r, _, _ in tried]), F.array(*[F.lit(rule.kind) for _, rule, _ in tried])
 
-        def span(m: Column, end: Column) -> Column:
-            return F.struct((end - F.char_length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), m.alias("m"))
+        def fitting(s: Column) -> Column:
+            out: Column = F.lit(True)
+            for n, (_, rule, _) in enumerate(tried):
+                if rule.least:
+                    out = out & ((k != n) | (F.char_length(F.regexp_extract(s["m"], rule.regex, rule.group)) >= rule.least))
+            return out
 
-        fits = F.filter(F.zip_with(matches, running(steps, lambda a, b: a + b), span), lambda s: F.char_length(F.regexp_extract(s["m"], rule.regex, rule.group)) >= rule.least)
-        return F.transform(fits, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
+        return F.transform(
+            F.filter(spans, fitting),
+            lambda s: F.struct(s["start"].alias("start"), F.get(ranks, k).alias("rank"), F.get(kinds, k).alias("kind"), s["end"].alias("end")),
+        )
 
-    return let(
-        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)),
-        lambda matches: F.when(F.size(matches) > 0, let(F.split(text, rule.regex, -1), lambda pieces: place(matches, pieces))).otherwise(F.expr(NO_SPANS)),
-    )
+    return F.sort_array(let(found, cut))
 
 
 def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
@@ -242,24 +253,21 @@ def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("key"), text_or_empty(f"`{text_col}`").alias("text")
     )
-    scans = {r: _spans(F.col("text"), rule, r) for r, rule in enumerate(rules)}
     indexed = {x.rule for x in terms}
 
     def scanned(some: DataFrame, due) -> DataFrame:
-        spans = [F.when(due(r), scan).otherwise(F.expr(NO_SPANS)) if r in indexed else scan for r, scan in scans.items() if r not in indexed or due(r) is not None]
-        return some.select("row", "text", F.sort_array(F.concat(*spans, F.expr(NO_SPANS))).alias("spans"))
+        return some.select("row", "text", _spans(F.col("text"), rules, lambda r: due(r) if r in indexed else F.lit(True)).alias("spans"))
 
     if not terms:
         return scanned(rows, lambda r: None)
     index = Stash(docs.sparkSession, "secrets").put(inverted_index(docs, terms, f"`{id_col}`", f"`{text_col}`"), "index")
-    low = F.lower("text")
-    possible = let(low, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in rarest(index, terms)]))
+    possible = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in rarest(index, terms)]))
     named = rows.where("key is not null").withColumn("possible", possible)
-    few = named.where("possible").join(candidates(index, terms), F.col("key") == F.col("id"), "left")
-    return (
-        scanned(few, lambda r: F.coalesce(F.array_contains("rules", r), F.lit(False)))
-        .unionByName(scanned(named.where("not possible"), lambda r: None))
-        .unionByName(scanned(rows.where("key is null"), lambda r: F.lit(True)))
+    few = named.where("possible").join(candidates(index, terms), F.col("key") == F.col("id"), "left").select("row", "text", "rules")
+    every = F.array(*[F.lit(r) for r in range(len(rules))])
+    nameless = rows.where("key is null").select("row", "text", every.alias("rules"))
+    return scanned(few.unionByName(nameless), lambda r: F.coalesce(F.array_contains("rules", r), F.lit(False))).unionByName(
+        scanned(named.where("not possible"), lambda r: None)
     )
 
 
