@@ -4,7 +4,8 @@ Each rule votes good (1), bad (0) or abstains (2). The votes of a document form
 pattern; there are at most 3 ** len(RULES) patterns whatever the number of documents.
 Expectation-maximisation over the counted patterns estimates how often each rule says
 good about good and about bad documents, and a document is judged by the posterior
-probability that it is good, not by passing every rule. The counts and the posteriors are
+probability that it is good, not by passing every rule: rules overlap, so bad documents break
+several, and one bad vote among good ones is outweighed. The counts and the posteriors are
 of all documents; those that fail the base rule are never kept, whatever their posterior.
 
 Cases: null text counts as empty; no words give zero features, and rules that divide by
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from folioscope.llm.util import Stash, let, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+#: Words of symbols alone, words that end in symbols, and runs of ASCII signs.
+LONE = r"(?<![^\x20\x09-\x0D])[#*$%&|<>]+(?![^\x20\x09-\x0D])"
+STUCK = r"[^\x20\x09-\x0D#*$%&|<>][#*$%&|<>]+(?![^\x20\x09-\x0D])"
+SIGNS = r"[!-/:-@\[-`{-~]+"
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 #: name: (good if, bad if), over the features; otherwise the rule abstains.
@@ -36,11 +42,14 @@ RULES: dict[str, tuple[str, str]] = {
     "line_copies": ("10 * n_dup_lines <= n_lines", "2 * n_dup_lines > n_lines"),
     "repeated_words": ("10 * n_repeat_words <= n_words", "100 * n_repeat_words > 45 * n_words"),
     "word_runs": ("50 * n_same_next <= n_words", "5 * n_same_next > n_words"),
+    "lone_symbols": ("50 * n_lone_symbols <= n_words", "10 * n_lone_symbols > n_words"),
+    "stuck_symbols": ("50 * n_stuck_symbols <= n_words", "10 * n_stuck_symbols > n_words"),
+    "signs": ("10 * n_signs <= 3 * n_words", "10 * n_signs > 4 * n_words"),
     "sentence_ends": ("n_words <= 60 * n_sentence_ends", "n_words > 100 * n_sentence_ends"),
 }
 FEATURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_same_next", "n_sentence_ends",
+    "n_lines", "n_same_next", "n_sentence_ends", "n_lone_symbols", "n_stuck_symbols", "n_signs",
 )
 
 
@@ -91,22 +100,29 @@ def features(text: Column) -> Column:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         )
 
-    def joined(w: Column) -> Column:
+    def times(symbols: Column, pattern: str) -> Column:
+        return F.when(symbols > 0, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long")
+
+    def joined(w: Column, symbols: Column) -> Column:
         return let(
             let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of_lines),
             lambda n: F.struct(
                 w["n_words"].alias("n_words"),
                 w["word_chars"].alias("word_chars"),
-                F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                symbols.alias("n_symbols"),
                 n["n_dup_lines"].alias("n_dup_lines"),
                 w["n_repeat_words"].alias("n_repeat_words"),
                 n["n_lines"].alias("n_lines"),
                 w["n_same_next"].alias("n_same_next"),
                 F.regexp_count(text, F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_sentence_ends"),
+                times(symbols, LONE).alias("n_lone_symbols"),
+                times(symbols, STUCK).alias("n_stuck_symbols"),
+                F.regexp_count(text, F.lit(SIGNS)).cast("long").alias("n_signs"),
             ),
         )
 
-    return let(let(F.array_remove(F.split(text, SPACE + "+"), ""), of_words), joined)
+    counted = F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
+    return let(let(F.array_remove(F.split(text, SPACE + "+"), ""), of_words), lambda w: let(counted, lambda n: joined(w, n)))
 
 
 def base_failed() -> Column:
@@ -123,40 +139,38 @@ def vote_pattern() -> Column:
 
 
 #: What is believed before any document is seen: how often a rule says bad about a good and about a bad document,
-#: the share of good documents, and how much the beliefs weigh for both classes, as a multiple of the documents.
-#: One rule alone can't tell "bad documents break it" from "good ones break it now and then"; the belief does, and it
-#: weighs so much that the verdict on documents that break one rule doesn't turn with their number.
-BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD = 0.02, 0.3, 0.9
-#: Rules believed otherwise (good, bad): prose, lists and verse hardly hold these symbols, so this one rejects alone.
-BREAKS_OTHERWISE = {"symbols": (0.0005, 0.8)}
-WEIGHT = 30.0
+#: the share of good documents, and as how many documents these beliefs count, whatever the size of the table.
+BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD, BELIEF = 0.02, 0.3, 0.9, 100.0
+#: A vote multiplies the odds by this at most, so that it takes two rules to reject, and is never held to say the opposite.
+MOST_ODDS = 10.0
 
 
-def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60, belief: float = 1.0) -> dict[int, float]:
+def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60) -> dict[int, float]:
     """Posterior probability of good for each pattern, by expectation-maximisation.
 
-    Starts from the beliefs above alone, whatever the counts. The rounds then estimate the
-    rules' accuracies together with the beliefs, whose weight ``belief`` scales; both classes
-    are held by them equally, so that no pattern becomes a class by its count.
+    Starts from the beliefs above, under which one bad vote is no verdict; the rounds then estimate the share of
+    good documents and the rules' accuracies from the documents. A group that breaks one rule only, however large,
+    is thus drawn to the good documents, and the bad ones are those that several rules agree on.
     """
-    votes = {p: [p // 3**k % 3 for k in range(rules)] for p in counts}
-    breaks = [BREAKS_OTHERWISE.get(name, (BREAKS_GOOD, BREAKS_BAD)) for name in RULES]
-    weight = max(1.0, belief * WEIGHT * sum(counts.values()))
-    post: dict[int, float] = {}
+    patterns = np.array(sorted(counts), np.int64)
+    n = np.array([counts[p] for p in patterns.tolist()], float)
+    votes = patterns[:, None] // 3 ** np.arange(rules) % 3
+    bad, good = (votes == BAD).astype(float), (votes == GOOD).astype(float)
+    post = np.zeros((len(n), 2))  # of good, of bad
+    weights = BELIEF * np.array([SHARE_GOOD, 1 - SHARE_GOOD])
+    breaks = np.array([BREAKS_GOOD, BREAKS_BAD])
     for _ in range(rounds + 1):
-        share = (sum(counts[p] * post[p] for p in post) + SHARE_GOOD * weight) / (sum(counts[p] for p in post) + weight)
-        odds = math.log(share / (1 - share))
-        gain = []
-        for k in range(rules):
-            good, bad = ([x * weight, (1 - x) * weight] for x in breaks[k])  # each class's bad and good votes
-            for p, q in post.items():
-                if votes[p][k] != ABSTAIN:
-                    good[votes[p][k]] += counts[p] * q
-                    bad[votes[p][k]] += counts[p] * (1 - q)
-            gain.append([math.log(good[x] / sum(good)) - math.log(bad[x] / sum(bad)) for x in (BAD, GOOD)])
-        sums = {p: odds + sum(gain[k][v[k]] for k in range(rules) if v[k] != ABSTAIN) for p, v in votes.items()}
-        post = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for p, x in sums.items()}
-    return post
+        held = n[:, None] * post
+        share = (held.sum(axis=0) + weights) / (held.sum() + BELIEF)
+        says_bad = bad.T @ held + breaks * weights
+        says_good = good.T @ held + (1 - breaks) * weights
+        rate = says_bad / (says_bad + says_good)
+        most = math.log(MOST_ODDS)
+        for_bad = np.clip(np.log(rate[:, 0] / rate[:, 1]), -most, 0)
+        for_good = np.clip(np.log((1 - rate[:, 0]) / (1 - rate[:, 1])), 0, most)
+        odds = np.log(share[0] / share[1]) + bad @ for_bad + good @ for_good
+        post = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], axis=1)
+    return dict(zip(patterns.tolist(), post[:, 0].tolist()))
 
 
 def _judged(rows: DataFrame, pattern: str) -> DataFrame:
