@@ -5,6 +5,11 @@ shingles have it. Two fingerprints link if at most ``MAX_BITS`` of 64 bits diffe
 three segments, one of them then differs by one bit at most, so both have a variant of that
 segment with the same bit wiped: 64 variants per distinct fingerprint are the index keys.
 
+Chance candidates grow with the square of the distinct fingerprints over two to the power of a key's
+fixed bits, so keys are lengthened with them (``cutting_for``): cut into more segments, some choice of two or
+three differs by one bit at most, and keys are the variants of every such choice. The links found are
+the same whatever the cutting.
+
 Work on pairs is kept linear in a group of near copies. Every fingerprint is first
 compared with its key's smallest one (the hub); those links form components. Only rows of a
 key that lie outside its hub's component are then compared with the rest of the key, and a
@@ -20,6 +25,7 @@ columns are ignored by ``simhash_components`` and kept by ``keep_one_per_group``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,11 @@ from folioscope.llm.util import Stash
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: (lowest bit, bits) of each segment; MAX_BITS over three segments leaves one with at most one bit.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+BITS = 64
+#: (segments, segments a key takes) to choose from: keys of 20, 24 and 30 fixed bits at least, in 64, 256 and 640 variants.
+CUTTINGS = ((3, 1), (5, 2), (6, 3))
+#: Fingerprints that share a key by chance, on average, before longer keys are taken.
+CROWD = 4
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _BITS = np.array([[v >> k & 1 for k in range(8)] for v in range(256)], dtype=np.int64)
@@ -71,14 +80,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(of, "doc_id long, fp long")
 
 
-def _variants(fp: str) -> Column:
-    """64 keys: (segment, wiped bit) above the segment's other bits."""
+def pieces(cutting: tuple[int, int]) -> list[int]:
+    """The bits that each key is made of, as a mask: every choice of segments."""
+    count, taken = cutting
+    edges = [round(k * BITS / count) for k in range(count + 1)]
+    masks = [((1 << high) - 1) & ~((1 << low) - 1) for low, high in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(masks, taken)]
+
+
+def serves(cutting: tuple[int, int], max_bits: int) -> bool:
+    """Whether two fingerprints so near always have a choice of segments that differs by one bit at most.
+
+    The r segments with the fewest of d differing bits hold the most of them when the bits are dealt out evenly.
+    """
+    count, taken = cutting
+    return sum(sorted(max_bits // count + (k < max_bits % count) for k in range(count))[:taken]) <= 1
+
+
+def cutting_for(distinct: int) -> tuple[int, int]:
+    """The cutting with the fewest keys under which chance matches stay few among so many distinct fingerprints."""
+    for cutting in CUTTINGS:
+        if distinct <= CROWD << (min(bin(m).count("1") for m in pieces(cutting)) - 1):
+            return cutting
+    return CUTTINGS[-1]
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
+
+
+def _variants(fp: str, masks: list[int]) -> Column:
+    """Keys: the number of a piece and a wiped bit, and the piece's other bits."""
     keys, n = [], 0
-    for low, bits in SEGMENTS:
-        for k in range(bits):
-            mask = ((1 << bits) - 1) & ~(1 << k)
-            keys.append(F.lit(n << 22).bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(mask).cast("long"))))
-            n += 1
+    for mask in masks:
+        for bit in range(BITS):
+            if mask >> bit & 1:
+                keys.append(F.struct(F.lit(n).cast("short").alias("n"), F.col(fp).bitwiseAND(_signed(mask & ~(1 << bit))).alias("rest")))
+                n += 1
     return F.array(*keys)
 
 
@@ -86,32 +124,40 @@ def _differing(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _first_shared_key(a: str, b: str) -> Column:
-    """The number of the first variant that a pair within MAX_BITS shares."""
+def _first_shared_key(a: str, b: str, masks: list[int]) -> Column:
+    """The number of the first variant that a pair within the bits of a cutting shares."""
     x = F.col(a).bitwiseXOR(F.col(b))
     out: Column = F.lit(-1)
-    start = sum(bits for _, bits in SEGMENTS)
-    for low, bits in reversed(SEGMENTS):
-        start -= bits
-        part = F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        at = F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
-        out = F.when(F.bit_count(part) <= 1, F.lit(start) + at).otherwise(out)
+    start = sum(bin(m).count("1") for m in masks)
+    for mask in reversed(masks):
+        start -= bin(mask).count("1")
+        part = x.bitwiseAND(_signed(mask))
+        # the piece's bits below the one that differs say which of its variants it is
+        below = F.when(part == 0, F.lit(0)).otherwise(F.bit_count((part - 1).bitwiseAND(F.bitwise_not(part)).bitwiseAND(_signed(mask))))
+        out = F.when(F.bit_count(part) <= 1, F.lit(start) + below).otherwise(out)
     return out
 
 
-def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, component) of the distinct fingerprints that have a link to another; ``component`` is the smallest fp."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"three segments serve up to {MAX_BITS} differing bits")
+def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tuple[int, int] | None = None) -> DataFrame:
+    """(fp, component) of the distinct fingerprints that have a link to another; ``component`` is the smallest fp.
+
+    Without ``cutting`` it follows from their number.
+    """
+    cutting = cutting or cutting_for(fps.count())
+    if max_bits < 0 or not serves(cutting, max_bits):
+        raise ValueError(f"{cutting[0]} segments, {cutting[1]} a key, don't serve {max_bits} differing bits")
+    masks = pieces(cutting)
     stash = Stash(fps.sparkSession, "simhash")
-    index = fps.select("fp", F.explode(_variants("fp")).alias("key"))
+    # a fingerprint becomes many rows: dealt out first, so that no task makes most of them
+    dealt = fps.repartition("fp")
+    index = dealt.select("fp", F.explode(_variants("fp", masks)).alias("key"))
     hubs = index.groupBy("key").agg(F.min("fp").alias("hub"))
     star = index.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
     first = stash.put(connected_components(star), "first")
 
     of_fp = first.select(F.col("node").alias("fp"), F.col("component").alias("own"))
-    owned = fps.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"))
-    index = owned.select("fp", "own", F.explode(_variants("fp")).alias("key"))
+    owned = dealt.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"))
+    index = owned.select("fp", "own", F.explode(_variants("fp", masks)).alias("key"))
     mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.count("*").alias("n"))
     # every row of the index is placed, also those alone under their key: what is written grows with the input only
     placed = stash.put(
@@ -119,16 +165,16 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         "placed",
     )
     own = F.coalesce("own", "fp")
-    rows = placed.where("shared").select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
-    strays = rows.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
-    rest = rows.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
+    shared = placed.where("shared").select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
+    strays = shared.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
+    rest = shared.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
     pairs = strays.join(
         rest,
         (F.col("key") == F.col("key_b"))
         & (F.col("own_a") != F.col("own_b"))
         & ((F.col("own_b") == F.col("main")) | (F.col("own_a") < F.col("own_b")))
         & (_differing("fp_a", "fp_b") <= max_bits)
-        & (F.shiftrightunsigned("key", 22) == _first_shared_key("fp_a", "fp_b")),
+        & (F.col("key.n") == _first_shared_key("fp_a", "fp_b", masks)),
     )
     second = stash.put(connected_components(pairs.select("own_a", "own_b")), "second")
     stash.drop(placed)
@@ -165,4 +211,4 @@ def keep_one_per_group(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str =
     found = simhash_components(docs, max_bits, id_col, text_col)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddings, simhash, urls
+from folioscope.llm import embeddings, shingles, simhash, urls
 from folioscope.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,43 @@ def test_components(spark, kind):
     assert got == groups(linked, [e for e in edges if e[0] != e[1]])
 
 
+@pytest.mark.parametrize("cutting", simhash.CUTTINGS)
+def test_cuttings_find_the_same_links(spark, cutting):
+    """Planted pairs at each distance up to one beyond the bound, anywhere in the 64 bits, chains and a crowd."""
+    rng = random.Random(12)
+    fps = []
+    for distance in range(6):
+        for _ in range(60):
+            x = rng.getrandbits(64)
+            y = x
+            for bit in rng.sample(range(64), distance):
+                y ^= 1 << bit
+            fps += [x, y]
+    hub = rng.getrandbits(64)
+    fps += [hub ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(1, 64, 9)] + [(1 << k) - 1 for k in range(0, 65, 4)]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
+    edges = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
+    want = groups({n for e in edges for n in e}, edges)
+    got = simhash.fingerprint_components(spark.createDataFrame([(x,) for x in fps], "fp long"), cutting=cutting)
+    assert {r.fp: r.component for r in got.collect()} == want
+
+
+def test_cuttings():
+    assert [simhash.cutting_for(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [(3, 1), (3, 1), (5, 2), (6, 3), (6, 3)]
+    for cutting in simhash.CUTTINGS:
+        masks, rng = simhash.pieces(cutting), random.Random(5)
+        assert simhash.serves(cutting, 4) and not simhash.serves(cutting, 6)
+        for _ in range(2000):
+            x = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(bin(x & m).count("1") <= 1 for m in masks)
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (None, None, 9)], "doc_id long, text string, `a.b` int")
+    assert sorted((r[0] or 0, r[2]) for r in simhash.keep_one_per_group(df).collect()) == [(0, 9), (1, 7)]
+    assert sorted((r[0] or 0, r[2]) for r in shingles.keep_one_per_group(df).collect()) == [(0, 9), (1, 7)]
+
+
 def slow_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
