@@ -4,15 +4,16 @@ A block is any run of at most ``SPREAD`` times a template's words in a text. A t
 label is given if some block holds at least ``CONTAINMENT`` of its distinct words.
 The join is exact and prunes in this order: template words are put in one global order,
 rarest in the documents first; a block that holds k of a template's n words must hold one
-of its first n - k + 1 (the prefix), so only places of prefix words are looked at; a text
-with fewer than k distinct words can't qualify (length); and around a prefix place, hits
-left in reach bound what a block can still gain (position) before blocks are counted.
+of its first n - k + 1 (the prefix), so texts without one are done, and so are blocks whose
+reach ends before the next one (position); a text with fewer than k distinct words of the template
+can't qualify (length). All blocks that qualify are returned, overlapping ones as one stretch.
 
-Word frequencies are counted over all documents, for template words only, so the table is
+Documents that hold a template's word are counted over all documents, for template words only, so the table is
 bounded by the templates and may go to the driver and back to every task.
 
-Cases: null or empty text has no words and no label; templates or texts with repeated words
-count each once; equal scores don't matter, the best one is kept; repeated rows are scanned
+Cases: null or empty text has no words, no label and no block; templates or texts with repeated words
+count each once; a very long text takes time in proportion to its length, also where it repeats a phrase all
+along; equal shares don't matter, the best one is the score; repeated rows are scanned
 alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -80,42 +81,39 @@ def prepare(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int],
     return out
 
 
-def best_block(words: list[bytes], places: dict[bytes, list[int]], template: Template) -> float:
-    """The largest share of the template in a block that reaches the threshold, else 0.
+def qualifying_blocks(places: dict[bytes, list[int]], template: Template) -> list[tuple[int, int, float]]:
+    """(first word, behind the last, best share) of every stretch of text made of blocks that reach the threshold.
 
-    ``places`` has where each template word stands, for all templates' words.
+    ``places`` has where each template word stands, for all templates' words. Blocks that overlap are one stretch.
     """
     if sum(1 for w in template.words if w in places) < template.needed:
-        return 0.0
+        return []
     anchors = sorted(p for w in template.prefix for p in places.get(w, ()))
     if not anchors:
-        return 0.0
-    mine = set(template.words)
-    best, done = 0, -1
-    k = 0
-    while k < len(anchors):
-        # anchors whose blocks can overlap are looked at as one stretch
-        start, stop = max(0, anchors[k] - template.span + 1), anchors[k] + template.span
-        while k + 1 < len(anchors) and anchors[k + 1] - template.span + 1 <= stop:
-            k += 1
-            stop = anchors[k] + template.span
-        k += 1
-        hits = [(p, words[p]) for p in range(max(start, done), min(stop, len(words))) if words[p] in mine]
-        done = start
-        if len({w for _, w in hits}) < template.needed:
+        return []
+    hits = sorted((p, w) for w in template.words for p in places.get(w, ()))
+    out: list[list] = []
+    held: Counter[bytes] = Counter()
+    low = near = 0
+    for p, w in hits:
+        # position: a block that ends here and holds a prefix word begins no later than the last one of these
+        while near < len(anchors) and anchors[near] < p - template.span + 1:
+            near += 1
+        held[w] += 1
+        while p - hits[low][0] >= template.span:
+            gone = hits[low][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            low += 1
+        if near == len(anchors) or anchors[near] > p or len(held) < template.needed:
             continue
-        held: Counter[bytes] = Counter()
-        low = 0
-        for p, w in hits:
-            held[w] += 1
-            while p - hits[low][0] >= template.span:
-                gone = hits[low][1]
-                held[gone] -= 1
-                if not held[gone]:
-                    del held[gone]
-                low += 1
-            best = max(best, len(held))
-    return best / len(template.words) if best >= template.needed else 0.0
+        start = hits[low][0]
+        if out and start < out[-1][1]:
+            out[-1][1], out[-1][2] = p + 1, max(out[-1][2], len(held))
+        else:
+            out.append([start, p + 1, len(held)])
+    return [(start, end, most / len(template.words)) for start, end, most in out]
 
 
 def phrase_places(words: list[bytes], phrases: tuple[tuple[str, str], ...]) -> list[tuple[int, str]]:
@@ -124,34 +122,30 @@ def phrase_places(words: list[bytes], phrases: tuple[tuple[str, str], ...]) -> l
     out = []
     for phrase, label in phrases:
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        at, seen, index = joined.find(sought), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(sought, at + 1)
+            index += joined.count(b" ", seen, at)
+            out.append((index, label))
+            seen, at = at, joined.find(sought, at + 1)
     return sorted(out)
 
 
 def word_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
-    """How often each word of the vocabulary stands in all documents."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(filter(vocabulary.__contains__, words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(of, "word binary, n long")
-    return {bytes(r[0]): r[1] for r in parts.groupBy("word").agg(F.sum("n")).collect()}
+    """How many documents hold each word of the vocabulary, by built-in functions."""
+    words = F.split(F.lower(F.col(text_col).cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    known = F.array(*[F.lit(w.decode()) for w in sorted(vocabulary)])
+    found = docs.select(F.explode(F.array_intersect(words, known)).alias("word")).groupBy("word").count()
+    return {r[0].encode(): r[1] for r in found.collect()}
 
 
 def scan_licenses(
     docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     containment: float = CONTAINMENT, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    Words are counted from 0; score is 1 where a phrase stands, else the best template's share.
+    Words are counted from 0; score is 1 where a phrase stands, else the best template's share; blocks are
+    (label, first word, behind the last word, share), by place.
     """
     vocabulary = frozenset(w for text, _ in templates for w in words_of(text))
     known = prepare(templates, word_counts(docs, vocabulary, text_col), containment, spread)
@@ -160,7 +154,7 @@ def scan_licenses(
         words = words_of(text)
         found = phrase_places(words, phrases)
         present = vocabulary.intersection(words)
-        shares = {}
+        blocks = []
         if present:
             places: dict[bytes, list[int]] = {}
             due = [t for t in known if sum(1 for w in t.words if w in present) >= t.needed]
@@ -168,18 +162,17 @@ def scan_licenses(
                 for p, w in enumerate(words):
                     if w in present:
                         places.setdefault(w, []).append(p)
-            for t in due:
-                share = best_block(words, places, t)
-                if share:
-                    shares[t.label] = max(share, shares.get(t.label, 0.0))
+            blocks = sorted((start, end, t.label, share) for t in due for start, end, share in qualifying_blocks(places, t))
         base = {label for _, label in found}
         return (
             len(words), len(found), found[0][0] if found else None, found[-1][0] if found else None,
-            ",".join(sorted(base)), ",".join(sorted(base | set(shares))), 1.0 if base else max(shares.values(), default=0.0),
+            ",".join(sorted(base)), ",".join(sorted(base | {b[2] for b in blocks})), 1.0 if base else max((b[3] for b in blocks), default=0.0),
+            [{"label": label, "start": start, "end": end, "share": share} for start, end, label, share in blocks],
         )
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds.append(pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])))
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,5 +182,6 @@ def scan_licenses(
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(
-        of, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        of, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+        "blocks array<struct<label: string, start: long, end: long, share: double>>",
     )
