@@ -9,7 +9,8 @@ allow goes before any block; a class without a judged page allows.
 Cases: a null URL or one without ``://`` has empty host and path, joins no class and is
 allowed unless a rule fits; null HTML has no edge; repeated URLs are one node; pages that
 only others link to count as nodes and are judged by the rules like any; an empty table
-gives an empty result. Rules are few by contract and sent as literals.
+gives an empty result; relative addresses are resolved against the page's own, and very long HTML is
+searched whole, in time that follows its length. Rules are few by contract and sent as literals.
 """
 
 from __future__ import annotations
@@ -93,26 +94,46 @@ def _node(url: Column) -> Column:
     return let(url, of)
 
 
+def _folded(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments, from its first slash."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    def of(parts: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+        return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+    return let(F.split(path, "/", -1), of)
+
+
 def _resolved(target: Column, base: Column) -> Column:
-    """Absolute and root-relative addresses; others stay null."""
-    scheme = F.substring_index(base, "://", 1)
+    """The target as an address of its own: absolute, or resolved against the page's; null for other schemes and bare fragments."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    root = F.concat(F.substring_index(base, "://", 1), F.lit("://"), host_of(base))
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    query = F.regexp_extract(target, r"^[^?#]*([^#]*)", 1)
+    own = F.regexp_extract(target, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
     return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), target))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(root, _folded(own), query))
+        .when(target.startswith("?"), F.concat(root, path, query))
+        .otherwise(F.concat(root, _folded(F.concat(folder, own)), query))
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): nodes that are aliases by a redirect or a canonical link."""
-    linked = pages.where("url is not null and html is not null").where(
+    linked = pages.where("instr(url, '://') > 0 and html is not null").where(
         F.expr("html ilike '%canonical%' or html ilike '%refresh%'")
     )
-    ends = F.transform(
-        _targets(F.col("html")),
-        lambda t: F.struct(_node(F.col("url")).alias("a"), _node(_resolved(t, F.col("url"))).alias("b")),
-    )
-    return linked.select(F.inline(ends)).distinct()
+    found = linked.select("url", F.explode(_targets(F.col("html"))).alias("target"))
+    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("target"), F.col("url"))).alias("b")).where("b is not null").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -134,7 +155,9 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, edges: Data
         F.when(F.bool_or(F.col("fit.verdict") == "allow"), "allow").when(F.bool_or(F.col("fit.verdict") == "block"), "block").alias("class_verdict")
     )
     aliases = members.join(decided, "component")
-    rows = seen.join(aliases, "node", "left")
+    # pages without a node meet nothing: left out of the join, they don't gather in one task
+    named = seen.where("node is not null").join(aliases, "node", "left")
+    rows = named.unionByName(seen.where("node is null"), allowMissingColumns=True)
     return rows.select(
         "page_id",
         "host",

@@ -1,6 +1,7 @@
 """Components, SimHash, embeddings and URLs against brute force, and their edge cases."""
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -230,3 +231,42 @@ def test_redirects(spark):
     more = spark.createDataFrame([("http://d.org/", "http://a.org/x")], "a string, b string")
     assert {r.page_id: r.verdict for r in urls.judge_urls(df, edges=more).collect()}[9] == "block"
     assert collections.Counter(r.verdict for r in urls.judge_urls(df).where(F.col("alias_class").isNotNull()).collect()) == {"block": 3, "allow": 3}
+
+
+@pytest.mark.parametrize(
+    "target, want",
+    [
+        ("z", "http://h.com/a/b/z"), ("../z?x=1&amp;y=2", "http://h.com/a/z?x=1&y=2"), ("./", "http://h.com/a/b/"), ("..", "http://h.com/a/"), ("../../../../q", "http://h.com/q"),
+        ("?q=1", "http://h.com/a/b/c?q=1"), ("/x/../y/.", "http://h.com/y/"), ("//o.net/p", "http://o.net/p"), ("https://O.net/p#f", "https://o.net/p"), ("#top", None),
+        ("mailto:me@h.com", None), ("/to?u=http://x.org/", "http://h.com/to?u=http://x.org/"), ("a/b#c", "http://h.com/a/b/a/b"),
+    ],
+)
+def test_relative_addresses(spark, target, want):
+    page = f"""<link rel="canonical" href="{target}">"""
+    pages = spark.createDataFrame([("http://H.com/a/b/c?d=e", page), (None, page), ("no address", page)], "url string, html string")
+    assert [tuple(r) for r in urls.link_edges(pages).collect()] == ([("http://h.com/a/b/c?d=e", want)] if want else [])
+
+
+def test_relative_links_carry_decisions(spark):
+    rows = [(1, "http://x.org/a/b", "<link rel=canonical href=../p>"), (2, "http://x.org/p", "<meta http-equiv=refresh content='0; url=http://y.net/fr/q'>"),
+            (3, None, None), (4, None, "<link rel=canonical href=z>"), (5, "http://x.org/a/", None), (6, "x", None)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="the tables with near copies aren't there")
+def test_recall_on_the_given_vectors(spark):
+    """Links found of all links among the vectors of check_s, by brute force: recall is 0.9 at least, and nothing else links."""
+    given = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    rows = given.collect()
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(given).collect()}
+    links = collections.Counter()
+    for label in {r.label for r in rows if r.label is not None}:
+        some = [r for r in rows if r.label == label and r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+        x = np.array([r.embedding for r in some], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = (x @ x.T >= 0.93).sum(axis=1) - 1
+        links.update({r.vec_id: int(n) for r, n in zip(some, near)})
+    assert len(got) == len(rows) and all(got[k] <= links[k] for k in got)
+    print("links found", sum(got.values()), "of", links.total())
+    assert sum(got.values()) >= 0.9 * links.total() > 0
