@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.util import Stash, let, text_or_empty
+from folioscope.llm.util import Stash, let, quoted, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -197,7 +197,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0
     """The rows whose text is kept, with the columns they came with."""
     stash = Stash(docs.sparkSession, "quality")
     seen = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), features(text_or_empty(text_col)).alias("f")
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), features(text_or_empty(text_col)).alias("f")
     ).select("row", "f.*")
     rows = stash.put(seen.select("row", base_failed().alias("base_failed"), vote_pattern().alias("vote_pattern")), "rows")
     good = _judged(rows, "vote_pattern").where(~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -28,7 +28,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.util import Stash, let, text_or_empty
+from folioscope.llm.util import Stash, let, quoted, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     """(row, text, spans): each row as it came, its text or "", and its spans by start, then rule."""
     terms = query_terms(rules)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("key"), text_or_empty(f"`{text_col}`").alias("text")
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("key"), text_or_empty(quoted(text_col)).alias("text")
     )
     indexed = {x.rule for x in terms}
 
@@ -260,7 +260,7 @@ def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
 
     if not terms:
         return scanned(rows, lambda r: None)
-    index = Stash(docs.sparkSession, "secrets").put(inverted_index(docs, terms, f"`{id_col}`", f"`{text_col}`"), "index")
+    index = Stash(docs.sparkSession, "secrets").put(inverted_index(docs, terms, quoted(id_col), quoted(text_col)), "index")
     possible = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in rarest(index, terms)]))
     named = rows.where("key is not null").withColumn("possible", possible)
     few = named.where("possible").join(candidates(index, terms), F.col("key") == F.col("id"), "left").select("row", "text", "rules")
@@ -277,7 +277,7 @@ def _listed(spans: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and its spans, an array of (start, rank, kind, end)."""
-    return _with_spans(docs, rules, id_col, text_col).select(F.col(f"row.`{id_col}`").alias("doc_id"), "spans")
+    return _with_spans(docs, rules, id_col, text_col).select(F.col("row." + quoted(id_col)).alias("doc_id"), "spans")
 
 
 def span_digest(scanned: DataFrame) -> DataFrame:
@@ -315,5 +315,5 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, .
 
     chunked = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
     masked = let(chunked, lambda c: let(running(F.transform("spans", lambda s: s["end"]), F.greatest), lambda r: cut(c, r)))
-    text = F.when(F.size("spans") > 0, masked).otherwise(F.col(f"row.`{text_col}`"))
-    return scanned.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("row." + quoted(text_col)))
+    return scanned.select(*[(text if c == text_col else F.col("row." + quoted(c))).alias(c) for c in docs.columns])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.util import Stash
+from folioscope.llm.util import Stash, quoted
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -211,4 +211,4 @@ def keep_one_per_group(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str =
     found = simhash_components(docs, max_bits, id_col, text_col)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    return named.select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
