@@ -87,12 +87,21 @@ def budget_state(cost: Column) -> Column:
     return F.when(cost >= F.lit(STOP), "STOP").when(cost >= F.lit(ALERT), "ALERT").otherwise("OK")
 
 
-def running_spend(usage: DataFrame, month: Column, cost_col: str, order_by: list[str]) -> DataFrame:
-    """``usage`` with what its month spent before each row, and whether the row may still run."""
-    keyed = usage.withColumn("month", month)
-    before = Window.partitionBy("month").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(cost_col).over(before), F.lit(0).cast("decimal(20,6)"))
-    return keyed.withColumn("spent_before", spent).withColumn("allowed", spent < F.lit(STOP))
+def running_spend(usage: DataFrame, month: Column, cost_col: str, order_by: list[str], bucket: Column | None = None) -> DataFrame:
+    """``usage`` with what its month spent before each row, and whether the row may still run.
+
+    One budget holds for all rows of a month, so they are not run through in one task: sums of buckets of time (minutes
+    of the first ordering column, unless ``bucket`` says otherwise) are added up first, and rows run inside theirs.
+    """
+    keyed = usage.withColumns({"month": month, "_bucket": F.date_trunc("minute", F.col(order_by[0])) if bucket is None else bucket})
+    none = F.lit(0).cast("decimal(20,6)")
+    sums = keyed.groupBy("month", "_bucket").agg(F.sum(cost_col).alias("_sum"))
+    earlier = Window.partitionBy("month").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("month").alias("_month"), F.col("_bucket").alias("_start"), F.coalesce(F.sum("_sum").over(earlier), none).alias("_before"))
+    inside = Window.partitionBy("month", "_bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.col("_before") + F.coalesce(F.sum(cost_col).over(inside), none)
+    joined = keyed.join(starts, keyed["month"].eqNullSafe(F.col("_month")) & keyed["_bucket"].eqNullSafe(F.col("_start")))
+    return joined.withColumn("spent_before", spent).withColumn("allowed", F.col("spent_before") < F.lit(STOP)).drop("_bucket", "_month", "_start", "_before")
 
 
 def illegal_transitions(spark: SparkSession, history: DataFrame, machine: str, id_col: str, order_by: list[str]) -> DataFrame:
@@ -132,3 +141,10 @@ def redacted(df: DataFrame, allowed: tuple[str, ...] = LOG_COLUMNS) -> DataFrame
 def unexplained_failures(tasks: DataFrame) -> DataFrame:
     """Failed or cancelled tasks without a reason."""
     return tasks.where(F.col("status").isin("FAILED", "CANCELLED") & (F.length(F.trim(F.coalesce("fail_reason", F.lit("")))) == 0))
+
+
+def calls_without_input(messages: DataFrame, asked: str = "user", answered: str = "assistant") -> DataFrame:
+    """Answers of a conversation before which no question was stored: a question must be written before the call."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    stored = F.coalesce(F.max((F.col("role") == asked).cast("int")).over(before), F.lit(0))
+    return messages.withColumn("_stored", stored).where((F.col("role") == answered) & (F.col("_stored") == 0)).drop("_stored")

@@ -135,3 +135,24 @@ def merge_restore(existing: DataFrame, incoming: DataFrame, key: str, updated: s
 def capacity(documents: DataFrame) -> DataFrame:
     """Per knowledge base: files and whether they are over the target."""
     return documents.groupBy("kb_id").agg(F.count("*").alias("n_files")).withColumn("over", F.col("n_files") > MAX_FILES_PER_KB)
+
+
+def user_capacity(kbs: DataFrame) -> DataFrame:
+    """Per user: knowledge bases and whether they are over the target; ``kbs`` has user_id and kb_id."""
+    return kbs.groupBy("user_id").agg(F.count_distinct("kb_id").alias("n_kbs")).withColumn("over", F.col("n_kbs") > MAX_KBS_PER_USER)
+
+
+def with_tag(df: DataFrame, tag: str, column: str = "tags") -> DataFrame:
+    """Rows that carry the tag, whatever the letters' case; rows without tags have none."""
+    return df.where(F.coalesce(F.exists(column, lambda x: F.lower(x) == tag.strip().lower()), F.lit(False)))
+
+
+def overview(kbs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every knowledge base, those without a file too, with its files by state, the latest first; ``kbs`` are distinct."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    counts = documents.groupBy("kb_id").agg(
+        F.count("*").alias("n_files"), of(READY).alias("n_ready"), of("parsing").alias("n_processing"), of("failed").alias("n_failed"),
+        F.max("doc_id").alias("last_doc"),
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_files", "n_ready", "n_processing", "n_failed")}
+    return kbs.select("kb_id").join(counts, "kb_id", "left").withColumns(zero).orderBy(F.col("last_doc").desc_nulls_last(), "kb_id")

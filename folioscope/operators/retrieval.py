@@ -30,18 +30,42 @@ def refusals(queries: DataFrame, hits: DataFrame, least: float, query_col: str =
     return queries.select(query_col).distinct().join(best, query_col, "left").withColumn("refused", ~F.coalesce(F.col("best") >= least, F.lit(False)))
 
 
-def context_budget(hits: DataFrame, budget: int, group_col: str, length_col: str, order_by: list[Column]) -> DataFrame:
-    """Per group the best hits whose running length stays within the budget."""
+def score_in_scope(vectors: DataFrame, queries: DataFrame, scope_col: str, id_col: str, column: str = "embedding") -> DataFrame:
+    """(query_id, id, scope, score) of every vector of each query's scope, without the query itself.
+
+    An equi-join on the scope, which Spark splits where one is large; rows without a cosine are left out.
+    """
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(scope_col).alias("_scope"), F.col(column).alias("_query"))
+    met = vectors.join(asked, (F.col(scope_col) == F.col("_scope")) & (F.col(id_col) != F.col("query_id")))
+    scored = met.select("query_id", id_col, scope_col, cosine(F.col(column), F.col("_query")).alias("score"))
+    return scored.where(F.col("score").isNotNull())
+
+
+def context_budget(hits: DataFrame, budget: int, group_col: str, length_col: str, order_by: list[Column], coarse: Column | None = None) -> DataFrame:
+    """Per group the best hits whose running length stays within the budget; lengths are not negative.
+
+    ``coarse`` is a column that the order goes by first: with it, lengths are summed by its values, and only
+    rows up to the value at which a group's budget ends are gathered and run through one by one.
+    """
+    if coarse is not None:
+        keyed = hits.withColumn("_coarse", coarse)
+        steps = keyed.groupBy(group_col, "_coarse").agg(F.sum(length_col).alias("_n"))
+        before = Window.partitionBy(group_col).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") <= budget)
+        last = steps.groupBy(group_col).agg(F.max("_coarse").alias("_last")).withColumnRenamed(group_col, "_group")
+        hits = keyed.join(last, keyed[group_col].eqNullSafe(F.col("_group"))).where(F.col("_coarse") <= F.col("_last")).drop("_coarse", "_last", "_group")
     so_far = Window.partitionBy(group_col).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return hits.withColumn("used", F.sum(length_col).over(so_far)).where(F.col("used") <= budget)
 
 
 def citation_markers(answers: DataFrame) -> DataFrame:
-    """(conv_id, turn, n, marker): markers like [3] in the order in which they stand, n from 1."""
-    found = F.posexplode(F.regexp_extract_all("text", F.lit(r"\[([0-9]{1,6})\]"), F.lit(1)))
-    return answers.select("conv_id", "turn", found.alias("pos", "digits")).select(
-        "conv_id", "turn", (F.col("pos") + 1).alias("n"), F.col("digits").cast("int").alias("marker")
-    )
+    """(conv_id, turn, n, marker): markers like [3] in the order in which they stand, n from 1.
+
+    A number that no passage can have, of more than 18 digits, is -1, so that it is reported like any forged one.
+    """
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(r"\[0*([0-9]+)\]"), F.lit(1)))
+    number = F.when(F.char_length("digits") <= 18, F.col("digits").cast("long")).otherwise(-1)
+    return answers.select("conv_id", "turn", found.alias("pos", "digits")).select("conv_id", "turn", (F.col("pos") + 1).alias("n"), number.alias("marker"))
 
 
 def bind_citations(markers: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,3 +93,23 @@ def rerank(hits: DataFrame, second: Column, query_col: str, id_col: str) -> Data
     """Hits in the order of a second score, with their new rank."""
     order = Window.partitionBy(query_col).orderBy(F.col("second").desc(), F.col(id_col))
     return hits.withColumn("second", second).withColumn("rank", F.row_number().over(order))
+
+
+def differing_sources(evidence: DataFrame, keys: list[str], source_col: str, value_col: str) -> DataFrame:
+    """Where the sources of one question say different things: keys, and each value with its sources, apart.
+
+    Questions on which all sources agree are left out.
+    """
+    said = evidence.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.sort_array(F.collect_set(source_col)).alias("sources"))
+    several = said.groupBy(*keys).agg(F.count("*").alias("n_values")).where("n_values > 1")
+    return said.join(several, keys)
+
+
+def answer_quality(answers: DataFrame) -> DataFrame:
+    """Over ``answers`` (refused, n_markers, n_bound): refusal rate, and the share of markers and of answers that evidence supports."""
+    given = ~F.col("refused")
+    return answers.agg(
+        F.count("*").alias("n"), F.avg(F.col("refused").cast("double")).alias("refusal_rate"),
+        (F.sum("n_bound") / F.sum("n_markers")).alias("marker_support"),
+        (F.count_if(given & (F.col("n_bound") > 0) & (F.col("n_bound") == F.col("n_markers"))) / F.count_if(given)).alias("answer_support"),
+    )

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.scalar import fingerprint, snippet
+from folioscope.functions.scalar import blank, fingerprint, retryable, snippet, task_key
 from folioscope.operators import activity as A
 from folioscope.operators import documents as D
 from folioscope.operators import retrieval as R
@@ -49,19 +49,16 @@ SQL_DOCUMENTS = """WITH d AS (SELECT doc_id, text, lang, n_chars, source AS kb_i
 
 @query(
     SQL_DOCUMENTS
-    + """ SELECT kb_id, count(*) AS n_files, count(*) FILTER (WHERE status = 'ready') AS n_ready,
+    + """, k AS (SELECT DISTINCT source AS kb_id FROM documents UNION SELECT r_name FROM region)
+  SELECT kb_id, count(doc_id) AS n_files, count(*) FILTER (WHERE status = 'ready') AS n_ready,
   count(*) FILTER (WHERE status = 'parsing') AS n_processing, count(*) FILTER (WHERE status = 'failed') AS n_failed,
-  max(doc_id) AS last_doc FROM d GROUP BY kb_id"""
+  max(doc_id) AS last_doc FROM k LEFT JOIN d USING (kb_id) GROUP BY kb_id"""
 )
 def kb_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    kbs = docs.select("kb_id").distinct()
-    of = lambda s: F.count_if(F.col("status") == s)
-    counts = docs.groupBy("kb_id").agg(
-        F.count("*").alias("n_files"), of("ready").alias("n_ready"), of("parsing").alias("n_processing"), of("failed").alias("n_failed"),
-        F.max("doc_id").alias("last_doc"),
-    )
-    return kbs.join(counts, "kb_id", "left").orderBy(F.col("last_doc").desc(), "kb_id")
+    """Regions stand for knowledge bases that hold no file yet."""
+    empty = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("kb_id"))
+    kbs = read_table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id")).unionByName(empty).distinct()
+    return D.overview(kbs, _documents(spark, sf_dir))
 
 
 @query(
@@ -139,19 +136,31 @@ def evidence_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", snippet(F.col("text"), F.lit("License"), 20).alias("snippet")).where("snippet is not null")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 0")
+SQL_GONE = "SELECT doc_id FROM labels WHERE quality = 0"
+
+
+def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of low quality stand for those that were deleted."""
+    return read_table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+
+
+@query(
+    f"""SELECT 'documents' AS name, doc_id, n_chars AS n FROM documents WHERE doc_id NOT IN ({SQL_GONE})
+  UNION ALL SELECT 'labels', doc_id, toxic FROM labels WHERE doc_id NOT IN ({SQL_GONE})"""
+)
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    left = D.cascade_delete(docs, {"labels": labels}, docs.where("doc_id % 10 = 0"))
-    return left["documents"].select("doc_id", "n_chars")
+    left = D.cascade_delete(docs, {"labels": labels}, _gone(spark, sf_dir))
+    of = lambda name, n: left[name].select(F.lit(name).alias("name"), "doc_id", F.col(n).cast("long").alias("n"))
+    return of("documents", "n_chars").unionByName(of("labels", "toxic"))
 
 
 @query(
-    """SELECT l.doc_id, l.quality, d.doc_id IS NULL AS source_deleted FROM labels l
-  LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0) d ON l.doc_id = d.doc_id"""
+    f"""SELECT l.doc_id, l.quality, d.doc_id IS NULL AS source_deleted FROM labels l
+  LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id NOT IN ({SQL_GONE})) d ON l.doc_id = d.doc_id"""
 )
 def citation_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = read_table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
+    live = D.cascade_delete(read_table(spark, sf_dir, "documents"), {}, _gone(spark, sf_dir))["documents"]
     return D.mark_citations(read_table(spark, sf_dir, "labels"), live).select("doc_id", "quality", "source_deleted")
 
 
@@ -161,16 +170,17 @@ def capacity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, lang, n_chars, count(*) OVER (PARTITION BY doc_id // 4) AS batch_files FROM documents)
+    """WITH f AS (SELECT doc_id, lang, n_chars, text, count(*) OVER (PARTITION BY doc_id // 8, source) AS batch_files FROM documents)
   SELECT doc_id, CASE WHEN lang = 'es' THEN 'type' WHEN n_chars * 1024 <= 0 THEN 'empty' WHEN n_chars * 1024 > 20971520 THEN 'size'
-  WHEN batch_files > 5 THEN 'too_many' END AS reason FROM f"""
+  WHEN contains(text, 'password') THEN 'encrypted' WHEN contains(text, '|') THEN 'damaged' WHEN batch_files > 5 THEN 'too_many' END AS reason FROM f"""
 )
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight neighbouring documents of a source are a batch; what a text holds stands for the file's faults."""
     docs = read_table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "es", "exe").otherwise("txt")
     files = docs.select(
-        "doc_id", F.expr("doc_id div 4").alias("batch_id"), kind.alias("file_type"), (F.col("n_chars") * 1024).alias("size_bytes"),
-        F.lit(False).alias("encrypted"), F.lit(False).alias("damaged"),
+        "doc_id", F.struct(F.expr("doc_id div 8"), "source").alias("batch_id"), kind.alias("file_type"), (F.col("n_chars") * 1024).alias("size_bytes"),
+        F.contains("text", F.lit("password")).alias("encrypted"), F.contains("text", F.lit("|")).alias("damaged"),
     )
     return D.validate_uploads(files).select("doc_id", "reason")
 
@@ -183,44 +193,134 @@ def length_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return read_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", D.length_ok(text, D.NAME_CHARS).alias("name_ok"), D.length_ok(text, D.TITLE_CHARS).alias("title_ok"),
-        D.length_ok(text, D.DESCRIPTION_CHARS).alias("description_ok"), (F.length(F.trim(text)) == 0).alias("blank"),
+        D.length_ok(text, D.DESCRIPTION_CHARS).alias("description_ok"), blank(text).alias("blank"),
     )
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(read_table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+#: Every vector whose id is divisible by 100 asks, its label being the scope that it asks in.
+SQL_SCORED = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+  FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"""
 
 
-SQL_SCORED = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
-  s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT e FROM q)) AS score FROM embeddings WHERE vec_id <> 0)"""
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The queries, and every vector of their scope with its score."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0")
+    return queries, R.score_in_scope(vectors, queries, "label", "vec_id")
 
 
-@query(SQL_SCORED + " SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 1 ORDER BY s.score DESC, vec_id LIMIT 10")
+@query(
+    SQL_SCORED
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0 and label = 1")
-    return R.top_k(R.score(scope, _query_vector(spark, sf_dir)), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    best = R.top_k_per_query(_scored(spark, sf_dir)[1], 10, "query_id", "vec_id")
+    return best.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(SQL_SCORED + " SELECT label, round(max(score), 6) AS best, NOT max(score) >= 0.35 AS refused FROM s GROUP BY label")
+@query(
+    SQL_SCORED
+    + """ SELECT vec_id AS query_id, round(best, 6) AS best, coalesce(NOT best >= 0.35, true) AS refused
+  FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) LEFT JOIN (SELECT query_id, max(score) AS best FROM s GROUP BY query_id) ON query_id = vec_id"""
+)
 def retrieval_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0")
-    found = R.refusals(vectors.select("label"), R.score(vectors, _query_vector(spark, sf_dir)), 0.35, "label")
-    return found.select("label", F.round("best", 6).alias("best"), "refused")
+    queries, scored = _scored(spark, sf_dir)
+    found = R.refusals(queries.select(F.col("vec_id").alias("query_id")), scored, 0.35)
+    return found.select("query_id", F.round("best", 6).alias("best"), "refused")
 
 
 @query(
     SQL_SCORED
-    + """, a AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s WHERE label < 5),
-  b AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM s),
-  u AS (SELECT vec_id, rank FROM a WHERE rank <= 50 UNION ALL SELECT vec_id, rank FROM b WHERE rank <= 50)
-  SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY vec_id"""
+    + """, a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+  b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM s),
+  u AS (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT * FROM b WHERE rank <= 50)
+  SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY query_id, vec_id"""
 )
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings").where("vec_id <> 0")
-    scored = R.score(vectors, _query_vector(spark, sf_dir)).withColumn("one", F.lit(1))
-    first = R.top_k_per_query(scored.where("label < 5"), 50, "one", "vec_id")
-    second = R.top_k_per_query(scored.withColumn("score", F.col("label")), 50, "one", "vec_id")
-    return R.fuse([first, second], "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+    """The nearest and the newest of each query's scope, fused."""
+    scored = _scored(spark, sf_dir)[1]
+    pair = F.struct("query_id", "vec_id").alias("pair")
+    nearest = R.top_k_per_query(scored, 50, "query_id", "vec_id").select(pair, "rank")
+    newest = R.top_k_per_query(scored.withColumn("score", F.col("vec_id")), 50, "query_id", "vec_id").select(pair, "rank")
+    return R.fuse([nearest, newest], "pair").select("pair.*", F.round("score", 9).alias("score"))
+
+
+@query(
+    SQL_SCORED
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, vec_id) AS rank
+  FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20"""
+)
+def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest, by the length of the document of the same number."""
+    hits = R.top_k_per_query(_scored(spark, sf_dir)[1], 20, "query_id", "vec_id").drop("rank")
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.char_length("text").alias("n"))
+    ranked = R.rerank(hits.join(texts, "vec_id"), F.col("n"), "query_id", "vec_id")
+    return ranked.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+#: Answers point at earlier questions of their conversation, at themselves and at a number that nothing has.
+SQL_ANSWERS = r"""WITH a AS (SELECT conv_id, turn, text || ' [' || length(text) % 5 || '] [' || turn || '] [12345678901234567890]' AS text FROM conversations WHERE role = 'assistant'),
+  m AS (SELECT conv_id, turn, unnest(x) AS marker, generate_subscripts(x, 1) AS n FROM (SELECT conv_id, turn, regexp_extract_all(text, '\[0*([0-9]+)\]', 1) AS x FROM a)),
+  e AS (SELECT a.conv_id, a.turn, CAST(row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY u.turn) AS VARCHAR) AS marker, u.turn AS passage
+    FROM a JOIN conversations u ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn < a.turn)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers with markers, and the passages that each was given, numbered from 1."""
+    talk = read_table(spark, sf_dir, "conversations")
+    marks = F.concat(F.lit(" ["), F.char_length("text") % 5, F.lit("] ["), "turn", F.lit("] [12345678901234567890]"))
+    answers = talk.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", marks).alias("text"))
+    asked = talk.where("role = 'user'").select("conv_id", F.col("turn").alias("passage"))
+    given = answers.select("conv_id", "turn").join(asked, "conv_id").where("passage < turn")
+    number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("passage")).cast("long")
+    return answers, given.withColumn("marker", number)
+
+
+@query(SQL_ANSWERS + " SELECT conv_id, turn, n, passage, passage IS NULL AS forged FROM m LEFT JOIN e USING (conv_id, turn, marker)")
+def citation_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, evidence = _answers(spark, sf_dir)
+    bound, forged = R.bind_citations(R.citation_markers(answers), evidence)
+    of = lambda df, passage, is_forged: df.select("conv_id", "turn", F.col("n").cast("long").alias("n"), passage.alias("passage"), F.lit(is_forged).alias("forged"))
+    return of(bound, F.col("passage"), False).unionByName(of(forged, F.lit(None).cast("long"), True))
+
+
+@query(
+    SQL_ANSWERS
+    + """, k AS (SELECT conv_id, turn, count(*) AS markers, count(passage) AS bound FROM m LEFT JOIN e USING (conv_id, turn, marker) GROUP BY conv_id, turn),
+  r AS (SELECT k.*, contains(text, '?') AS refused FROM k JOIN a USING (conv_id, turn))
+  SELECT count(*) AS n, round(avg(CAST(refused AS DOUBLE)), 6) AS refusal_rate, round(sum(bound) / sum(markers), 6) AS marker_support,
+  round(count(*) FILTER (WHERE NOT refused AND bound > 0 AND bound = markers) / count(*) FILTER (WHERE NOT refused), 6) AS answer_support FROM r"""
+)
+def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that ask back stand for refusals."""
+    answers, evidence = _answers(spark, sf_dir)
+    keys = ["conv_id", "turn"]
+    markers = R.citation_markers(answers)
+    counts = markers.groupBy(*keys).agg(F.count("*").alias("n_markers"))
+    bound = R.bind_citations(markers, evidence)[0].groupBy(*keys).agg(F.count("*").alias("n_bound"))
+    rows = answers.join(counts, keys).join(bound, keys, "left").select(F.contains("text", F.lit("?")).alias("refused"), "n_markers", F.coalesce("n_bound", F.lit(0)).alias("n_bound"))
+    return R.answer_quality(rows).select("n", *[F.round(c, 6).alias(c) for c in ("refusal_rate", "marker_support", "answer_support")])
+
+
+@query(SQL_ANSWERS + " SELECT conv_id, turn, count(passage) AS n_passages, coalesce(sum(passage), 0) AS total FROM a LEFT JOIN e USING (conv_id, turn) GROUP BY conv_id, turn")
+def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, evidence = _answers(spark, sf_dir)
+    rows = R.with_evidence(answers.select("conv_id", "turn"), evidence.select("conv_id", "turn", "passage"), ["conv_id", "turn"])
+    total = F.aggregate("evidence", F.lit(0).cast("long"), lambda s, e: s + e["passage"])
+    return rows.select("conv_id", "turn", F.size("evidence").cast("long").alias("n_passages"), total.alias("total"))
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT doc_id % 50 AS topic, lang AS value, source FROM documents),
+  g AS (SELECT topic, value, string_agg(source, ',' ORDER BY source) AS sources FROM v GROUP BY topic, value)
+  SELECT topic, value, sources FROM g WHERE topic IN (SELECT topic FROM g GROUP BY topic HAVING count(*) > 1)"""
+)
+def conflicting_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language stands for what a source says about a topic."""
+    said = read_table(spark, sf_dir, "documents").select(F.expr("doc_id % 50").alias("topic"), F.col("lang").alias("value"), "source")
+    return R.differing_sources(said, ["topic"], "source", "value").select("topic", "value", F.array_join("sources", ",").alias("sources"))
 
 
 @query(
@@ -229,7 +329,8 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return R.context_budget(docs, 20000, "source", "n_chars", [F.col("n_chars"), F.col("doc_id")]).select("source", "doc_id", "used")
+    order = [F.col("n_chars"), F.col("doc_id")]
+    return R.context_budget(docs, 20000, "source", "n_chars", order, F.col("n_chars")).select("source", "doc_id", "used")
 
 
 @query("SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
@@ -332,12 +433,12 @@ def budget_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT event_id, strftime(ts, '%Y-%m') AS month, user_id, ts, CAST(floor(value * 1000) AS BIGINT) AS amount FROM events),
-  r AS (SELECT event_id, coalesce(sum(amount) OVER (PARTITION BY user_id, month ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+  r AS (SELECT event_id, coalesce(sum(amount) OVER (PARTITION BY month ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
   SELECT event_id, CAST(before AS BIGINT) AS spent_before, before < 5000000 AS allowed FROM r"""
 )
 def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
-    month = F.concat_ws("/", F.col("user_id"), F.date_format("ts", "yyyy-MM"))
+    month = F.date_format("ts", "yyyy-MM")
     usage = events.withColumn("cost", (F.floor(F.col("value") * 1000).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(20,6)"))
     rows = A.running_spend(usage, month, "cost", ["ts", "event_id"])
     return rows.select("event_id", (F.col("spent_before") * 1_000_000).cast("long").alias("spent_before"), "allowed")
@@ -380,15 +481,125 @@ def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 3 <> 0),
-  b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 5 <> 0)
+    """WITH a AS (SELECT doc_id, sha256(text) AS digest FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 0),
+  b AS (SELECT doc_id, CASE WHEN quality IS NULL THEN sha256(text || '!') ELSE sha256(text) END AS digest FROM documents LEFT JOIN labels USING (doc_id) WHERE lang <> 'fr')
   SELECT doc_id, CASE WHEN a.digest IS NULL THEN 'new' WHEN b.digest IS NULL THEN 'only_existing' WHEN a.digest = b.digest THEN 'same' ELSE 'conflict' END AS state
   FROM a FULL JOIN b USING (doc_id)"""
 )
 def restore_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("digest"))
-    changed = docs.where("doc_id % 5 <> 0").withColumn("digest", F.when(F.expr("doc_id % 7 = 0"), "x").otherwise(F.col("digest")))
-    return D.restore_conflicts(docs.where("doc_id % 3 <> 0"), changed, "doc_id", "digest")
+    """Documents of low quality are gone since the backup, French ones came after it, and those without a label were edited."""
+    docs = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    now = docs.where("quality is null or quality <> 0").select("doc_id", fingerprint(F.col("text")).alias("digest"))
+    then = F.when(F.col("quality").isNull(), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return D.restore_conflicts(now, docs.where("lang <> 'fr'").select("doc_id", fingerprint(then).alias("digest")), "doc_id", "digest")
+
+
+@query(
+    """WITH b AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
+  n AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+  SELECT user_id, CASE WHEN b.event_id IS NULL OR t.ts > s.ts THEN n.event_id ELSE b.event_id END AS event_id
+  FROM b FULL JOIN n USING (user_id) LEFT JOIN events s ON s.event_id = b.event_id LEFT JOIN events t ON t.event_id = n.event_id"""
+)
+def merge_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest view or click is there, their newest purchase comes from the backup; the newer one stays."""
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    here = A.latest(events.where("event_type in ('view', 'click')"), ["user_id"], "ts", "event_id")
+    there = A.latest(events.where("event_type = 'purchase'"), ["user_id"], "ts", "event_id")
+    return D.merge_restore(here, there, "user_id", "ts").select("user_id", "event_id")
+
+
+@query(
+    """SELECT DISTINCT sha256(text) AS fingerprint FROM documents WHERE sha256(text) NOT IN
+  (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE quality = 1)"""
+)
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of good quality have vectors already."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
+    done = docs.join(read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id").withColumn("model_version", F.lit("1"))
+    return D.to_embed(docs, done, "1")
+
+
+@query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", fingerprint(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+SQL_TASKS = """WITH t AS (SELECT event_id AS task_id, user_id AS resource_id, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'PENDING'
+  WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'CANCELLED' END AS status, value, ts FROM events)"""
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tasks on the customer of the user's number."""
+    state = F.when(F.col("event_type") == "view", "RUNNING").when(F.col("event_type") == "click", "PENDING").when(F.col("event_type") == "error", "FAILED")
+    state = state.when(F.col("event_type") == "purchase", "SUCCEEDED").otherwise("CANCELLED")
+    return read_table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), F.col("user_id").alias("resource_id"), state.alias("status"), "value", "ts")
+
+
+@query(SQL_TASKS + " SELECT task_id FROM t WHERE status IN ('RUNNING', 'PENDING') AND value > 10 AND resource_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def restartable_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = read_table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("resource_id"))
+    return A.restartable(_tasks(spark, sf_dir).withColumn("repeatable", F.col("value") > 10), there).select("task_id")
+
+
+@query("SELECT event_id, event_type IN ('view', 'click') AS again FROM events")
+def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "Network").when(F.col("event_type") == "click", "timeout").otherwise("bad_parameter")
+    return read_table(spark, sf_dir, "events").select("event_id", retryable(kind).alias("again"))
+
+
+@query(
+    """SELECT DISTINCT sha256(user_id || chr(1) || event_type || chr(1) || 'v1') AS idem_key FROM events
+  WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.value < 1 AND e.user_id = events.user_id AND e.event_type = events.event_type)"""
+)
+def new_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of each user and kind, of which those with an event of low value are known."""
+    keyed = read_table(spark, sf_dir, "events").select(task_key(F.col("user_id"), F.col("event_type"), F.lit("v1")).alias("idem_key"), "value")
+    return A.new_tasks(keyed, keyed.where("value < 1")).select("idem_key")
+
+
+@query(SQL_TASKS + " SELECT task_id, status FROM t WHERE status IN ('FAILED', 'CANCELLED') AND value < 20")
+def unexplained_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.when(F.col("value") >= 20, "reason").when(F.col("value") < 10, "  ")
+    return A.unexplained_failures(_tasks(spark, sf_dir).withColumn("fail_reason", reason)).select("task_id", "status")
+
+
+@query(
+    """SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'COMPLETED' ELSE 'GENERATING' END AS status
+  FROM conversations GROUP BY conv_id"""
+)
+def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as deltas of one answer, which a last turn of the assistant ends."""
+    done = F.when(F.col("role") == "assistant", "COMPLETED").otherwise("GENERATING")
+    deltas = read_table(spark, sf_dir, "conversations").select("conv_id", F.lit(0).alias("turn"), F.col("turn").alias("seq"), F.col("text").alias("delta"), done.alias("status"))
+    return A.fold_answer(deltas).select("conv_id", fingerprint(F.col("text")).alias("digest"), "status")
+
+
+@query(
+    """SELECT conv_id, turn FROM conversations c WHERE role = 'assistant' AND NOT EXISTS
+  (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND length(u.text) > 60 AND u.turn < c.turn)"""
+)
+def calls_without_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of at most 60 characters count as lost."""
+    talk = read_table(spark, sf_dir, "conversations").where("role <> 'user' or char_length(text) > 60")
+    return A.calls_without_input(talk).select("conv_id", "turn")
+
+
+@query("SELECT user_id, count(DISTINCT event_id % 40) AS n_kbs, count(DISTINCT event_id % 40) > 10 AS over FROM events GROUP BY user_id")
+def user_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.user_capacity(read_table(spark, sf_dir, "events").select("user_id", F.expr("event_id % 40").alias("kb_id")))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src3'")
+def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and source are a document's tags."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", F.when(F.col("source") == "src3", "DE")))
+    return D.with_tag(docs, " De").select("doc_id")
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'the ')")
+def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.keyword_search(read_table(spark, sf_dir, "conversations"), "text", "The ").select("conv_id").distinct()
 
 
 @query("SELECT vec_id AS chunk_id FROM embeddings WHERE NOT (label % 2 = 0 AND vec_id % 3 = 0)")

@@ -112,6 +112,21 @@ def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {r.table: spark.read.parquet(f"{path}/{r.table}") for r in checked}
 
 
+def rebuild_index(documents: DataFrame, path: str, version: str, chunk, embed) -> DataFrame:
+    """After a restore: chunks and vectors of all documents in a new version, which becomes active once both are whole.
+
+    ``chunk`` makes chunks of documents, ``embed`` adds each chunk's vector. Rows are counted before the switch.
+    """
+    spark = documents.sparkSession
+    chunks = chunk(documents)
+    written = spark.read.parquet(write_version(embed(chunks), path, version))
+    missing = chunks.count() - written.count()
+    if missing:
+        raise ValueError(f"{missing} chunks have no vector in version {version}")
+    activate(spark, path, version)
+    return read_active(spark, path)
+
+
 def export_conversation(messages: DataFrame, path: str) -> None:
     """One JSON line a conversation, messages in order."""
     rows = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))

@@ -1,5 +1,6 @@
 """Operators on literal frames, with the boundary values that the specification fixes."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -73,6 +74,8 @@ def test_delete_leaves_no_orphan(spark):
 
 def test_citations(spark):
     answers = spark.createDataFrame([(1, 1, "a [2] b [9] c [2]"), (1, 2, "none"), (1, 3, None)], "conv_id long, turn long, text string")
+    odd = spark.createDataFrame([(1, 1, "[0] [007] [1234567] [" + "9" * 40 + "] [x] [-1]")], "conv_id long, turn long, text string")
+    assert [r.marker for r in R.citation_markers(odd).orderBy("n").collect()] == [0, 7, 1234567, -1]
     evidence = spark.createDataFrame([(1, 1, 2, 77)], "conv_id long, turn long, marker int, chunk_id long")
     bound, forged = R.bind_citations(R.citation_markers(answers), evidence)
     assert sorted((r.n, r.chunk_id) for r in bound.collect()) == [(1, 77), (3, 77)]
@@ -173,3 +176,36 @@ def test_scalars(spark):
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, kb_id string, status string, user_id int")
     assert D.paragraphs(docs).count() == D.chunks(docs, 5, 0).count() == D.ready(docs).count() == D.keyword_search(docs, "text", " ").count() == 0
+
+
+def test_running_spend_in_buckets(spark):
+    """Sums by buckets of time are those row by row, ties and nulls included."""
+    rng = random.Random(9)
+    rows = [(k, f"2024-0{rng.randint(1, 2)}-01 00:0{rng.randint(0, 3)}:00" if k % 17 else None, rng.randint(0, 400) / 100) for k in range(300)]
+    usage = spark.createDataFrame(rows, "id int, t string, c double").select("id", F.to_timestamp("t").alias("ts"), F.col("c").cast("decimal(20,6)").alias("cost"))
+    got = {r.id: r for r in A.running_spend(usage, F.date_format("ts", "yyyy-MM"), "cost", ["ts", "id"]).collect()}
+    assert len(got) == 300
+    for k, t, _ in rows:
+        before = sum(Decimal(str(c)) for j, u, c in rows if (u or "")[:7] == (t or "")[:7] and ((u or ""), j) < ((t or ""), k))
+        assert got[k].spent_before == before and got[k].allowed == (before < 5)
+
+
+def test_context_budget_in_steps(spark):
+    rows = [(g, k, (k * 7) % 23) for g in ("a", None) for k in range(60)] + [("b", 1, 500)]
+    hits = spark.createDataFrame(rows, "g string, id int, n int")
+    order = [F.col("n"), F.col("id")]
+    plain = R.context_budget(hits, 100, "g", "n", order).collect()
+    steps = R.context_budget(hits, 100, "g", "n", order, F.col("n")).collect()
+    assert sorted(map(str, steps)) == sorted(map(str, plain)) and len(plain) > 20
+
+
+def test_sources_that_differ(spark):
+    rows = [(1, "a", "yes"), (1, "b", "no"), (1, "c", "no"), (2, "a", "yes"), (2, "b", "yes"), (3, "a", None), (3, "b", "no")]
+    got = R.differing_sources(spark.createDataFrame(rows, "q int, source string, said string"), ["q"], "source", "said")
+    assert sorted((r.q, r.said, r.sources) for r in got.collect()) == [(1, "no", ["b", "c"]), (1, "yes", ["a"])]
+
+
+def test_empty_knowledge_bases_are_listed(spark):
+    docs = spark.createDataFrame([(1, "a", "ready"), (2, "a", "failed")], "doc_id long, kb_id string, status string")
+    kbs = spark.createDataFrame([("a",), ("b",)], "kb_id string")
+    assert [tuple(r) for r in D.overview(kbs, docs).collect()] == [("a", 2, 1, 0, 1, 2), ("b", 0, 0, 0, 0, None)]

@@ -67,3 +67,15 @@ def test_streams(spark, tmp_path):
     assert drain(ingest.task_states(read()), "update") == [(1, "RUNNING", 3, 2)]
     assert len(drain(ingest.deduplicated(read(), "ts", ["task_id", "seq"], "1 hour"), "append")) == 3
     assert sum(r[2] for r in drain(ingest.windowed_counts(read(), "ts", "task_id", "1 minute", "0 seconds"), "update")) == 4
+
+
+def test_rebuild_after_restore(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g")], "doc_id long, text string")
+    chunk = lambda df: D.chunks(df, 4, 1)
+    embed = lambda df: df.withColumn("vector", F.array(F.char_length("text").cast("double")))
+    path = str(tmp_path / "index")
+    first = S.rebuild_index(docs, path, "1", chunk, embed)
+    assert first.count() == chunk(docs).count() and S.active_version(spark, path) == "1"
+    with pytest.raises(ValueError, match="no vector"):
+        S.rebuild_index(docs, path, "2", chunk, lambda df: embed(df).where("doc_id = 1"))
+    assert S.active_version(spark, path) == "1"
