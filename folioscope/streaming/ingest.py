@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from folioscope.operators.activity import TERMINAL
 from folioscope.operators.documents import chunks, paragraphs
 
 
@@ -34,19 +35,52 @@ def windowed_counts(events: DataFrame, time_col: str, key: str, size: str, delay
     return timed.groupBy(F.window(time_col, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """Each task's newest status and number of attempts, kept across batches: (task_id, status, attempts, seq)."""
+def handle_once(source: DataFrame, handled: str, checkpoint: str, key: Column, handle) -> StreamingQuery:
+    """Run ``handle`` on every row whose idempotent key was not handled before, then stop; a restart repeats nothing.
+
+    ``handle`` turns the new rows of a batch into results. A batch's results and keys are one write, to a folder of
+    the batch's own that a repeated batch replaces, and only other batches' keys are looked up.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = spark.read.option("ignoreMissingFiles", "true").schema("idem_key string, batch long").parquet(handled)
+        done = done.where(F.col("batch") != batch_id).select("idem_key")
+        fresh = batch.withColumn("idem_key", key).dropDuplicates(["idem_key"]).join(done, "idem_key", "left_anti")
+        handle(fresh).write.mode("overwrite").parquet(f"{handled}/batch={batch_id}")
+
+    source.sparkSession.range(0).select(F.lit("").alias("idem_key"), F.lit(0).cast("long").alias("batch")).write.mode("append").partitionBy("batch").parquet(handled)
+    return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: How long the state of a task is kept without a new event: one that has ended, and one that has not.
+KEEP_ENDED_MS, KEEP_OPEN_MS = 3_600_000, 7 * 24 * 3_600_000
+
+
+def task_states(events: DataFrame, time_col: str = "ts", delay: str = "1 hour", keep_ended_ms: int = KEEP_ENDED_MS, keep_open_ms: int = KEEP_OPEN_MS) -> DataFrame:
+    """Each task's newest status and number of attempts, kept across batches: (task_id, status, attempts, seq).
+
+    A task's state goes when the watermark is so far beyond its events, sooner once it has ended, so that the state
+    doesn't grow for ever.
+    """
 
     def update(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seq, status, attempts = state.get if state.exists else (-1, None, 0)
+        latest = 0
         for part in rows:
+            latest = max(latest, int(part[time_col].max().timestamp() * 1000))
             attempts += int((part["status"] == "RUNNING").sum())
             last = part.loc[part["seq"].idxmax()]
             if last["seq"] > seq:
                 seq, status = int(last["seq"]), last["status"]
         state.update((seq, status, attempts))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + (keep_ended_ms if status in TERMINAL else keep_open_ms))
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "attempts": [attempts], "seq": [seq]})
 
-    return events.groupBy("task_id").applyInPandasWithState(
-        update, "task_id long, status string, attempts long, seq long", "seq long, status string, attempts long", "update", GroupStateTimeout.NoTimeout
+    timed = events.withColumn(time_col, F.col(time_col).cast("timestamp")).where(F.col(time_col).isNotNull()).withWatermark(time_col, delay)
+    return timed.groupBy("task_id").applyInPandasWithState(
+        update, "task_id long, status string, attempts long, seq long", "seq long, status string, attempts long", "update", GroupStateTimeout.EventTimeTimeout
     )

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions.scalar import task_key
+from folioscope.operators import documents as D
 from folioscope.sources import tables as S
 from folioscope.streaming import ingest
 
@@ -79,3 +81,24 @@ def test_rebuild_after_restore(spark, tmp_path):
     with pytest.raises(ValueError, match="no vector"):
         S.rebuild_index(docs, path, "2", chunk, lambda df: embed(df).where("doc_id = 1"))
     assert S.active_version(spark, path) == "1"
+
+
+def test_tasks_are_handled_once(spark, tmp_path):
+    """Rows that come again, in the same batch, in a later one or after a lost checkpoint, are not handled again."""
+    source, handled, calls = str(tmp_path / "in"), str(tmp_path / "handled"), []
+    key = task_key(F.col("doc_id"), F.col("text"))
+
+    def handle(fresh):
+        calls.extend(r.doc_id for r in fresh.collect())
+        return fresh.select("idem_key", "doc_id")
+
+    def run(checkpoint):
+        stream = ingest.read_stream(spark, source, "doc_id long, text string")
+        ingest.handle_once(stream, handled, str(tmp_path / checkpoint), key, handle).awaitTermination()
+
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id long, text string").write.mode("append").parquet(source)
+    run("one")
+    spark.createDataFrame([(2, "b"), (3, "c"), (1, "changed")], "doc_id long, text string").write.mode("append").parquet(source)
+    run("one")
+    assert sorted(calls) == [1, 1, 2, 3]
+    assert sorted(r.doc_id for r in spark.read.parquet(handled).where("idem_key <> ''").collect()) == [1, 1, 2, 3]
