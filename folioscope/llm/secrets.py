@@ -19,10 +19,10 @@ result; other columns don't matter to ``scan_secrets`` and pass through ``redact
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -151,10 +151,20 @@ def query_terms(rules: tuple[Rule, ...]) -> list[Term]:
     return [Term(t, r, c, len(clause)) for r, c, clause in clauses for t in clause]
 
 
+def any_of(names: list[str]) -> str:
+    """An expression for any of the trigrams, common beginnings first, so that a place in a text is looked at once."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for x in sorted(names):
+        tree.setdefault(x[0], {}).setdefault(x[1], []).append(x[2])
+    either = lambda parts: f"(?:{'|'.join(parts)})" if len(parts) > 1 else parts[0]
+    word = re.escape
+    return either([word(a) + either([word(b) + either([word(c) for c in last]) for b, last in rest.items()]) for a, rest in tree.items()])
+
+
 def inverted_index(docs: DataFrame, terms: list[Term], id_col: str, text_col: str) -> DataFrame:
-    """Postings (trigram, id), for the trigrams of the queries."""
-    names = sorted({x.trigram for x in terms})
-    held = let(F.lower(text_or_empty(text_col)), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in names])))
+    """Postings (trigram, id), for the trigrams of the queries; trigrams may overlap in a text, so nothing is taken in while finding one."""
+    every = F.lit(f"(?=({any_of(sorted({x.trigram for x in terms}))}))")
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), every, F.lit(1)))
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col)).where("id is not null")
     return named.select("id", F.explode(held).alias("trigram"))
 
@@ -261,7 +271,7 @@ def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     if not terms:
         return scanned(rows, lambda r: None)
     index = Stash(docs.sparkSession, "secrets").put(inverted_index(docs, terms, quoted(id_col), quoted(text_col)), "index")
-    possible = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in rarest(index, terms)]))
+    possible = F.lower("text").rlike(any_of(rarest(index, terms)))
     named = rows.where("key is not null").withColumn("possible", possible)
     few = named.where("possible").join(candidates(index, terms), F.col("key") == F.col("id"), "left").select("row", "text", "rules")
     every = F.array(*[F.lit(r) for r in range(len(rules))])

@@ -222,6 +222,15 @@ def test_secrets_in_very_long_texts(spark):
     assert time.time() - began < 60
 
 
+def test_postings(spark):
+    """Overlapping trigrams are all found, whatever signs they hold."""
+    terms = secrets.query_terms(secrets.RULES)
+    names, rng = sorted({t.trigram for t in terms}), random.Random(4)
+    texts = ["".join(rng.choice([*names, "a", "ss", "-", "P", "ö"]) for _ in range(25)) for _ in range(60)] + ["passwords", "", None]
+    got = secrets.inverted_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), terms, "doc_id", "text").collect()
+    assert sorted((r.id, r.trigram) for r in got) == [(k, x) for k, t in enumerate(texts) for x in names if x in (t or "").lower()]
+
+
 def plain_spans(text):
     """All spans of all rules by Python's expressions."""
     out = []
