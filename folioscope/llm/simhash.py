@@ -105,18 +105,40 @@ def cutting_for(distinct: int) -> tuple[int, int]:
     return CUTTINGS[-1]
 
 
-def _signed(mask: int) -> Column:
-    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
+def _runs(mask: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each run of ones."""
+    out, low = [], None
+    for bit in range(BITS + 1):
+        if mask >> bit & 1 and low is None:
+            low = bit
+        elif not mask >> bit & 1 and low is not None:
+            out.append((low, bit - low))
+            low = None
+    return out
+
+
+def _packed(value: Column, mask: int) -> Column:
+    """The bits under the mask side by side."""
+    out, at = F.lit(0).cast("long"), 0
+    for low, bits in _runs(mask):
+        part = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(part, at))
+        at += bits
+    return out
+
+
+#: A key's lower bits hold its piece's bits, the upper ones its number.
+KEY_BITS = 32
 
 
 def _variants(fp: str, masks: list[int]) -> Column:
-    """Keys: the number of a piece and a wiped bit, and the piece's other bits."""
-    keys, n = [], 0
+    """Keys: (piece, wiped bit) above the piece's other bits."""
+    keys = []
     for mask in masks:
-        for bit in range(BITS):
-            if mask >> bit & 1:
-                keys.append(F.struct(F.lit(n).cast("short").alias("n"), F.col(fp).bitwiseAND(_signed(mask & ~(1 << bit))).alias("rest")))
-                n += 1
+        bits, first = bin(mask).count("1"), len(keys)
+        piece = _packed(F.col(fp), mask)
+        for k in range(bits):
+            keys.append(F.lit((first + k) << KEY_BITS).cast("long").bitwiseOR(piece.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << k)).cast("long"))))
     return F.array(*keys)
 
 
@@ -131,10 +153,9 @@ def _first_shared_key(a: str, b: str, masks: list[int]) -> Column:
     start = sum(bin(m).count("1") for m in masks)
     for mask in reversed(masks):
         start -= bin(mask).count("1")
-        part = x.bitwiseAND(_signed(mask))
-        # the piece's bits below the one that differs say which of its variants it is
-        below = F.when(part == 0, F.lit(0)).otherwise(F.bit_count((part - 1).bitwiseAND(F.bitwise_not(part)).bitwiseAND(_signed(mask))))
-        out = F.when(F.bit_count(part) <= 1, F.lit(start) + below).otherwise(out)
+        part = _packed(x, mask)
+        at = F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
+        out = F.when(F.bit_count(part) <= 1, F.lit(start) + at).otherwise(out)
     return out
 
 
@@ -174,7 +195,7 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tu
         & (F.col("own_a") != F.col("own_b"))
         & ((F.col("own_b") == F.col("main")) | (F.col("own_a") < F.col("own_b")))
         & (_differing("fp_a", "fp_b") <= max_bits)
-        & (F.col("key.n") == _first_shared_key("fp_a", "fp_b", masks)),
+        & (F.shiftrightunsigned("key", KEY_BITS) == _first_shared_key("fp_a", "fp_b", masks)),
     )
     second = stash.put(connected_components(pairs.select("own_a", "own_b")), "second")
     stash.drop(placed)
