@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import embeddings, language, licenses, packing, pieces, quality, secrets, simhash, toxicity, urls
+from folioscope.llm import binpack, embeddings, importance, language, licenses, packing, pieces, quality, search, secrets, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -68,8 +80,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_embeddings": op10_embeddings,
+    "op11_importance": op11_importance,
+    "op12_binpack": op12_binpack,
+    "op13_search": op13_search,
 }
 
+#: Words of a text as the SQL of the last operators takes them.
+SQL_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 #: Held against SQL where it can express the whole result; the others are tested by brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     # the given pages name no redirect and no canonical address, so no page takes another's verdict
@@ -95,4 +113,28 @@ low AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
 n AS (SELECT a, count(*) AS links FROM link GROUP BY a)
 SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.node = vec_id""",
+    # crc32 by its table, a byte at a time over each distinct word
+    "op11_importance": rf"""
+WITH RECURSIVE steps(b, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, unnest({SQL_WORDS}) AS word FROM documents), q AS (SELECT unnest({SQL_WORDS}) AS word FROM benchmark),
+w AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket FROM (SELECT DISTINCT word FROM (FROM d SELECT word UNION FROM q SELECT word)), crc),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN w USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM q JOIN w USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM d JOIN w USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN f USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM x LEFT JOIN (SELECT * FROM r WHERE rank <= (SELECT count(*) * 10 // 100 FROM r)) USING (doc_id)""",
+    "op13_search": rf"""
+WITH t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_WORDS}) AS word FROM documents) GROUP BY doc_id, word),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id), a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+w AS (SELECT word, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, a GROUP BY word),
+q AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest({SQL_WORDS}) AS word FROM benchmark)),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN w USING (word) JOIN t USING (word) JOIN n USING (doc_id), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
