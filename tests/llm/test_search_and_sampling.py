@@ -232,7 +232,8 @@ def test_many_ties_keep_the_smallest_ids(spark):
     rows = spark.range(6000).select(F.when(F.col("id") % 1000 > 3, F.col("id") * 7 % 6000).alias("doc_id"), F.lit("same words here").alias("text")).repartition(7)
     items = spark.createDataFrame([(1, "words"), (2, "here same")], "item_id long, text string")
     ids = sorted(r.doc_id for r in rows.where("doc_id is not null").collect())
-    got = search.rank_documents(rows, items, k=25).collect()
+    others = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("none of them").alias("text"))
+    got = search.rank_documents(rows.unionByName(others), items, k=25).collect()
     assert sorted((r.item_id, r["rank"], r.doc_id) for r in got) == [(i, k + 1, ids[k]) for i in (1, 2) for k in range(25)]
 
 
