@@ -143,6 +143,8 @@ def vote_pattern() -> Column:
 BREAKS_GOOD, BREAKS_BAD, SHARE_GOOD, BELIEF = 0.02, 0.3, 0.9, 100.0
 #: A vote multiplies the odds by this at most, so that it takes two rules to reject, and is never held to say the opposite.
 MOST_ODDS = 10.0
+#: Bad documents are held to be such a share at least, so that a text's verdict doesn't turn with how few are like it.
+LEAST_BAD = 0.05
 
 
 def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60) -> dict[int, float]:
@@ -161,14 +163,14 @@ def fit_votes(counts: dict[int, int], rules: int = len(RULES), rounds: int = 60)
     breaks = np.array([BREAKS_GOOD, BREAKS_BAD])
     for _ in range(rounds + 1):
         held = n[:, None] * post
-        share = (held.sum(axis=0) + weights) / (held.sum() + BELIEF)
+        share_bad = max(LEAST_BAD, (held[:, 1].sum() + weights[1]) / (held.sum() + BELIEF))
         says_bad = bad.T @ held + breaks * weights
         says_good = good.T @ held + (1 - breaks) * weights
         rate = says_bad / (says_bad + says_good)
         most = math.log(MOST_ODDS)
         for_bad = np.clip(np.log(rate[:, 0] / rate[:, 1]), -most, 0)
         for_good = np.clip(np.log((1 - rate[:, 0]) / (1 - rate[:, 1])), 0, most)
-        odds = np.log(share[0] / share[1]) + bad @ for_bad + good @ for_good
+        odds = math.log((1 - share_bad) / share_bad) + bad @ for_bad + good @ for_good
         post = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], axis=1)
     return dict(zip(patterns.tolist(), post[:, 0].tolist()))
 

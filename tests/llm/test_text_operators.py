@@ -97,7 +97,8 @@ def plain_posteriors(rows, rules):
                 rates[side].append((says[0] + breaks * belief) / (sum(says) + belief))
         post = []
         for v in rows:
-            odds = math.log(total[0] / total[1])
+            bad = max(quality.LEAST_BAD, total[1] / sum(total))
+            odds = math.log((1 - bad) / bad)
             for k in range(rules):
                 if v[k] == 0:
                     odds += clip(math.log(rates[0][k] / rates[1][k]), -limit, 0)
@@ -176,6 +177,17 @@ def test_votes_on_one_broken_rule_do_not_turn_with_their_number():
             assert post[fair - 3**k] > 0.5 and post[fair] > 0.9 and post[fair - others] < 0.1
 
 
+def test_verdicts_do_not_turn_with_how_few_are_alike():
+    """Of a million documents a group breaks some rules: its verdict is the same at every size."""
+    fair = 3**len(quality.RULES) // 2
+    for broken in (1, 2, 3):
+        pattern = fair - sum(3**k for k in range(broken))
+        for size in (1, 100, 300, 700, 3000, 30000):
+            post = quality.fit_votes({fair: 10**6 - size, pattern: size})
+            assert (post[pattern] > 0.5) == (broken == 1) and post[fair] > 0.9
+            assert broken < 3 or post[pattern] < 0.05
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", t):
