@@ -179,14 +179,11 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tu
     of_fp = first.select(F.col("node").alias("fp"), F.col("component").alias("own"))
     owned = dealt.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"))
     index = owned.select("fp", "own", F.explode(_variants("fp", masks)).alias("key"))
-    mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.count("*").alias("n"))
-    # every row of the index is placed, also those alone under their key: what is written grows with the input only
-    placed = stash.put(
-        index.join(mains, "key").select("key", "fp", F.nullif("own", "fp").alias("own"), F.nullif("main", "own").alias("main"), (F.col("n") > 1).alias("shared")),
-        "placed",
-    )
+    # keys of one row or of one component have no pair left to find
+    mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    placed = stash.put(index.join(mains.select("key", "main"), "key").select("key", "fp", F.nullif("own", "fp").alias("own"), F.nullif("main", "own").alias("main")), "placed")
     own = F.coalesce("own", "fp")
-    shared = placed.where("shared").select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
+    shared = placed.select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
     strays = shared.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
     rest = shared.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
     pairs = strays.join(
