@@ -9,8 +9,9 @@ allow goes before any block; a class without a judged page allows.
 Cases: a null URL or one without ``://`` has empty host and path, joins no class and is
 allowed unless a rule fits; null HTML has no edge; repeated URLs are one node; pages that
 only others link to count as nodes and are judged by the rules like any; an empty table
-gives an empty result; relative addresses are resolved against the page's own, and very long HTML is
-searched whole, in time that follows its length. Rules are few by contract and sent as literals.
+gives an empty result; relative addresses are resolved against the page's ``<base>`` or else its own; links
+inside comments are none, nor are tags longer than ``TAG_CHARS``; very long HTML is searched whole, in time
+that follows its length. Rules are few by contract and sent as literals.
 """
 
 from __future__ import annotations
@@ -70,17 +71,48 @@ def rule_for(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) ->
     return out
 
 
+#: A tag is searched for its end so far at most and not beyond another one's begin, so a search takes time by its text's length.
+TAG_CHARS = 4096
+#: One attribute of a tag; quoted values are part of it, so names inside them are none.
+ATTRIBUTE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?"""
+
+
+def _without_comments(html: Column) -> Column:
+    """A comment ends at its first ``-->``, or at once; one that never ends takes the rest."""
+
+    def rest(part: Column, k: Column) -> Column:
+        end = F.instr(part, "-->")
+        short = F.when(part.startswith(">"), 1).when(part.startswith("->"), 2).when(end > 0, end + 2)
+        return F.when(k == 0, part).when(short.isNull(), F.lit("")).otherwise(F.substring(part, short + 1, F.char_length(part)))
+
+    cut = F.array_join(F.transform(F.split(html, "<!--", -1), rest), "")
+    return F.when(F.contains(html, F.lit("<!--")), cut).otherwise(html)
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}(?=[\s/])[^<>]{{0,{TAG_CHARS}}}>"), F.lit(0))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'>\s]+)""", 1)
+    """The value of the tag's first attribute of that name; null without one."""
+    found = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(rf"(?i)^{name}\s*="))
+    value = F.regexp_replace(F.get(found, F.lit(0)), r"^[^=]*=\s*", "")
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.trim(F.when(quoted, F.substring(value, F.lit(2), F.char_length(value) - 2)).otherwise(value))
 
 
 def _targets(html: Column) -> Column:
-    """Addresses that the page names as its canonical form or sends its readers to."""
-    canonical = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-    refresh = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-    links = F.transform(F.regexp_extract_all(html, F.lit(canonical), F.lit(0)), lambda t: _attribute(t, "href"))
-    sent = F.transform(F.regexp_extract_all(html, F.lit(refresh), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?is)url\s*=\s*['"]?([^"'>\s]+)""", 1))
-    return F.filter(F.concat(links, sent), lambda x: x != "")
+    """(base, addresses): the page's ``<base>`` or null, and what it names as its canonical form or sends its readers to."""
+
+    def of(text: Column) -> Column:
+        canonical = F.filter(_tags(text, "link"), lambda t: F.coalesce(F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"), F.lit(False)))
+        refresh = F.filter(_tags(text, "meta"), lambda t: F.coalesce(F.lower(_attribute(t, "http-equiv")) == "refresh", F.lit(False)))
+        sent = F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?i)\burl\s*=\s*['"]?([^"'>\s]+)""", 1))
+        base = F.get(F.filter(F.transform(_tags(text, "base"), lambda t: _attribute(t, "href")), lambda x: x != ""), F.lit(0))
+        named = F.filter(F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), sent), lambda x: x != "")
+        return F.struct(base.alias("base"), named.alias("named"))
+
+    return let(_without_comments(html), of)
 
 
 def _node(url: Column) -> Column:
@@ -132,8 +164,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
     linked = pages.where("instr(url, '://') > 0 and html is not null").where(
         F.expr("html ilike '%canonical%' or html ilike '%refresh%'")
     )
-    found = linked.select("url", F.explode(_targets(F.col("html"))).alias("target"))
-    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("target"), F.col("url"))).alias("b")).where("b is not null").distinct()
+    found = linked.select("url", _targets(F.col("html")).alias("t"))
+    based = found.select("url", F.coalesce(_resolved(F.col("t.base"), F.col("url")), "url").alias("base"), F.explode("t.named").alias("target"))
+    return based.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("target"), F.col("base"))).alias("b")).where("b is not null").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, edges: DataFrame | None = None) -> DataFrame:

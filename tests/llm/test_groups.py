@@ -1,8 +1,11 @@
 """Components, SimHash, embeddings and URLs against brute force, and their edge cases."""
 
 import collections
+import html.parser
 import os
 import random
+import time
+import urllib.parse
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +257,80 @@ def test_relative_links_carry_decisions(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<link rel="canonical" data-href="/wrong" href="/right">', "/right"), ('<LINK HREF=/right REL="alternate Canonical">', "/right"), ('<link rel="canonical-ish" href="/wrong">', None),
+        ('<!-- <link rel="canonical" href="/wrong"> --><link rel=canonical href="/right">', "/right"), ('<!-- a <!-- b --><link rel=canonical href="/right"><!-- -- <link rel=canonical href="/wrong">', "/right"),
+        ('<!--><link rel=canonical href="/right">-->', "/right"), ('<link title="href=/wrong rel=x" rel="canonical" href="/right">', "/right"), ('<link-x rel="canonical" href="/wrong">', None),
+        ('<base href="/right/x"><link rel="canonical" href="y">', "/right/y"), ('<base target=t><base href="http://o.org/q/"><meta content="5;URL=\'z\'" http-equiv=Refresh>', "http://o.org/q/z"),
+        ('<link rel="canonical" href = "/right" href="/wrong"/>', "/right"), ("<link\nrel='canonical'\nhref='/right'\n>", "/right"), ('<link rel="canonical" href="">', None),
+        ('<link rel="canonical" ' + "x" * 5000 + ' href="/long">', None), ('<link rel="canonical" <link rel="canonical" href="/right">', "/right"),
+    ],
+)
+def test_links_of_a_page(spark, html, want):
+    pages = spark.createDataFrame([("http://h.com/a/b", html)], "url string, html string")
+    found = [r.b for r in urls.link_edges(pages).collect()]
+    assert found == ([want if want.startswith("http") else f"http://h.com{want}"] if want else [])
+
+
+@pytest.mark.parametrize("part", ["<link ", "<!--", "<!-- -", "<link rel=canonical ", "<meta a='", "<base href=\"", "-->", "< link rel=", "<link x=\"y"])
+def test_hostile_pages_take_linear_time(spark, part):
+    """A megabyte of what a search could stumble over."""
+    html = "canonical refresh " + part * (1_000_000 // len(part)) + '<link rel="canonical" href="/z">'
+    pages = spark.createDataFrame([("http://h.com/a", html)], "url string, html string").cache()
+    pages.count()
+    began = time.time()
+    urls.link_edges(pages).collect()
+    assert time.time() - began < 10
+
+
+def test_classes_against_a_plain_union(spark):
+    """Random pages of links, redirects, comments and bases: the standard library's parser and a plain union find the same verdicts."""
+    rng = random.Random(5)
+    hosts = ["a.org", "b.example.com", "www.example.com", "c.net", "d.io"]
+    address = lambda: rng.choice([f"http://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'x'])}/{rng.randrange(12)}", f"/{rng.choice(['en', 'y'])}/{rng.randrange(9)}", f"{rng.randrange(9)}", f"../{rng.randrange(5)}"])
+    pages = []
+    for k in range(150):
+        parts = [rng.choice(["<p>text</p>", f"<link rel='{rng.choice(['canonical', 'next', 'x canonical'])}' href=\"{address()}\">", f"<!-- <link rel=canonical href={address()}> -->",
+                 f"<meta http-equiv='refresh' content='3; url={address()}'>", f"<base href='/{rng.choice('qr')}/'>"]) for _ in range(rng.randrange(3))]
+        pages.append((k, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'x'])}/{rng.randrange(12)}", "".join(parts)))
+
+    class Links(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            got = dict(attrs)
+            if tag == "base" and got.get("href") and self.base is None:
+                self.base = got["href"]
+            if tag == "link" and "canonical" in got["rel"].split():
+                self.named.append(got["href"])
+            if tag == "meta":
+                self.named.append(got["content"].split("url=")[1])
+
+    group: dict[str, str] = {}
+
+    def root(u):
+        while group.setdefault(u, u) != u:
+            u = group[u]
+        return u
+
+    for _, url, text in pages:
+        seen = Links()
+        seen.base, seen.named = None, []
+        seen.feed(text)
+        for target in seen.named:
+            a, b = root(url), root(urllib.parse.urljoin(urllib.parse.urljoin(url, seen.base or ""), target))
+            group[max(a, b)] = min(a, b)
+    verdicts = collections.defaultdict(set)
+    for u in list(group):
+        verdicts[root(u)].add(judge(u)[3])
+    want = {}
+    for k, url, _ in pages:
+        of_class = verdicts[root(url)] if url in group else set()
+        want[k] = judge(url)[3] or ("allow" if "allow" in of_class else "block" if "block" in of_class else "allow")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and {(judge(u)[3], want[k]) for k, u, _ in pages} >= {(None, "allow"), (None, "block")}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="the tables with near copies aren't there")
 def test_recall_on_the_given_vectors(spark):
     """Links found of all links among the vectors of check_s, by brute force: recall is 0.9 at least, and nothing else links."""
