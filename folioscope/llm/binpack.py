@@ -46,15 +46,20 @@ WORD_BYTES, WORDS_KEPT, IDS_KEPT = 64, 400_000, 4_000_000
 SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = SOLID[0xC3:] = True
 SOLID[[0xE1, 0xE2, 0xE3]] = False
+LETTER = np.zeros(256, bool)
+LETTER[ord("A") : ord("Z") + 1] = LETTER[ord("a") : ord("z") + 1] = True
+#: Words that are encoded in one string.
+TOGETHER = 100
 #: Texts on which encoding word by word must agree with the tokenizer, or whole texts are encoded.
-PROBES = ["One two,  three\n four\t five 's it's    x 　y", " a  b ", "x\n\n  y <|endoftext|> z<|endoftext|>", "été 日本語 🙂 12 34", "  "]
+PROBES = ["One two,  three\n four\t five. (a-b) c_d's x.'s y, z 's it's    x 　y", " a  b ", "x\n\n  y <|endoftext|> z<|endoftext|>", "été 日本語 🙂 12 34", "  "]
 
 
 class WordIds:
     """Ids by a byte-level tokenizer, whose words begin with the space before them.
 
-    Before a space with a visible character behind it such a tokenizer always cuts, so texts are cut there too and
-    each distinct word is encoded once. Words are kept for later texts, up to a bound.
+    Before a space with a visible character behind it such a tokenizer always cuts, and so it does between an ASCII
+    letter and a sign; texts are cut there too and each distinct word is encoded once, many in one string: their
+    ids fall apart again at those that begin with a space. Words are kept for later texts, up to a bound.
     """
 
     def __init__(self, path: str):
@@ -65,6 +70,13 @@ class WordIds:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Signs before which a word is cut; no special token is, and an apostrophe may belong to the letters behind it.
+        self.signs = np.zeros(256, bool)
+        self.signs[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'" + "".join(added)]] = True
+        #: Which ids begin with a space.
+        self.spaced = np.zeros(1 << 16, bool)
+        self.spaced[[i for piece, i in self.tokenizer.get_vocab().items() if piece.startswith("Ġ") and piece not in added]] = True
         self.cut = True
         self._forget()
         ids, ends = self.batch(pa.array(PROBES))
@@ -80,12 +92,23 @@ class WordIds:
         found = [np.array(e.ids, np.uint16) for e in self.many(words, add_special_tokens=False)] if words else []
         return np.concatenate([*found, np.zeros(0, np.uint16)]), np.array([len(x) for x in found], np.int64)
 
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of a space and visible characters, with many in one string."""
+        ids, _ = self._encode(["".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        first = np.flatnonzero(self.spaced[ids])
+        if len(first) != len(words):
+            return self._encode(words)
+        return ids, np.diff(first, append=len(ids))
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: a pool of ids, and where each word's begin there and how many it has."""
         if len(self.known) > WORDS_KEPT or len(self.pool) > IDS_KEPT:
             self._forget()
         fresh = [w for w in words if w not in self.known and len(w) <= WORD_BYTES]
-        ids, sizes = self._encode(fresh)
+        plain = [w for w in fresh if w[0] == " " and w.split() == [w[1:]]] if self.cut else []
+        rest = list(set(fresh).difference(plain))
+        (ids, sizes), (others, counts) = self._spaced(plain), self._encode(rest)
+        fresh, ids, sizes = plain + rest, np.concatenate([ids, others]), np.concatenate([sizes, counts])
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
@@ -102,6 +125,7 @@ class WordIds:
         mark = np.zeros(len(data) + 1, bool)
         if self.cut and len(data):
             mark[:-2] = (data[:-1] == 0x20) & SOLID[data[1:]]
+            mark[1:-1] |= LETTER[data[:-1]] & self.signs[data[1:]]
         mark[at[:-1]] = True
         begins = np.flatnonzero(mark[:-1])
         counts = np.diff(np.searchsorted(begins, at))
