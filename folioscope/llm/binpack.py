@@ -41,7 +41,9 @@ SLACKS = (0, 0, 1, 2, 4, 8, 16, 32, 64)
 #: window of its own, with as few others as will do, as these are short of partners.
 BANDS = ((2, 2), (2, 3), (2, MOST_PARTS), (3, MOST_PARTS), (None, MOST_PARTS))
 #: Bytes that a word which is kept for later may have, and how many words and ids are kept in a worker.
-WORD_BYTES, WORDS_KEPT, IDS_KEPT = 64, 400_000, 4_000_000
+WORD_BYTES, WORDS_KEPT, IDS_KEPT = 64, 250_000, 2_500_000
+#: Bytes of text that are encoded at once in a task.
+SLICE_BYTES = 3 << 20
 #: Bytes that can't begin a white space: visible ASCII, and first bytes of characters under which none is white.
 SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = SOLID[0xC3:] = True
@@ -151,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str =
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uid = load(tokenizer), TaskContext.get().partitionId() << 33
-        for part in (p for batch in batches for p in slices(batch, 1)):
+        for part in (p for batch in batches for p in slices(batch, 1, SLICE_BYTES)):
             ids, ends = words.batch(part.column(1))
             wide = memoryview(ids.astype("<u4"))
             n = np.diff(ends, prepend=0)
