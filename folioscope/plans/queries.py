@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from folioscope.functions.scalar import blank, fingerprint, retryable, snippet, task_key
 from folioscope.operators import activity as A
 from folioscope.operators import documents as D
+from folioscope.operators import lexical_index as L
 from folioscope.operators import retrieval as R
+from folioscope.operators import vector_index as V
+from folioscope.sources.scratch import scratch_path
 from folioscope.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +233,65 @@ def retrieval_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.round("best", 6).alias("best"), "refused")
 
 
+@query(
+    SQL_SCORED
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
+  SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``vector_topk`` by an index of cells, built here and probed until no unread cell can hold a better vector."""
+    vectors, path = read_table(spark, sf_dir, "embeddings"), scratch_path(spark, "vector-index")
+    V.build_index(vectors, path, "1", rows_a_cell=512)
+    best = V.search(spark, path, vectors.where("vec_id % 100 = 0"), 10)
+    return best.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+#: Ranked words: BM25 with parts rounded down to millionths, over documents d(id, scope, text) and queries q(query_id, scope, text).
+#: The given tables hold no script without spaces, so pairs of signs are left out here.
+SQL_RANKED = r"""t AS (SELECT scope, id, term, count(*) AS tf FROM (SELECT id, scope, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM d) GROUP BY scope, id, term),
+  n AS (SELECT scope, id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY scope, id), h AS (SELECT scope, count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n GROUP BY scope),
+  w AS (SELECT scope, term, ln(1 + (any_value(docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t JOIN h USING (scope) GROUP BY scope, term),
+  a AS (SELECT DISTINCT query_id, scope, term FROM (SELECT query_id, scope, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM q)),
+  p AS (SELECT query_id, id, CAST(sum(CAST(floor(1000000 * idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n * docs / words)))) AS BIGINT)) AS BIGINT) AS score
+    FROM a JOIN w USING (scope, term) JOIN t USING (scope, term) JOIN n USING (scope, id) JOIN h USING (scope) GROUP BY query_id, id)"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, '' AS scope, text FROM documents), q AS (SELECT item_id AS query_id, '' AS scope, text FROM benchmark), {SQL_RANKED},
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id AS doc_id, score, rank FROM r WHERE rank <= 10"""
+)
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents by words for each benchmark passage, by an inverted index built here."""
+    path = scratch_path(spark, "lexical-index")
+    L.build_index(read_table(spark, sf_dir, "documents"), path, "1")
+    best = L.search(spark, path, read_table(spark, sf_dir, "benchmark"), 10, id_col="item_id")
+    return best.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    SQL_SCORED
+    + f""", d AS (SELECT doc_id AS id, label AS scope, text FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT id AS query_id, scope, text FROM d WHERE id % 100 = 0), {SQL_RANKED},
+  near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s),
+  said AS (SELECT query_id, id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p WHERE id <> query_id),
+  u AS (SELECT * FROM near WHERE rank <= 50 UNION ALL SELECT * FROM said WHERE rank <= 50)
+  SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY query_id, vec_id"""
+)
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by vector and the best by words of each query's scope, each by its index, fused by rank.
+
+    The document of a vector's number is its chunk; every one whose id is divisible by 100 asks within its label.
+    """
+    vectors, docs = read_table(spark, sf_dir, "embeddings"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    cells, words = scratch_path(spark, "vector-index"), scratch_path(spark, "lexical-index")
+    V.build_index(vectors, cells, "1", rows_a_cell=512)
+    L.build_index(chunks, words, "1", scope_col="label")
+    near = V.search(spark, cells, vectors.where("vec_id % 100 = 0"), 50)
+    said = L.search(spark, words, chunks.where("doc_id % 100 = 0"), 50, skip_self=True, id_col="doc_id", scope_col="label")
+    pair = F.struct("query_id", F.col("id").alias("vec_id")).alias("pair")
+    return R.fuse([near.select(pair, "rank"), said.select(pair, "rank")], "pair").select("pair.*", F.round("score", 9).alias("score"))
+
+
 @query(
     SQL_SCORED
     + """, a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
@@ -237,7 +299,7 @@ def retrieval_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
   u AS (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT * FROM b WHERE rank <= 50)
   SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY query_id, vec_id"""
 )
-def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recency_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest and the newest of each query's scope, fused."""
     scored = _scored(spark, sf_dir)[1]
     pair = F.struct("query_id", "vec_id").alias("pair")

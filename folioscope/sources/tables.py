@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,13 @@ def activate(spark: SparkSession, path: str, version: str) -> None:
 
 
 def active_version(spark: SparkSession, path: str) -> str | None:
-    rows = spark.read.option("ignoreMissingFiles", "true").schema("version string, at timestamp, id string").parquet(f"{path}/_pointers_")
+    """The version that was made active last; null where none was."""
+    try:
+        rows = spark.read.option("ignoreMissingFiles", "true").schema("version string, at timestamp, id string").parquet(f"{path}/_pointers_")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     top = rows.orderBy(F.col("at").desc(), F.col("id").desc()).limit(1).collect()
     return top[0].version if top else None
 
