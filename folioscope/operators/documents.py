@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +72,91 @@ def paragraphs(documents: DataFrame) -> DataFrame:
 
 
 def chunks(documents: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, pos, start, text): pieces of ``size`` characters, each ``overlap`` into the one before."""
+    """(doc_id, pos, start, text): pieces of ``size`` characters, each ``overlap`` into the one before.
+
+    A text is cut once into steps and a chunk put together from neighbouring ones, in time that follows its length.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     step = size - overlap
-    last = F.greatest(F.char_length("text") - overlap - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), F.floor(last / step).cast("int"))
-    placed = documents.where(F.char_length("text") > 0).select("doc_id", "text", F.explode(starts).alias("pos"))
-    start = F.col("pos") * step
-    return placed.select("doc_id", "pos", start.alias("start"), F.substring(F.col("text"), start + 1, F.lit(size)).alias("text"))
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    count = F.floor(F.greatest(F.char_length("text") - overlap - 1, F.lit(0)) / step).cast("int") + 1
+    joined = lambda all_, pos: F.substring(F.array_join(F.slice(all_, pos + 1, -(-size // step)), ""), 1, size)
+    # a one-element array binds the steps, so that they are cut once
+    pieces = F.flatten(F.transform(F.array(F.struct(steps.alias("all"), count.alias("n"))), lambda x: F.transform(F.slice(x["all"], F.lit(1), x["n"]), lambda _, pos: joined(x["all"], pos))))
+    return documents.where(F.char_length("text") > 0).select("doc_id", F.posexplode(pieces).alias("pos", "text")).select("doc_id", "pos", (F.col("pos") * step).alias("start"), "text")
+
+
+#: Headings of Markdown, and what stands between the parts of a section's path.
+HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*\Z")
+BETWEEN = " / "
+#: What a line without text consists of.
+BLANK = " \t\r\f\v"
+
+
+def _packed(text: str, size: int) -> Iterator[tuple[str, int, int, int]]:
+    """(section, first paragraph, start, end) of a text's chunks, in one pass."""
+    stack: list[tuple[int, str]] = []
+    section, first, start, end, at, number = "", 0, -1, -1, 0, -1
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        low, high, number = at, stop, number + 1
+        at = stop + 1
+        line = text[low:high]
+        if not line.strip(BLANK):
+            continue
+        heading = HEADING.match(line) if line.lstrip(" ").startswith("#") else None
+        if heading:
+            if start >= 0:
+                yield section, first, start, end
+            start = -1
+            while stack and stack[-1][0] >= len(heading[1]):
+                stack.pop()
+            stack.append((len(heading[1]), heading[2]))
+            section = BETWEEN.join(title for _, title in stack)
+            continue
+        for a in range(low, high, size):
+            b = min(a + size, high)
+            if start >= 0 and b - start <= size:
+                end = b
+                continue
+            if start >= 0:
+                yield section, first, start, end
+            first, start, end = number, a, b
+    if start >= 0:
+        yield section, first, start, end
+
+
+def section_chunks(documents: DataFrame, size: int) -> DataFrame:
+    """(doc_id, pos, section, paragraph, start, text): whole lines packed into chunks of at most ``size`` characters.
+
+    A chunk stays within one section, whose path of headings it carries ("Guide / Setup"); heading lines (``#`` to
+    ``######``) are in the path and not in a chunk. Lines longer than ``size`` are cut every ``size`` characters. A chunk is
+    the text's own stretch from ``start`` on, blank lines inside it included, and ``paragraph`` the number of its first line.
+    Null and blank texts have no chunk. One pass over a text, in batches; a task holds one text's chunks beside it.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                text = batch.column(1)[k].as_py()
+                found = list(_packed(text, size)) if text else []
+                if found:
+                    sections, firsts, starts, ends = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array([k] * len(found))), pa.array(range(len(found)), pa.int32()), pa.array(sections, pa.string()),
+                            pa.array(firsts, pa.int32()), pa.array(starts, pa.int32()), pa.array([text[a:b] for a, b in zip(starts, ends)], pa.string()),
+                        ],
+                        ["doc_id", "pos", "section", "paragraph", "start", "text"],
+                    )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(of, f"doc_id {kind}, pos int, section string, paragraph int, start int, text string")
 
 
 def mark_duplicates(documents: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,8 +208,9 @@ def restore_conflicts(existing: DataFrame, incoming: DataFrame, key: str, digest
 def merge_restore(existing: DataFrame, incoming: DataFrame, key: str, updated: str) -> DataFrame:
     """Both tables' rows, of a key the newest; existing rows win a tie."""
     both = existing.withColumn("_side", F.lit(1)).unionByName(incoming.withColumn("_side", F.lit(0)))
-    order = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), F.col("_side").desc())
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_side")
+    # structs with a null are smaller than without, so rows without a time lose to those with one
+    top = F.max_by(F.struct(*[F.col(f"`{c}`") for c in existing.columns]), F.struct(updated, "_side"))
+    return both.groupBy(F.col(key).alias("_key")).agg(top.alias("_row")).select("_row.*")
 
 
 def capacity(documents: DataFrame) -> DataFrame:

@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from folioscope.functions.scalar import blank, fingerprint, retryable, snippet, task_key
 from folioscope.operators import activity as A
 from folioscope.operators import documents as D
+from folioscope.operators import durations as T
+from folioscope.operators import intervals as I
 from folioscope.operators import lexical_index as L
 from folioscope.operators import retrieval as R
 from folioscope.operators import vector_index as V
+from folioscope.sources.digests import digest_tree
 from folioscope.sources.scratch import scratch_path
+from folioscope.sources.snapshots import Snapshots
 from folioscope.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +119,27 @@ def parse_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.paragraphs(read_table(spark, sf_dir, "documents")).select("doc_id", "paragraph", F.char_length("text").cast("long").alias("n"))
 
 
+@query(
+    r"""WITH RECURSIVE l AS (SELECT doc_id, text, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS n FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents)),
+  o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+  k AS (SELECT *, length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]+', 1)) AS level FROM o WHERE NOT regexp_full_match(line, '[ \t\r\f\v]*')),
+  h AS (SELECT doc_id, n, level, regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*$', 1) AS title FROM k WHERE level > 0),
+  p AS (SELECT doc_id, n, off + unnest(range(0, length(line), 300)) AS a, off + length(line) AS stop, (SELECT count(*) FROM h WHERE h.doc_id = k.doc_id AND h.n < k.n) AS part FROM k WHERE level = 0),
+  i AS (SELECT *, least(a + 300, stop) AS b, row_number() OVER (PARTITION BY doc_id, part ORDER BY a) AS i FROM p),
+  r AS (SELECT doc_id, part, i, a AS start, n AS first, b FROM i WHERE i = 1 UNION ALL SELECT i.doc_id, i.part, i.i, CASE WHEN i.b - r.start <= 300 THEN r.start ELSE i.a END,
+    CASE WHEN i.b - r.start <= 300 THEN r.first ELSE i.n END, i.b FROM r JOIN i ON i.doc_id = r.doc_id AND i.part = r.part AND i.i = r.i + 1),
+  c AS (SELECT doc_id, start, any_value(first) AS first, max(b) AS stop FROM r GROUP BY doc_id, start),
+  t AS (SELECT c.doc_id, c.start, string_agg(h.title, ' / ' ORDER BY h.n) AS section FROM c JOIN h ON h.doc_id = c.doc_id AND h.n < c.first
+    WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND g.n > h.n AND g.n < c.first AND g.level <= h.level) GROUP BY c.doc_id, c.start)
+  SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.start) - 1 AS INTEGER) AS pos, coalesce(section, '') AS section, CAST(first AS INTEGER) AS paragraph, CAST(c.start AS INTEGER) AS start,
+    sha256(substr(text, CAST(c.start + 1 AS BIGINT), CAST(stop - c.start AS BIGINT))) AS digest FROM c JOIN documents USING (doc_id) LEFT JOIN t ON t.doc_id = c.doc_id AND t.start = c.start"""
+)
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines packed into chunks of at most 300 characters, each with its section and first paragraph."""
+    pieces = D.section_chunks(read_table(spark, sf_dir, "documents"), 300)
+    return pieces.select("doc_id", "pos", "section", "paragraph", "start", fingerprint(F.col("text")).alias("digest"))
+
+
 @query(
     """WITH f AS (SELECT doc_id, source, sha256(text) AS digest FROM documents),
   g AS (SELECT source, digest, min(doc_id) AS first_id FROM f GROUP BY source, digest HAVING count(*) > 1)
@@ -158,6 +183,30 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("documents", "n_chars").unionByName(of("labels", "toxic"))
 
 
+@query(
+    f"""WITH now AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n FROM documents WHERE doc_id NOT IN ({SQL_GONE}))
+  SELECT 2 AS version, 'documents' AS name, doc_id, n FROM now UNION ALL SELECT 2, 'labels', doc_id, toxic FROM labels WHERE doc_id NOT IN ({SQL_GONE})
+  UNION ALL SELECT 1, 'documents', doc_id, n_chars FROM documents UNION ALL SELECT 1, 'labels', doc_id, toxic FROM labels"""
+)
+def snapshot_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted documents leave two stored tables and French ones are edited, in one snapshot; the one before still reads as it was."""
+    log = Snapshots(spark, scratch_path(spark, "snapshots"))
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    made = log.change()
+    made.create("documents", docs, "doc_id", 8)
+    made.create("labels", labels, "doc_id", 8)
+    made.commit()
+    change = log.change()
+    gone = _gone(spark, sf_dir)
+    change.merge("documents", docs.where("lang = 'fr'").withColumn("n_chars", (F.col("n_chars") + 1).cast(docs.schema["n_chars"].dataType)))
+    change.delete("documents", gone)
+    change.delete("labels", gone)
+    change.commit()
+    of = lambda v, name, n: log.read(name, v).select(F.lit(v).alias("version"), F.lit(name).alias("name"), "doc_id", F.col(n).cast("long").alias("n"))
+    parts = [of(v, name, n) for v in (1, 2) for name, n in (("documents", "n_chars"), ("labels", "toxic"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(
     f"""SELECT l.doc_id, l.quality, d.doc_id IS NULL AS source_deleted FROM labels l
   LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id NOT IN ({SQL_GONE})) d ON l.doc_id = d.doc_id"""
@@ -462,6 +511,21 @@ def event_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.diagnostics(rows, "stage").select("stage", "n", "n_failed", "n_retries", F.round("avg_s", 6).alias("avg_s"))
 
 
+@query(
+    """WITH b AS (SELECT event_type AS stage, CASE WHEN value = 0 THEN -1000000 ELSE ceil(ln(value) / ln(1.02 / 0.98)) END AS bucket FROM events WHERE value >= 0),
+  g AS (SELECT stage, bucket, count(*) AS n FROM b GROUP BY stage, bucket), u AS (SELECT *, sum(n) OVER (PARTITION BY stage ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY stage) AS total FROM g),
+  q AS (SELECT stage, any_value(total) AS n, min(bucket) FILTER (WHERE upto > floor(0.5 * (total - 1))) AS b1, min(bucket) FILTER (WHERE upto > floor(0.95 * (total - 1))) AS b2 FROM u GROUP BY stage)
+  SELECT stage, CAST(n AS BIGINT) AS n, round(2 * pow(1.02 / 0.98, b1) / (1.02 / 0.98 + 1), 6) AS median_s, round(2 * pow(1.02 / 0.98, b2) / (1.02 / 0.98 + 1), 6) AS most_s FROM q"""
+)
+def duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's value is its duration: sketches of each day are stored, and the report reads and adds up those alone."""
+    events, path = read_table(spark, sf_dir, "events"), scratch_path(spark, "durations")
+    daily = events.select(F.date_trunc("day", "ts").alias("day"), F.col("event_type").alias("stage"), "value")
+    T.sketch(daily, ["day", "stage"], "value", 0.02).write.parquet(path)
+    found = T.quantiles(spark.read.parquet(path), ["stage"], [0.5, 0.95], 0.02)
+    return found.select("stage", "n", F.round("q1", 6).alias("median_s"), F.round("q2", 6).alias("most_s"))
+
+
 @query("SELECT event_id AS task_id, event_type AS kind FROM events")
 def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").withColumnsRenamed({"event_id": "task_id", "event_type": "kind"})
@@ -672,9 +736,76 @@ def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.stale_chunks(rows.select("chunk_id"), vectors, "new", "0")
 
 
+#: Views, clicks and signups are versions of what a user is called.
+SQL_NAMES = "n AS (SELECT event_id, user_id, event_type AS name, ts FROM events WHERE event_type IN ('view', 'click', 'signup'))"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'signup')")
+    return events.select("event_id", "user_id", F.col("event_type").alias("name"), "ts")
+
+
+@query(f"WITH {SQL_NAMES} SELECT event_id, user_id, name, epoch_us(ts) AS valid_from, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS valid_to FROM n")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version of a user's name with the time in which it holds."""
+    rows = I.history(_names(spark, sf_dir), ["user_id"], "ts", "event_id")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.select("event_id", "user_id", "name", micros("ts").alias("valid_from"), micros("valid_to").alias("valid_to"))
+
+
+@query(
+    f"""WITH {SQL_NAMES}, lim AS (SELECT min(ts) AS low, max(ts) AS high FROM events), t AS (SELECT k, low + to_microseconds(CAST(epoch_us(high) - epoch_us(low) AS BIGINT) * k // 4) AS moment FROM lim, range(1, 4) r(k))
+  SELECT CAST(k AS INTEGER) AS k, user_id, arg_max(name, (ts, event_id)) AS name FROM n JOIN t ON ts <= moment GROUP BY k, user_id"""
+)
+def names_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every user was called at three instants."""
+    names = _names(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    span = read_table(spark, sf_dir, "events").agg(*[F.unix_micros(f("ts").cast("timestamp")).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+    parts = [I.as_of(names, ["user_id"], "ts", "event_id", F.timestamp_micros(F.lit(span.low + (span.high - span.low) * k // 4))).select(F.lit(k).alias("k"), "user_id", "name") for k in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""WITH {SQL_NAMES}, v AS (SELECT user_id, ts, max_by(name, event_id) AS name FROM n GROUP BY user_id, ts),
+  f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT f.event_id, v.name FROM f ASOF LEFT JOIN v ON f.user_id = v.user_id AND f.ts >= v.ts"""
+)
+def relations_over_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the name that its user had at the time."""
+    bought = read_table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return I.joined_as_of(bought, _names(spark, sf_dir), ["user_id"], "ts", "ts", "event_id").select("fact.event_id", "version.name")
+
+
+@query(
+    """WITH RECURSIVE h AS (SELECT CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % 64 AS node, CAST('0x' || substr(sha256(doc_id || ':' || text), 1, 15) AS BIGINT) AS h FROM documents),
+  p AS (SELECT node, count(*) AS n, sha256(count(*) || ':' || bit_xor(h) || ':' || sum(h)) AS digest FROM h GROUP BY node),
+  m AS (SELECT node // 16 AS node, sum(n) AS n, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest FROM p GROUP BY node // 16),
+  r AS (SELECT 0 AS node, sum(n) AS n, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest FROM m)
+  SELECT 2 AS level, CAST(node AS INTEGER) AS node, CAST(n AS BIGINT) AS n, digest FROM p UNION ALL SELECT 1, node, n, digest FROM m UNION ALL SELECT 0, node, n, digest FROM r"""
+)
+def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of digests over 64 parts of the documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    row = F.conv(F.substring(fingerprint(F.concat_ws(":", "doc_id", "text")), 1, 15), 16, 10).cast("long")
+    return digest_tree(docs, "doc_id", 64, row)
+
+
 # Beyond the specification: general relational coverage over the star schema.
 
 
+@query(
+    """WITH a AS (SELECT event_id, epoch_us(ts) AS low, epoch_us(ts) + CAST(floor(value * 1000) AS BIGINT) * 60000 AS high FROM events WHERE event_type = 'purchase'),
+  b AS (SELECT event_id, epoch_us(ts) AS low, epoch_us(ts) + 300000000 AS high FROM events WHERE event_type = 'error')
+  SELECT a.event_id AS purchase_id, b.event_id AS error_id FROM a JOIN b ON a.low < b.high AND b.low < a.high WHERE a.low < a.high"""
+)
+def ext_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that follow each purchase and those that follow each error, of all users, where they overlap."""
+    events = read_table(spark, sf_dir, "events").withColumn("low", F.unix_micros(F.col("ts").cast("timestamp")))
+    bought = events.where("event_type = 'purchase'").select("event_id", "low", (F.col("low") + F.floor(F.col("value") * 1000) * 60000).alias("high"))
+    failed = events.where("event_type = 'error'").select("event_id", "low", (F.col("low") + 300000000).alias("high"))
+    met = I.overlap_join(bought, failed, [], ("low", "high"), ("low", "high"), 300000000)
+    return met.select(F.col("left.event_id").alias("purchase_id"), F.col("right.event_id").alias("error_id"))
+
+
 @query(
     """SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice * 100 AS BIGINT)) // 100 AS BIGINT) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
