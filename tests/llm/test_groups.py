@@ -177,20 +177,37 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_lone_vectors_in_a_large_label(spark):
-    """Pairs just above the threshold among 60000 vectors of one label: 8 passes find too few."""
+def vectors_of_one_label(spark, n, pairs, typical, size=64):
+    """Unit vectors with a typical cosine, and pairs just above the threshold: the ids of a pair are k and k + pairs."""
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(60000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, y = x[:1000], x[1000:2000]
-    y = y - (y * a).sum(axis=1, keepdims=True) * a
-    x[1000:2000] = 0.9301 * a + (1 - 0.9301**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))
-    table = pa.table({"vec_id": np.arange(len(x)), "embedding": lists, "label": np.ones(len(x), "int32")})
-    got = embeddings.near_duplicates(spark.createDataFrame(table)).where("n_links = 1 and vec_id < 2000")
-    assert got.count() > 0.93 * 2000
-    sizes = [embeddings.passes_for(n) for n in (0, 2000, 200_000, 1_000_000, 10**9)]
-    assert sizes[:2] == [8, 8] and 12 <= sizes[2] < sizes[3] < sizes[4]
+    x = rng.normal(size=(n, size))
+    x[:, 0] = 0
+    x = np.sqrt(1 - typical) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(typical)
+    a, y = x[:pairs], rng.normal(size=(pairs, size))
+    y -= (y * a).sum(axis=1, keepdims=True) * a
+    x[pairs : 2 * pairs] = 0.9301 * a + (1 - 0.9301**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), size).cast(pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": lists, "label": np.ones(n, "int32")})), x
+
+
+@pytest.mark.parametrize("n, pairs, typical", [(60000, 1000, 0.0), (21500, 1500, 0.6), (21500, 1500, 0.8)])
+def test_lone_pairs_are_found_however_vectors_lie(spark, n, pairs, typical):
+    """Of pairs just above the threshold in one label nine tenths at least, also where all vectors lie close together."""
+    df, x = vectors_of_one_label(spark, n, pairs, typical)
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).where(f"vec_id < {2 * pairs}").collect()}
+    assert sum(got[k] == got[k + pairs] for k in range(pairs)) > 0.92 * pairs
+
+
+def test_passes_follow_rows_and_density():
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    loose, close = unit(rng.normal(size=(4000, 64))), unit(rng.normal(size=(4000, 64)) + np.eye(64)[0] * 16)
+    passes = [embeddings.passes_for([(n, loose)])[0] for n in (0, 2000, 200_000, 10**7, 10**9)]
+    assert passes[:2] == [8, 8] and passes == sorted(passes) and passes[2] > 10
+    few, many = embeddings.passes_for([(20_000, loose)]), embeddings.passes_for([(20_000, close)])
+    assert few[1] == 32 and (many[0] > few[0] or many[1] > few[1])
+    assert embeddings.passes_for([]) == (8, 32) and embeddings.passes_for([(20_000, loose), (20_000, close)]) == many
 
 
 def judge(url):
