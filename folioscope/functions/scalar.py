@@ -1,9 +1,13 @@
-"""Scalar helpers, all built-in expressions."""
+"""Scalar helpers, built-in expressions but for Unicode's composed form, which Spark lacks."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fingerprint(content: Column) -> Column:
@@ -44,6 +48,17 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r" *\n *", "\n"), r"^\s+|\s+$", "")
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def normal_form(text: Column) -> Column:
+    """Unicode's composed form; texts of ASCII alone never leave the JVM's side of the expression."""
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(F.length(F.trim(text)) == 0, F.lit(True))
 

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.operators.activity import redacted
+
 BUCKETS = 32
 
 
@@ -176,6 +178,12 @@ class Change:
         found = [s.getPath().getName() for s in self.log._files.listStatus(self.log._fs.Path(target))]
         return {n.removeprefix("_bucket="): [f"{write}/{n}"] for n in found if n.startswith("_bucket=")}
 
+    def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of the table whose key may be in ``keys`` (one column): those of its keys' buckets, no others are read."""
+        now = self._now(name)
+        there = [r[0] for r in keys.select(self._bucket(F.col(keys.columns[0]), now.buckets)).distinct().collect()]  # at most the buckets
+        return self.log._rows(name, now, there).drop("_write", "_bucket")
+
     def depends(self, name: str) -> None:
         """This change holds only if nobody changes the table meanwhile."""
         self._whole.add(name)
@@ -254,6 +262,22 @@ class Change:
                 return version + 1
 
 
+def append_log(log: Snapshots, table: str, events: DataFrame, allowed: tuple[str, ...], key: str) -> int:
+    """Append events to a stored log, whose columns are those of ``allowed`` alone; its snapshot's number.
+
+    What isn't allowed by name, such as texts and keys, never reaches the store. Appends of several writers all stay.
+    """
+    rows = redacted(events, allowed)
+
+    def add(change: Change) -> None:
+        if table in change.tables:
+            change.append(table, rows)
+        else:
+            change.create(table, rows, key)
+
+    return log.apply(add)
+
+
 def cascade(log: Snapshots, gone: DataFrame, tables: dict[str, str], attempts: int = 5) -> int:
     """Delete from all ``tables`` (name: its column) the rows of what ``gone`` names, in one snapshot.
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from folioscope.operators.activity import TERMINAL
 from folioscope.operators.documents import chunks, paragraphs
+from folioscope.sources.snapshots import Change, Snapshots
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -35,21 +36,29 @@ def windowed_counts(events: DataFrame, time_col: str, key: str, size: str, delay
     return timed.groupBy(F.window(time_col, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def handle_once(source: DataFrame, handled: str, checkpoint: str, key: Column, handle) -> StreamingQuery:
+def handle_once(source: DataFrame, log: Snapshots, checkpoint: str, key: Column, handle, table: str = "handled", buckets: int = 32, folders: int = 16) -> StreamingQuery:
     """Run ``handle`` on every row whose idempotent key was not handled before, then stop; a restart repeats nothing.
 
-    ``handle`` turns the new rows of a batch into results. A batch's results and keys are one write, to a folder of
-    the batch's own that a repeated batch replaces, and only other batches' keys are looked up.
+    ``handle`` turns the new rows of a batch into results that keep ``idem_key``. A batch's results are one snapshot of
+    ``table``, which is also where keys are looked up, so a batch that comes again after a crash finds its own keys. Only the
+    buckets of a batch's keys are read, and buckets of more than ``folders`` folders are put together.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.option("ignoreMissingFiles", "true").schema("idem_key string, batch long").parquet(handled)
-        done = done.where(F.col("batch") != batch_id).select("idem_key")
-        fresh = batch.withColumn("idem_key", key).dropDuplicates(["idem_key"]).join(done, "idem_key", "left_anti")
-        handle(fresh).write.mode("overwrite").parquet(f"{handled}/batch={batch_id}")
+        fresh = batch.withColumn("idem_key", key).where("idem_key is not null").dropDuplicates(["idem_key"])
+
+        def add(change: Change) -> None:
+            known = change.rows_of(table, fresh.select("idem_key")) if table in change.tables else None
+            rows = handle(fresh if known is None else fresh.join(known.select("idem_key").distinct(), "idem_key", "left_anti"))
+            if known is None:
+                change.create(table, rows, "idem_key", buckets)
+            else:
+                change.append(table, rows)
+            change.depends(table)  # two streams must not handle one key at a time
+
+        log.apply(add)
+        log.apply(lambda change: change.compact(table, folders))
 
-    source.sparkSession.range(0).select(F.lit("").alias("idem_key"), F.lit(0).cast("long").alias("batch")).write.mode("append").partitionBy("batch").parquet(handled)
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

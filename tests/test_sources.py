@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.functions.scalar import task_key
+from folioscope.functions.scalar import normal_form, normalise, task_key
 from folioscope.operators import documents as D
+from folioscope.operators.activity import LOG_COLUMNS
+from folioscope.operators.embedding import HashedWords, embed
+from folioscope.operators.registry import Registry
 from folioscope.sources import tables as S
+from folioscope.sources.snapshots import Snapshots, append_log
 from folioscope.streaming import ingest
 
 
@@ -84,21 +88,80 @@ def test_rebuild_after_restore(spark, tmp_path):
 
 
 def test_tasks_are_handled_once(spark, tmp_path):
-    """Rows that come again, in the same batch, in a later one or after a lost checkpoint, are not handled again."""
-    source, handled, calls = str(tmp_path / "in"), str(tmp_path / "handled"), []
+    """Rows that come again, in the same batch, in a later one or after a lost checkpoint, are not handled again; files don't pile up."""
+    source, log, calls = str(tmp_path / "in"), Snapshots(spark, str(tmp_path / "lake")), []
     key = task_key(F.col("doc_id"), F.col("text"))
 
     def handle(fresh):
-        calls.extend(r.doc_id for r in fresh.collect())
-        return fresh.select("idem_key", "doc_id")
+        rows = fresh.select("idem_key", "doc_id").collect()
+        calls.extend(r.doc_id for r in rows)
+        return spark.createDataFrame(rows, "idem_key string, doc_id long")
 
     def run(checkpoint):
         stream = ingest.read_stream(spark, source, "doc_id long, text string")
-        ingest.handle_once(stream, handled, str(tmp_path / checkpoint), key, handle).awaitTermination()
+        ingest.handle_once(stream, log, str(tmp_path / checkpoint), key, handle, buckets=4, folders=2).awaitTermination()
 
-    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id long, text string").write.mode("append").parquet(source)
+    def add(*rows):
+        spark.createDataFrame(list(rows), "doc_id long, text string").write.mode("append").parquet(source)
+
+    add((1, "a"), (1, "a"), (2, "b"))
     run("one")
-    spark.createDataFrame([(2, "b"), (3, "c"), (1, "changed")], "doc_id long, text string").write.mode("append").parquet(source)
+    add((2, "b"), (3, "c"), (1, "changed"))
     run("one")
     assert sorted(calls) == [1, 1, 2, 3]
-    assert sorted(r.doc_id for r in spark.read.parquet(handled).where("idem_key <> ''").collect()) == [1, 1, 2, 3]
+    run("lost")
+    assert sorted(calls) == [1, 1, 2, 3] and sorted(r.doc_id for r in log.read("handled").collect()) == [1, 1, 2, 3]
+    for k in range(4):
+        add((10 + k, "x"))
+        run("one")
+    assert log.read("handled").count() == 8 and max(map(len, log.tables()[1]["handled"].parts.values())) <= 2
+
+
+def test_log_sink(spark, tmp_path):
+    log = Snapshots(spark, str(tmp_path / "lake"))
+    events = spark.createDataFrame([(1, "parse", "secret text")], "task_id long, kind string, body string")
+    for _ in range(3):
+        append_log(log, "log", events, LOG_COLUMNS, "task_id")
+    assert log.read("log").columns == ["task_id", "kind"] and log.read("log").count() == 3
+
+
+def test_task_registry(spark):
+    tasks = Registry()
+
+    @tasks.handles("parse")
+    def parse(rows):
+        return rows.select("task_id", F.lit("parsed").alias("result"))
+
+    @tasks.handles("count", needs=("text",))
+    def count(rows):
+        return rows.select("task_id", F.char_length("text").cast("string").alias("result"))
+
+    rows = spark.createDataFrame([(1, "parse", "x"), (2, "count", "four"), (3, "count", None), (4, "other", "x"), (5, None, "x")], "task_id long, kind string, text string")
+    got = {r.task_id: (r.status, r.result, r.fail_reason) for r in tasks.run(rows).collect()}
+    assert got == {1: ("SUCCEEDED", "parsed", None), 2: ("SUCCEEDED", "4", None), 3: ("FAILED", None, "no text"), 4: ("FAILED", None, "no handler for other"), 5: ("FAILED", None, "no handler for null")}
+    assert tasks.run(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        tasks.handles("parse")(parse)
+
+
+def test_embedding_port(spark):
+    """The model is loaded in the tasks; rows it can't embed keep a reason; the stand-in puts like texts close."""
+    rows = [(1, "the red house"), (2, "the red houses stand"), (3, "x y z"), (4, None), (5, ""), (6, "THE RED house")]
+    df = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    got = {r.chunk_id: r for r in embed(df, HashedWords, 32).collect()}
+    assert {k for k, r in got.items() if r.vector is None} == {4, 5} and got[4].reason == "empty" and len(got) == 6
+    cos = lambda a, b: sum(x * y for x, y in zip(got[a].vector, got[b].vector))
+    assert cos(1, 6) == pytest.approx(1, abs=1e-6) and cos(1, 2) > cos(1, 3) + 0.2 and all(len(got[k].vector) == 32 for k in (1, 2, 3))
+
+    class Wrong(HashedWords):
+        def embed(self, texts):
+            return super().embed(texts)[:, :5]
+
+    with pytest.raises(Exception, match="32"):
+        embed(df, Wrong, 32).collect()
+    assert embed(df.limit(0), HashedWords, 32).count() == 0
+
+
+def test_normal_form(spark):
+    df = spark.createDataFrame([("e\u0301 \u212b\r\nx  y ",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(normalise(normal_form(F.col("t")))).collect()] == ["\u00e9 \u00c5\nx y", None, ""]
