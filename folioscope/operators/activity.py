@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Amounts that the specification fixes, in USD a month.
 ALERT, STOP = Decimal("4"), Decimal("5")
@@ -59,11 +60,33 @@ def fold_answer(deltas: DataFrame) -> DataFrame:
     return folded.select("conv_id", "turn", F.array_join("parts.delta", "").alias("text"), F.coalesce("status", F.lit("GENERATING")).alias("status"))
 
 
+def with_previous(rows: DataFrame, keys: list[str], order_by: list[str], values: list[str], bucket: Column | None = None) -> DataFrame:
+    """``rows`` with previous_<value>: what the row before it has among those of its keys, null for the first.
+
+    A key may have very many rows, so none is run through as a whole: rows follow each other inside buckets, which must grow
+    with the order (of the first ordering column a day, or a thousand of a number, unless ``bucket`` says otherwise), and
+    the first row of a bucket follows the last one of the key's bucket before it.
+    """
+    named = [F.col(v).alias(f"previous_{v}") for v in values]
+    first = F.col(order_by[0])
+    usual = F.date_trunc("day", first) if isinstance(rows.schema[order_by[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.floor(first / 1000)
+    keyed = rows.withColumn("_bucket", usual if bucket is None else bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
+    lasts = keyed.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(*named), F.struct(*order_by)).alias("_last"))
+    lasts = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_last")
+    lasts = lasts.withColumnsRenamed({k: f"_{k}" for k in [*keys, "_bucket"]})
+    same = F.lit(True)
+    for k in [*keys, "_bucket"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = keyed.withColumn("_row", F.lag(F.struct(*named)).over(inside)).join(lasts, same).withColumn("_row", F.coalesce("_row", "_before"))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_row.previous_{v}").alias(f"previous_{v}") for v in values])
+
+
 def practice_gate(questions: DataFrame) -> DataFrame:
     """``questions`` (session_id, seq, answered, reviewed) with allowed: the one before is answered and reviewed."""
-    before = Window.partitionBy("session_id").orderBy("seq")
-    done = F.lag(F.coalesce(F.col("answered") & F.col("reviewed"), F.lit(False))).over(before)
-    return questions.withColumn("allowed", F.coalesce(done, F.lit(True)))
+    done = questions.withColumn("_done", F.coalesce(F.col("answered") & F.col("reviewed"), F.lit(False)))
+    gated = with_previous(done, ["session_id"], ["seq"], ["_done"])
+    return gated.withColumn("allowed", F.coalesce("previous__done", F.lit(True))).drop("_done", "previous__done")
 
 
 def practice_summary(questions: DataFrame) -> DataFrame:
@@ -107,9 +130,8 @@ def running_spend(usage: DataFrame, month: Column, cost_col: str, order_by: list
 def illegal_transitions(spark: SparkSession, history: DataFrame, machine: str, id_col: str, order_by: list[str]) -> DataFrame:
     """Consecutive states of a resource that no edge allows: (id, from_status, to_status)."""
     edges = spark.createDataFrame(list(EDGES[machine]), "from_status string, to_status string")
-    previous = F.lag("status").over(Window.partitionBy(id_col).orderBy(*order_by))
-    steps = history.withColumn("from_status", previous).where("from_status is not null")
-    steps = steps.select(id_col, "from_status", F.col("status").alias("to_status"))
+    steps = with_previous(history, [id_col], order_by, ["status"]).where("previous_status is not null")
+    steps = steps.select(id_col, F.col("previous_status").alias("from_status"), F.col("status").alias("to_status"))
     return steps.join(edges, ["from_status", "to_status"], "left_anti").select(id_col, "from_status", "to_status")
 
 
@@ -145,6 +167,13 @@ def unexplained_failures(tasks: DataFrame) -> DataFrame:
 
 def calls_without_input(messages: DataFrame, asked: str = "user", answered: str = "assistant") -> DataFrame:
     """Answers of a conversation before which no question was stored: a question must be written before the call."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    stored = F.coalesce(F.max((F.col("role") == asked).cast("int")).over(before), F.lit(0))
-    return messages.withColumn("_stored", stored).where((F.col("role") == answered) & (F.col("_stored") == 0)).drop("_stored")
+    firsts = messages.where(F.col("role") == asked).groupBy(F.col("conv_id").alias("_conv")).agg(F.min("turn").alias("_first"))
+    answers = messages.where(F.col("role") == answered)
+    earlier = answers["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("_first") < F.col("turn"))
+    return answers.join(firsts, earlier, "left_anti")
+
+
+def mixed_contexts(messages: DataFrame, conv_col: str, scope_col: str) -> DataFrame:
+    """Conversations that hold more than one scope, with their number of scopes: a switch must open a new conversation."""
+    scopes = messages.where(F.col(scope_col).isNotNull()).groupBy(conv_col).agg(F.count_distinct(scope_col).alias("n_scopes"))
+    return scopes.where("n_scopes > 1")

@@ -58,6 +58,22 @@ def context_budget(hits: DataFrame, budget: int, group_col: str, length_col: str
     return hits.withColumn("used", F.sum(length_col).over(so_far)).where(F.col("used") <= budget)
 
 
+def egress(questions: DataFrame, hits: DataFrame, budget: int, order_by: list[Column]) -> DataFrame:
+    """(query_id, question, snippets): all that may leave for an outside call, and no other column.
+
+    The question and, best first, its snippets as long as both together stay within ``budget`` characters. ``hits`` (query_id,
+    text and what they are ordered by) are a query's few best already; a question over the budget goes without snippets.
+    """
+    asked = questions.select("query_id", F.col("question"), (F.lit(budget) - F.char_length("question")).alias("_left"))
+    so_far = Window.partitionBy("query_id").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order_by))
+    used = hits.withColumns({"_used": F.sum(F.char_length("text")).over(so_far), "_place": place}).select("query_id", "text", "_used", "_place")
+    fits = used.join(asked.select("query_id", "_left"), "query_id").where(F.col("_used") <= F.col("_left"))
+    lists = fits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_place", "text"))).alias("_all"))
+    found = asked.join(lists, "query_id", "left")
+    return found.select("query_id", "question", F.coalesce(F.transform("_all", lambda s: s["text"]), F.array().cast("array<string>")).alias("snippets"))
+
+
 def citation_markers(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, n, marker): markers like [3] in the order in which they stand, n from 1.
 

@@ -711,6 +711,41 @@ def calls_without_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.calls_without_input(talk).select("conv_id", "turn")
 
 
+@query("SELECT user_id, count(DISTINCT event_type) AS n_scopes FROM events WHERE value > 50 GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def mixed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for conversations and kinds of events for the knowledge bases that they were asked in."""
+    return A.mixed_contexts(read_table(spark, sf_dir, "events").where("value > 50"), "user_id", "event_type")
+
+
+@query(
+    """SELECT conv_id, sha256('[' || string_agg(CAST(json_object('role', role, 'text', text) AS VARCHAR), ',' ORDER BY turn) || ']') AS digest, count(*) AS n FROM conversations GROUP BY conv_id"""
+)
+def conversation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's messages as JSON, and how many are read back from it."""
+    talk = A.restore_conversations(read_table(spark, sf_dir, "conversations"))
+    written = talk.select("conv_id", F.to_json(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))).alias("json"))
+    back = F.size(F.from_json("json", "array<struct<role: string, text: string>>")).cast("long")
+    return written.select("conv_id", fingerprint(F.col("json")).alias("digest"), back.alias("n"))
+
+
+@query(
+    SQL_SCORED
+    + """, r AS (SELECT query_id, s.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.vec_id) AS rank FROM s),
+  t AS (SELECT query_id, rank, substr(text, 1, 200) AS text FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20),
+  u AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM t), q AS (SELECT DISTINCT query_id, 'query ' || query_id AS question FROM t)
+  SELECT query_id, question, count(u.text) AS n_snippets, sha256(coalesce(string_agg(u.text, chr(10) ORDER BY rank), '')) AS digest
+  FROM q LEFT JOIN u USING (query_id) WHERE used <= 1500 - length(question) GROUP BY query_id, question"""
+)
+def egress_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query's twenty nearest the beginnings of their documents that go out with it."""
+    hits = R.top_k_per_query(_scored(spark, sf_dir)[1].withColumn("score", F.round("score", 12)), 20, "query_id", "vec_id")
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("text"))
+    found = hits.join(texts, "vec_id")
+    asked = found.select("query_id", F.concat(F.lit("query "), "query_id").alias("question")).distinct()
+    out = R.egress(asked, found, 1500, [F.col("rank")])
+    return out.select("query_id", "question", F.size("snippets").cast("long").alias("n_snippets"), fingerprint(F.array_join("snippets", "\n")).alias("digest"))
+
+
 @query("SELECT user_id, count(DISTINCT event_id % 40) AS n_kbs, count(DISTINCT event_id % 40) > 10 AS over FROM events GROUP BY user_id")
 def user_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.user_capacity(read_table(spark, sf_dir, "events").select("user_id", F.expr("event_id % 40").alias("kb_id")))

@@ -251,3 +251,31 @@ def test_chunks_take_time_by_length(spark):
     began = time.time()
     assert D.chunks(df, 1000, 100).agg(F.sum(F.char_length("text"))).first()[0] == 4_000_000 + 100 * (D.chunks(df, 1000, 100).count() - 1)
     assert D.section_chunks(df, 1000).count() == 4000 and time.time() - began < 60
+
+
+def test_previous_rows_over_buckets(spark):
+    """Rows follow each other across buckets, empty ones between them, and for a key that is null."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), k, f"s{rng.randint(0, 5)}" if rng.random() < 0.9 else None) for k in rng.sample(range(9000), 400)]
+    df = spark.createDataFrame(rows, "k string, seq long, status string").repartition(4)
+    got = {r.seq: r.previous_status for r in A.with_previous(df, ["k"], ["seq"], ["status"], F.floor(F.col("seq") / 100)).collect()}
+    want, last = {}, {}
+    for k, seq, status in sorted(rows, key=lambda r: r[1]):
+        want[seq] = last.get(k)
+        last[k] = status
+    assert got == want
+
+
+def test_calls_and_contexts(spark):
+    rows = [(1, 0, "assistant"), (1, 1, "user"), (1, 2, "assistant"), (2, 0, "user"), (2, 1, "assistant"), (3, 5, "assistant"), (None, 1, "user"), (None, 2, "assistant"), (None, 0, "assistant")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string")
+    assert sorted(map(tuple, A.calls_without_input(df).select("conv_id", "turn").collect()), key=str) == [(1, 0), (3, 5), (None, 0)]
+    assert [tuple(r) for r in A.mixed_contexts(df, "conv_id", "role").where("conv_id = 1").collect()] == [(1, 2)]
+
+
+def test_egress(spark):
+    asked = spark.createDataFrame([(1, "why"), (2, "x" * 30), (3, "none")], "query_id int, question string").withColumn("secret", F.lit("key"))
+    hits = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (1, 3, "third one too long"), (2, 1, "a")], "query_id int, rank int, text string").withColumn("path", F.lit("/home"))
+    got = R.egress(asked, hits, 20, [F.col("rank")])
+    assert got.columns == ["query_id", "question", "snippets"]
+    assert {r.query_id: r.snippets for r in got.collect()} == {1: ["first", "second"], 2: [], 3: []}
