@@ -4,9 +4,13 @@ A block is any run of at most ``SPREAD`` times a template's words in a text. A t
 label is given if some block holds at least ``CONTAINMENT`` of its distinct words.
 The join is exact and prunes in this order: template words are put in one global order,
 rarest in the documents first; a block that holds k of a template's n words must hold one
-of its first n - k + 1 (the prefix), so texts without one are done, and so are blocks whose
-reach ends before the next one (position); a text with fewer than k distinct words of the template
-can't qualify (length). All blocks that qualify are returned, overlapping ones as one stretch.
+of its first n - k + 1 (the prefix). An inverted index from prefix words to templates is joined with
+each text's distinct words, so a text meets only the templates of whose rare words it has one, however
+many there are; a text with fewer than k distinct words of such a template can't qualify (length), nor
+can blocks whose reach ends before the next prefix word (position). All blocks that qualify are
+returned, overlapping ones as one stretch.
+
+The index goes to every task, so its words are counted first: more than ``MOST_WORDS`` are an error.
 
 Documents that hold a template's word are counted over all documents, for template words only, so the table is
 bounded by the templates and may go to the driver and back to every task.
@@ -47,6 +51,8 @@ TEMPLATES = (
 )
 CONTAINMENT = 0.8
 SPREAD = 1.5
+#: Words of all templates together, at most.
+MOST_WORDS = 2_000_000
 
 #: Words are runs of what isn't listed here as a separator; A-Z become a-z.
 _TABLE = bytes(
@@ -81,6 +87,15 @@ def prepare(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int],
     return out
 
 
+def prefix_index(templates: list[Template]) -> dict[bytes, list[int]]:
+    """The templates, by number, of whose prefix a word is part."""
+    out: dict[bytes, list[int]] = {}
+    for k, t in enumerate(templates):
+        for w in t.prefix:
+            out.setdefault(w, []).append(k)
+    return out
+
+
 def qualifying_blocks(places: dict[bytes, list[int]], template: Template) -> list[tuple[int, int, float]]:
     """(first word, behind the last, best share) of every stretch of text made of blocks that reach the threshold.
 
@@ -148,7 +163,10 @@ def scan_licenses(
     (label, first word, behind the last word, share), by place.
     """
     vocabulary = frozenset(w for text, _ in templates for w in words_of(text))
+    if sum(len(words_of(text)) for text, _ in templates) > MOST_WORDS:
+        raise ValueError(f"templates have more than {MOST_WORDS} words")
     known = prepare(templates, word_counts(docs, vocabulary, text_col), containment, spread)
+    index = prefix_index(known)
 
     def scan(text: str | None) -> tuple:
         words = words_of(text)
@@ -157,7 +175,8 @@ def scan_licenses(
         blocks = []
         if present:
             places: dict[bytes, list[int]] = {}
-            due = [t for t in known if sum(1 for w in t.words if w in present) >= t.needed]
+            met = {k for w in present if w in index for k in index[w]}
+            due = [t for t in (known[k] for k in sorted(met)) if sum(1 for w in t.words if w in present) >= t.needed]
             if due:
                 for p, w in enumerate(words):
                     if w in present:

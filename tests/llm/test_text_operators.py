@@ -354,6 +354,21 @@ def test_many_phrases_take_linear_time(spark):
     assert (r.n_base, r.first_word, r.last_word, r.n_words) == (100_000, 0, 399_996, 400_000) and time.time() - began < 120
 
 
+def test_license_index_meets_few_templates(spark):
+    """Of a thousand templates a text meets those of whose rare words it has one, and the blocks are those of a plain search."""
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(30)]
+    many = tuple((" ".join(rng.choices(common, k=12) + [f"r{k}x{j}" for j in range(8)]), f"l{k}") for k in range(1000))
+    texts = [" ".join(rng.choices(common, k=200)) for _ in range(20)] + [many[k][0] + " " + " ".join(rng.choices(common, k=20)) for k in (3, 500)]
+    frequency = collections.Counter(w for t in texts for w in set(t.encode().split()))
+    known = licenses.prepare(many, frequency, 0.8, 1.5)
+    index = licenses.prefix_index(known)
+    met = [{k for w in set(t.encode().split()) for k in index.get(w, ())} for t in texts]
+    assert not any(met[:20]) and met[20:] == [{3}, {500}]
+    got = {r.doc_id: [(b.start, b.end, b.label, b.share) for b in r.blocks] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (), many).collect()}
+    assert got == {i: sorted((a, b, t.label, share) for t in known for a, b, share in plain_blocks(x.encode().split(), t)) for i, x in enumerate(texts)} and got[20] and got[21]
+
+
 def test_license_join_is_exact():
     rng = random.Random(3)
     known = licenses.prepare(licenses.TEMPLATES, {b"the": 900, b"of": 500, b"license": 40}, 0.8, 1.5)
