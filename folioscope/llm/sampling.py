@@ -6,8 +6,8 @@ so nothing is ranked but these few, and no task gathers a label. Texts are read
 
 Cases: rows with a null id or label are not learned from; a repeated id counts once, with its
 greatest label and its smallest text; a null text leaves the sample one short; where a label has fewer
-documents than asked for all are taken; no label gives an empty sample; long texts are cut to
-evenly spaced stretches.
+documents than asked for all are taken; of more labels than ``MOST_LABELS`` the most frequent are learned; no
+label gives an empty sample; long texts are cut to evenly spaced stretches.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from folioscope.llm.util import is_held_out
 SPARE, WIDEN = 1.5, 4
 #: Bits of the hash that are looked at; a double holds them exactly.
 BITS = 53
+#: Labels that are learned, the most frequent ones: a column of very many values must not fill the driver.
+MOST_LABELS = 1000
 #: Stretches that a long text is cut to.
 STRETCHES = 8
 
@@ -40,7 +42,7 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, per_label: int, most_char
     spark = docs.sparkSession
     known = marks.where("id is not null and label is not null").where(~is_held_out(F.col("id")))
     known = known.select("id", "label", F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS).alias("place"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS).collect()}
     kind = marks.schema["label"].dataType.simpleString()
     share = {label: SPARE * per_label / n for label, n in counts.items()}
     found: dict = {label: [] for label in counts}

@@ -209,3 +209,11 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(docs, none).columns == docs.columns and toxicity.drop_toxic(docs, none).count() == 4
     small = toxicity.train([("you idiot", 1), ("hello there", 0)])
     assert toxicity.drop_toxic(docs.limit(0), small).count() == 0 and toxicity.score_toxicity(docs, small).count() == 4
+
+
+def test_a_column_of_very_many_labels_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MOST_LABELS", 3)
+    rows = [(k, f"l{k}" if k >= 60 else "abc"[k % 3]) for k in range(200)]
+    marks = spark.createDataFrame(rows, "id long, label string")
+    got = sampling.labelled_sample(marks.select("id", F.lit("text").alias("text")), marks, 5, 1000)
+    assert {label for _, label in got} == set("abc") and len(got) == 15
