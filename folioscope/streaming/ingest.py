@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from folioscope.operators.activity import TERMINAL
-from folioscope.operators.documents import chunks, paragraphs
+from folioscope.operators.documents import chunks, paragraphs, section_chunks
 from folioscope.sources.snapshots import Change, Snapshots
 
 
@@ -19,9 +19,12 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_stage(source: DataFrame, sink: str, checkpoint: str, stage: str) -> StreamingQuery:
-    """Run one ingest stage over all that is there, then stop; a restart goes on where it ended."""
-    step = {"parse": paragraphs, "chunk": lambda df: chunks(df, 400, 50)}[stage]
+def run_stage(source: DataFrame, sink: str, checkpoint: str, stage: str, size: int = 400, overlap: int = 50) -> StreamingQuery:
+    """Run one ingest stage over all that is there, then stop; a restart goes on where it ended.
+
+    Stages are ``parse``, ``chunk`` (of ``size`` characters with an ``overlap``) and ``sections`` (whole lines up to ``size``).
+    """
+    step = {"parse": paragraphs, "chunk": lambda df: chunks(df, size, overlap), "sections": lambda df: section_chunks(df, size)}[stage]
     return step(source).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -56,6 +56,9 @@ def test_stage_restarts_without_replay(spark, tmp_path):
         spark.createDataFrame([(k, "one\n\ntwo")], "doc_id long, text string").write.mode("append").parquet(source)
         ingest.run_stage(ingest.read_stream(spark, source, "doc_id long, text string"), sink, at, "parse").awaitTermination()
         assert spark.read.parquet(sink).count() == 2 * (k + 1)
+    for stage, n in (("chunk", 4), ("sections", 4)):
+        ingest.run_stage(ingest.read_stream(spark, source, "doc_id long, text string"), f"{sink}-{stage}", f"{at}-{stage}", stage, 5, 1).awaitTermination()
+        assert spark.read.parquet(f"{sink}-{stage}").count() == n
 
 
 def test_streams(spark, tmp_path):
