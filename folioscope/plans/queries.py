@@ -815,7 +815,7 @@ def relations_over_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
   p AS (SELECT node, count(*) AS n, sha256(count(*) || ':' || bit_xor(h) || ':' || sum(h)) AS digest FROM h GROUP BY node),
   m AS (SELECT node // 16 AS node, sum(n) AS n, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest FROM p GROUP BY node // 16),
   r AS (SELECT 0 AS node, sum(n) AS n, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest FROM m)
-  SELECT 2 AS level, CAST(node AS INTEGER) AS node, CAST(n AS BIGINT) AS n, digest FROM p UNION ALL SELECT 1, node, n, digest FROM m UNION ALL SELECT 0, node, n, digest FROM r"""
+  SELECT 2 AS level, CAST(node AS INTEGER) AS node, CAST(n AS BIGINT) AS n, digest FROM p UNION ALL SELECT 1, CAST(node AS INTEGER), CAST(n AS BIGINT), digest FROM m UNION ALL SELECT 0, CAST(node AS INTEGER), CAST(n AS BIGINT), digest FROM r"""
 )
 def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of digests over 64 parts of the documents."""
