@@ -354,7 +354,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([b[k] for b in both], pa.int64()) for k in (0, 1))], ["uid", "left", "right"])
 
     edge = F.expr(f"cast({window} - at % {window} as long)")
-    split = placed.where(cut).withColumn("edge", edge)
+    split = stash.put(placed.where(cut).withColumn("edge", edge), "split")  # few: Spark joins by the size that was written
     sums = split.select("uid", "edge").join(rows.select("uid", "tail"), "uid").select("uid", "tail", "edge")
     halves = split.join(sums.mapInArrow(crcs, "uid long, left long, right long"), "uid").select(
         "doc_id", first.alias("first"), "length", "n", "edge", F.expr(f"sequence + at div {window}").alias("sequence"), F.expr(f"at % {window}").alias("at"),
