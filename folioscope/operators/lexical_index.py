@@ -52,6 +52,11 @@ def _part(idf: Column, saturated: Column) -> Column:
     return F.floor(MILLION * idf * saturated).cast("long")
 
 
+def _postings(spark: SparkSession, target: str, scope_kind: str) -> DataFrame:
+    """Stored postings, also where there is none."""
+    return spark.read.schema(f"id long, scope {scope_kind}, term string, tf long, n long, block string").parquet(target)
+
+
 def build_index(docs: DataFrame, path: str, version: str, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, docs_a_block: int = DOCS_A_BLOCK) -> None:
     """Write a version of the index and, once it is whole, make it the active one."""
     spark = docs.sparkSession
@@ -66,7 +71,7 @@ def build_index(docs: DataFrame, path: str, version: str, id_col: str = "doc_id"
     counts = dealt.select("block", "scope", "id", F.explode(terms(F.col("text"))).alias("term")).groupBy("block", "id", "scope", "term").agg(F.count("*").alias("tf"))
     length = F.sum("tf").over(Window.partitionBy("block", "id", "scope"))
     target = write_version(counts.withColumn("n", length).hint("rebalance", "block").sortWithinPartitions("block", "term"), f"{path}/postings", version, ["block"])
-    postings = spark.read.parquet(target)
+    postings = _postings(spark, target, rows.schema["scope"].dataType.simpleString())
     held = postings.groupBy("scope", "id").agg(F.first("n").alias("n")).groupBy("scope").agg(F.count("*").alias("docs"), F.sum("n").alias("words"))
     write_version(held, f"{path}/scopes", version)
     held = spark.read.parquet(f"{path}/scopes/version={version}")
@@ -103,8 +108,8 @@ def search(
     def scan(due: DataFrame) -> DataFrame:
         names = [r.cell for r in due.select("cell").distinct().collect()]  # at most one row a block of the index
         wanted = due.withColumnRenamed("cell", "block").join(weighted, "query_id")
-        postings = of("postings")
-        postings = postings.withColumn("block", F.col("block").cast("string")).where(F.col("block").isin(names) if names else F.lit(False))
+        postings = _postings(spark, f"{path}/postings/version={version}", of("scopes").schema["scope"].dataType.simpleString())
+        postings = postings.where(F.col("block").isin(names) if names else F.lit(False))
         hits = postings.join(wanted, ["block", "scope", "term"])
         if skip_self:
             hits = hits.where("id <> query_id")
