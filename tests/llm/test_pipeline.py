@@ -174,17 +174,18 @@ def test_pipeline_leaves_its_result_only(spark, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_registered_queries(spark, name):
-    """Each runs over the whole of its table, one row an id or more."""
-    table, key = {"op9_urls": ("pages", "page_id"), "op10_embeddings": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    """Each runs over the whole of its table, one row an id or more; SQL gives the same rows."""
+    table, key = {"op9_urls": ("pages", "page_id"), "op10_embeddings": ("embeddings", "vec_id"), "op13_search": ("benchmark", "item_id")}.get(name, ("documents", "doc_id"))
     got = queries.QUERIES[name](spark, SF)
     ids = [r[0] for r in got.select(key).collect()]
     want = [r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()]
-    assert set(ids) == set(want) and (name == "op6_packing" or sorted(ids) == sorted(want))
+    assert set(ids) == set(want) and (name in ("op6_packing", "op12_binpack", "op13_search") or sorted(ids) == sorted(want))
     if name in queries.ORACLE_SQL:
         import duckdb
 
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+        for view in {table, "documents", "benchmark"}:
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
         found = con.execute(queries.ORACLE_SQL[name])
         names = [c[0] for c in found.description]
         assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(found.fetchall(), key=str)
