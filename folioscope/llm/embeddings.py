@@ -4,9 +4,10 @@ In each pass the vectors of a label are ordered lexicographically by concatenate
 hashes (signs of projections, then a projection as it is) and each is compared with the
 next ``window`` ones; what later passes find is joined to what earlier ones did, by
 connected components. A label's mean is taken away before hashing only, so that vectors which
-lie close together are told apart by what differs. How many passes are made and how wide windows
-are follows from the rows and the lie of the largest labels: on a bounded sample of them it is measured
-how often a pass brings a made-up pair at the threshold together (``passes_for``). Exact copies
+lie close together are told apart by what differs. How many passes a label gets is measured on all
+its vectors: each has a made-up partner at the threshold, which goes along in the passes until a window
+shows it a vector it would link with, and a label is done when ``RECALL`` of its partners have met one.
+Labels that ``MOST_PASSES`` passes don't bring there are compared whole, in blocks. Exact copies
 are one class from the start, so a very common vector costs no more than any other.
 
 Links are then counted exactly within each component, so a bounded window loses none in a
@@ -38,16 +39,18 @@ from folioscope.llm.components import connected_components
 from folioscope.llm.util import Stash
 
 THRESHOLD = 0.93
-#: The fewest passes; ``passes_for`` asks for more where a label holds many distinct vectors.
-PASSES = 8
-#: Share of lone pairs with a cosine of exactly ``THRESHOLD`` that all passes together should find.
+#: The fewest passes, and those after which a label is compared whole.
+PASSES, MOST_PASSES = 8, 96
+#: Share of lone pairs with a cosine of exactly ``THRESHOLD`` that all passes together should find, in each label.
 RECALL = 0.96
-#: How one pass fares is measured on a sample of the largest labels: so many labels, rows each at most, pairs and passes.
-LABELS, SAMPLE, PROBES, TRIALS = 4, 32_768, 400, 6
+#: A partner's single precision.
+SLACK = 1e-6
+#: For ``passes_for``, which tells beforehand how many passes some vectors will need: pairs and passes tried.
+PROBES, TRIALS = 400, 6
 #: The chance of a pass falls with this power of the rows, where the sample is too small to tell; so simulated for random vectors.
 HIT_POWER = 0.19
-#: Passes that share one shuffle; their copies of the vectors are on disk together.
-PASSES_AT_ONCE = 4
+#: Copies of the vectors, partners among them, in the passes that share one shuffle: they are on disk together.
+COPIES_AT_ONCE = 4.5
 #: Windows to choose from, and the passes up to which the narrower one is kept.
 WINDOWS, MANY = (32, 128), 20
 HASH_BITS = 32
@@ -55,6 +58,8 @@ SEED = 7
 #: Rows of a component on either side of one comparison, at least and at most: blocks get larger with the root of the
 #: component, so that a vector's copies do too, and not with the component.
 BLOCK, MOST_BLOCK = 256, 8192
+#: Rows on either side of one comparison where a label is compared whole.
+WHOLE_BLOCK = 2048
 
 
 def hit_rate(sample: np.ndarray, threshold: float, seed: int = SEED) -> float:
@@ -88,8 +93,8 @@ def hit_rate(sample: np.ndarray, threshold: float, seed: int = SEED) -> float:
 def passes_for(samples: list[tuple[int, np.ndarray]], threshold: float = THRESHOLD) -> tuple[int, int]:
     """(passes, window) that find ``RECALL`` of the lone pairs at ``threshold``, for all of some labels: (rows, sample).
 
-    The narrower window is taken if few passes do with it. Samples are cut to a ``window``-th of the rows; beyond
-    ``SAMPLE`` rows the rate is carried on by its fall with the rows.
+    A forecast; ``near_duplicates`` measures on all rows instead. The narrower window is taken if few passes do with it.
+    Samples are cut to a ``window``-th of the rows; smaller ones are carried on by the rate's fall with the rows.
     """
     need = {}
     for window in WINDOWS:
@@ -168,20 +173,25 @@ def _means(classes: DataFrame, stash: Stash) -> DataFrame:
     return stash.put(means, "means")
 
 
-def _samples(classes: DataFrame, means: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """(rows, unit vectors) of the largest labels: at most ``LABELS`` times ``SAMPLE`` vectors, about, come to the driver."""
-    out = []
-    for r in means.orderBy(F.col("rows").desc(), "size").limit(LABELS).collect():
-        share = min(1.0, min(SAMPLE, 2 + r.rows / min(WINDOWS)) / r.rows)
-        rows = classes.where((F.col("label") == F.lit(r.label)) & (F.col("size") == r.size)).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < share * (1 << 30))
-        vectors = rows.select("embedding").limit(2 * SAMPLE).toArrow().column(0).combine_chunks()
-        out.append((r.rows, _matrix(vectors) if len(vectors) else np.zeros((0, r.size))))
-    return out
+def _partners(x: np.ndarray, cid: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector another at the threshold to it, in a direction that follows from its class's number."""
+    with np.errstate(over="ignore"):
+        z = cid.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, x.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    side = np.where(z >> np.uint64(63), 1.0, -1.0)
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    length = np.sqrt(np.einsum("ij,ij->i", side, side))[:, None]
+    # where there is no other direction the vector is its own partner
+    return np.where(length > 1e-9, threshold * x + math.sqrt(1 - threshold**2) * side / np.maximum(length, 1e-9), x)
 
 
-def _keyed(classes: DataFrame, passes: range) -> DataFrame:
-    """Each class once for each pass, with the pass's hash key and projection of what sets it apart from its label's mean."""
-    kind = classes.schema["embedding"].dataType.simpleString()
+def _keyed(classes: DataFrame, passes: range, threshold: float) -> DataFrame:
+    """Each class once for each pass, with the pass's hash key and projection of what sets it apart from its label's mean.
+
+    Where ``probed`` is set its partner comes along, in ``partner`` instead of ``embedding``.
+    """
+    kind = classes.schema["embedding"].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -189,49 +199,81 @@ def _keyed(classes: DataFrame, passes: range) -> DataFrame:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                x = _matrix(part.column("embedding")) - part.column("mean").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                x, mean = _matrix(part.column("embedding")), part.column("mean").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                at = np.flatnonzero(part.column("probed").to_numpy(zero_copy_only=False))
+                probed, partner = part.take(pa.array(at)), _partners(x[at], part.column("cid").to_numpy()[at], threshold)
+                vectors = part.column("embedding")
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(partner.ravel().astype(np.float32)))
                 for p in passes:
                     if (p, size) not in planes:
                         planes[p, size] = _planes(p, size)
-                    key, tie = _place(x, planes[p, size])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), p, np.int32)), part.column("label"), part.column("size"), pa.array(key), pa.array(tie), part.column("cid"), part.column("embedding")],
-                        ["pass", "label", "size", "key", "tie", "cid", "embedding"],
-                    )
+                    for rows, v, m, first, second in ((part, x, mean, vectors, pa.nulls(len(x), listed.type)), (probed, partner, mean[at], pa.nulls(len(at), vectors.type), listed)):
+                        key, tie = _place(v - m, planes[p, size])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(v), p, np.int32)), rows.column("label"), rows.column("size"), pa.array(key), pa.array(tie), rows.column("cid"), first, second],
+                            ["pass", "label", "size", "key", "tie", "cid", "embedding", "partner"],
+                        )
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "size", "cid", "embedding", "mean").mapInArrow(
-        of, f"pass int, label {label}, size int, key long, tie double, cid long, embedding {kind}"
+    return classes.select("label", "size", "cid", "embedding", "mean", "probed").mapInArrow(
+        of, f"pass int, label {label}, size int, key long, tie double, cid long, embedding {kind.simpleString()}, partner array<float>"
     )
 
 
+def _forest(cid_a: np.ndarray, cid_b: np.ndarray) -> pa.RecordBatch:
+    """(a, b): each class that some pair holds, with its group's first class there."""
+    nodes, both = np.unique(np.concatenate([cid_a, cid_b]), return_inverse=True)
+    root = _roots(len(nodes), both[: len(cid_a)], both[len(cid_a) :])
+    mine = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[mine], pa.int64()), pa.array(nodes[root[mine]], pa.int64())], ["a", "b"])
+
+
 def _window_links(threshold: float, window: int):
-    """(cid, low): in one sorted partition, each class that links in a window, with its group's first class there."""
+    """(a, b): in one sorted partition, each class that links in a window, with its group's first class there.
+
+    b is null for classes whose partner is met by a vector that it would link with.
+    """
+
+    def met(partners: np.ndarray, before: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which of some partners link with one of the ``window`` vectors before and after them."""
+        found = np.zeros(len(partners), bool)
+        for k in range(-window, window):
+            at = np.flatnonzero(~found & (before + k >= 0) & (before + k < len(x)))
+            found[at] = np.einsum("ij,ij->i", partners[at], x[before[at] + k]) >= threshold - SLACK
+        return found
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if tail is None else pa.concat_tables([tail, rows])
-            tail = rows.slice(max(0, rows.num_rows - window))
             rows = rows.combine_chunks()
+            given = rows.column("partner").is_null().to_numpy()
+            # with the vectors that a window reaches back to go the partners that lie among them
+            last = np.flatnonzero(given)[-window:]
+            tail = rows.slice(int(last[0]) if len(last) == window else 0)
             group = pd.MultiIndex.from_arrays([rows.column(c).to_pandas() for c in ("pass", "label", "size")])
             group = pd.factorize(group)[0]
             cid = rows.column("cid").to_numpy()
-            ends_a, ends_b = [], []
+            ends_a, ends_b, found = [], [], []
             for start, stop in _runs(group):
-                x = _matrix(rows.column("embedding").slice(start, stop - start).combine_chunks())
-                for k in range(1, min(window, stop - start - 1) + 1):
-                    at = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) + start
-                    ends_a.append(at)
-                    ends_b.append(at + k)
-            if not ends_a:
-                continue
-            a, b = np.concatenate(ends_a), np.concatenate(ends_b)
-            nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-            root = _roots(len(nodes), both[: len(a)], both[len(a) :])
-            mine = root != np.arange(len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[nodes[mine]]), pa.array(cid[nodes[root[mine]]])], ["a", "b"])
+                part, real = rows.slice(start, stop - start), given[start:stop]
+                here, probes = start + np.flatnonzero(real), start + np.flatnonzero(~real)
+                if not len(here):
+                    continue
+                x = _matrix(part.column("embedding").filter(pa.array(real)).combine_chunks())
+                for k in range(1, min(window, len(here) - 1) + 1):
+                    at = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold)
+                    ends_a.append(cid[here[at]])
+                    ends_b.append(cid[here[at + k]])
+                if len(probes):
+                    partners = _matrix(part.column("partner").filter(pa.array(~real)).combine_chunks())
+                    found.append(cid[probes[met(partners, np.searchsorted(here, probes), x)]])
+            if ends_a:
+                yield _forest(np.concatenate(ends_a), np.concatenate(ends_b))
+            if found:
+                hits = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(hits), pa.nulls(len(hits), pa.int64())], ["a", "b"])
 
     return of
 
@@ -248,14 +290,68 @@ def _unit(v: Column) -> Column:
     return F.get(F.transform(F.array(wide), lambda w: F.transform(w, lambda x: x / norm(w))), F.lit(0))
 
 
-def _components(classes: DataFrame, stash: Stash, threshold: float, passes: int, window: int) -> DataFrame:
+def _whole_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) from comparing all classes of a label with each other, in blocks."""
+    blocks = F.ceil(F.col("rows") / WHOLE_BLOCK).cast("int")
+    placed = classes.select("label", "size", "cid", "embedding", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"))
+    left = placed.select("label", "size", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "cid", "embedding")
+    right = placed.select("label", "size", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), "cid", "embedding")
+    right = right.toDF(*right.columns)  # columns of its own, as Spark needs here
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not len(one) or not len(other):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = (_matrix(t.column("embedding").combine_chunks()) for t in (one, other))
+        a, b = np.nonzero(x @ y.T >= threshold)
+        return pa.Table.from_batches([_forest(one.column("cid").to_numpy()[a], other.column("cid").to_numpy()[b])])
+
+    keys = ["label", "size", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def _links(classes: DataFrame, stash: Stash, threshold: float, passes: int | None, window: int | None) -> Iterator[DataFrame]:
+    """(a, b) of each group of passes: as many as asked for, or until each label has met ``RECALL`` of its partners.
+
+    ``rows`` of a class are its label's; labels that are done go no further.
+    """
     order = ["pass", "label", "size", "key", "tie", "cid"]
-    found = []
-    for first in range(0, passes, PASSES_AT_ONCE):
-        keyed = _keyed(classes, range(first, min(passes, first + PASSES_AT_ONCE)))
-        ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-        found.append(stash.put(ordered.mapInArrow(_window_links(threshold, window), "a long, b long"), "links"))
-    return connected_components(reduce(DataFrame.unionByName, found))
+    kept, width = ["label", "size", "cid", "rows"], window or WINDOWS[0]
+    several = classes.where("rows > 1")
+    due, unmet, done, copies = several, None, 0, 1.0 if passes else 2.0
+    while done < (passes or MOST_PASSES):
+        if passes:
+            probed = due.withColumn("probed", F.lit(False))
+        elif unmet is None:
+            probed = due.withColumn("probed", F.lit(True))
+        else:
+            probed = due.join(unmet.select("cid", F.lit(True).alias("probed")), "cid", "left").withColumn("probed", F.coalesce("probed", F.lit(False)))
+        upto = min(passes or MOST_PASSES, done + int(COPIES_AT_ONCE / copies))
+        ordered = _keyed(probed, range(done, upto), threshold).repartitionByRange(*order).sortWithinPartitions(*order)
+        found = stash.put(ordered.mapInArrow(_window_links(threshold, width), "a long, b long"), "links")
+        yield found.where("b is not null")
+        done = upto
+        if passes:
+            continue
+        hits = found.where("b is null").select(F.col("a").alias("cid"))
+        unmet = stash.put((due if unmet is None else unmet).select(*kept).join(hits, "cid", "left_anti"), "unmet")
+        if done < PASSES:
+            copies = 1 + unmet.count() / max(1, due.count())
+        else:
+            behind = unmet.groupBy("label", "size", "rows").agg(F.count("*").alias("left")).where(F.col("left") > (1 - RECALL) * F.col("rows"))
+            behind = stash.put(behind, "behind")
+            worst = behind.agg(F.max(F.col("left") / F.col("rows"))).first()[0]
+            if worst is None:
+                return
+            if window is None and (worst == 1 or done * math.log(1 - RECALL) / math.log(worst) > MANY):
+                width = WINDOWS[-1]
+            copies = 1 + worst
+            due, unmet = (t.join(behind.select("label", "size"), ["label", "size"], "left_semi") for t in (several, unmet))
+    if not passes:
+        yield stash.put(_whole_links(due, threshold), "whole")
+
+
+def _components(classes: DataFrame, stash: Stash, threshold: float, passes: int | None, window: int | None) -> DataFrame:
+    return connected_components(reduce(DataFrame.unionByName, _links(classes, stash, threshold, passes, window)))
 
 
 def _outside_links(members: DataFrame, threshold: float, stash: Stash) -> DataFrame:
@@ -294,7 +390,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest id reachable), kept (that id is its own).
 
-    Without ``passes`` and ``window`` both follow from how the largest labels' vectors lie.
+    Without ``passes`` each label gets as many as its own vectors need; without ``window`` it follows from how these fare.
     """
     stash = Stash(vectors.sparkSession, "embeddings")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
@@ -307,10 +403,7 @@ def near_duplicates(
         "classes",
     )
     means = _means(classes, stash)
-    if passes is None or window is None:
-        found = passes_for(_samples(classes, means), threshold)
-        passes, window = passes or found[0], window or found[1]
-    centred = classes.join(means.select("label", "size", "mean"), ["label", "size"])
+    centred = classes.join(means, ["label", "size"])
     placed = stash.put(_components(centred, stash, threshold, passes, window).withColumnRenamed("node", "cid"), "placed")
 
     members = stash.put(classes.join(placed, "cid").select("component", "cid", "copies", _unit(F.col("embedding")).alias("unit")), "members")

@@ -210,6 +210,19 @@ def test_passes_follow_rows_and_density():
     assert embeddings.passes_for([]) == (8, 32) and embeddings.passes_for([(20_000, loose), (20_000, close)]) == many
 
 
+@pytest.mark.parametrize("most", [8, embeddings.MOST_PASSES])
+def test_each_label_gets_the_passes_it_needs(spark, monkeypatch, most):
+    """A small label whose vectors lie close together is served beside four larger ones, which a sample of the largest would name."""
+    monkeypatch.setattr(embeddings, "MOST_PASSES", most)
+    rng = np.random.default_rng(5)
+    close, x = vectors_of_one_label(spark, 6000, 1000, 0.85)
+    easy = [(10_000 + k, [float(v) for v in rng.normal(size=8)], 2 + k % 4) for k in range(26_000)]
+    df = close.unionByName(spark.createDataFrame(easy, close.schema))
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).where("vec_id < 2000").collect()}
+    found = sum(got[k] == got[k + 1000] for k in range(1000))
+    assert found > 0.92 * 1000 if most > 8 else found == 1000
+
+
 def judge(url):
     """Host, path and the longest rule, by hand."""
     if url is None or "://" not in url:
