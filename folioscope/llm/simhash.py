@@ -10,11 +10,13 @@ fixed bits, so keys are lengthened with them (``cutting_for``): cut into more se
 three differs by one bit at most, and keys are the variants of every such choice. The links found are
 the same whatever the cutting.
 
-Work on pairs is kept linear in a group of near copies. Every fingerprint is first
-compared with its key's smallest one (the hub); those links form components. Only rows of a
-key that lie outside its hub's component are then compared with the rest of the key, and a
-pair is taken at its first shared key alone. No key is gathered in one task: keys are met
-by joins, which Spark splits where they are skewed, and partial minima.
+Work on pairs is kept linear in a group of near copies. A key of two or three fingerprints, as
+chance makes most, is settled where it is counted: its smallest, its largest and the exclusive or of
+all tell which they are. Under larger keys every fingerprint is first compared with the key's smallest
+one (the hub); those links form components. Only rows of a key that lie outside its hub's component
+are then compared with the rest of the key, and a pair is taken at its first shared key alone. No key
+is gathered in one task: keys are met by joins, which Spark splits where they are skewed, and partial
+aggregates.
 
 Cases: null or empty text, or text without a word, has fingerprint zero and links like any
 other; fewer than four words make one shingle; a null id gets a fingerprint and no
@@ -60,7 +62,12 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: count - 1])).tolist()
     hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have, signed."""
+    octets, count = hashes.view(np.uint8).reshape(-1, 8), len(hashes)
     if count < 1000:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0)
     else:
@@ -172,14 +179,22 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tu
     # a fingerprint becomes many rows: dealt out first, so that no task makes most of them
     dealt = fps.repartition("fp")
     index = dealt.select("fp", F.explode(_variants("fp", masks)).alias("key"))
-    hubs = index.groupBy("key").agg(F.min("fp").alias("hub"))
-    star = index.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select("fp", "hub").distinct()
-    first = stash.put(connected_components(star), "first")
+    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("last"), F.bit_xor("fp").alias("all"))
+    met = met.where("hub < last").withColumn("mid", F.col("all").bitwiseXOR(F.col("hub")).bitwiseXOR(F.col("last")))
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    several = F.when(F.col("n") == 2, F.array(pair("hub", "last"))).when(F.col("n") == 3, F.array(pair("hub", "last"), pair("hub", "mid"), pair("mid", "last")))
+    links = F.filter(several, lambda e: F.bit_count(e["a"].bitwiseXOR(e["b"])) <= max_bits)
+    # of keys with two or three fingerprints only the links are left, and nothing where there is none
+    met = stash.put(met.select("key", "n", "hub", links.alias("links")).where("n > 3 or size(links) > 0"), "met")
+    # written apart, so that Spark sees how few they are
+    heads = stash.put(met.where("n > 3").select("key", "hub"), "heads")
+    crowded = stash.put(index.join(heads, "key"), "crowded")
+    star = crowded.where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    first = stash.put(connected_components(star.unionByName(met.where("n < 4").select(F.explode("links").alias("l")).select("l.a", "l.b")).distinct()), "first")
 
     of_fp = first.select(F.col("node").alias("fp"), F.col("component").alias("own"))
-    owned = dealt.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"))
-    index = owned.select("fp", "own", F.explode(_variants("fp", masks)).alias("key"))
-    # keys of one row or of one component have no pair left to find
+    index = crowded.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"), "key")
+    # keys of one component have no pair left to find
     mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
     placed = stash.put(index.join(mains.select("key", "main"), "key").select("key", "fp", F.nullif("own", "fp").alias("own"), F.nullif("main", "own").alias("main")), "placed")
     own = F.coalesce("own", "fp")

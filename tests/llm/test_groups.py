@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import embeddings, shingles, simhash, urls
 from folioscope.llm.components import connected_components
+from folioscope.llm.util import Stash
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +71,29 @@ def test_cuttings_find_the_same_links(spark, cutting):
     assert {r.fp: r.component for r in got.collect()} == want
 
 
+def test_keys_of_chance_are_settled_where_they_are_counted(spark, monkeypatch):
+    """Rows under keys that two or three random fingerprints share are not written, and a key's links are found for any number."""
+    rng, rows, put = random.Random(8), {}, Stash.put
+
+    def counted(self, df, label):
+        out = put(self, df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Stash, "put", counted)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(30000)]
+    few = fps[:60]
+    for k, fp in enumerate(few):
+        fps += [fp ^ sum(1 << b for b in rng.sample(range(63), 4)) for _ in range(k % 5)]
+    fps = sorted(set(fps))
+    got = simhash.fingerprint_components(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    x = np.array(fps).view(np.uint64)
+    links = [(fps[a], fps[b]) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(x[a] ^ x[a + 1 :]) <= 4) + a + 1]
+    want = groups(fps, links)
+    assert {r.fp: r.component for r in got.collect()} == {f: want[f] for pair in links for f in pair}
+    assert rows["placed"] < 10_000
+
+
 def test_cuttings():
     assert [simhash.cutting_for(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [(3, 1), (3, 1), (5, 2), (6, 3), (6, 3)]
     for cutting in simhash.CUTTINGS:
