@@ -1,12 +1,14 @@
 """Near-dedup by the similarity of whole texts: Jaccard of their sets of 5-word shingles, at least 0.8.
 
-MinHash proposes: ``BANDS`` keys of ``ROWS`` minima each; a pair at exactly 0.8 shares a key
-with a chance of 0.9996. The shingles themselves then decide, so no pair below 0.8 links.
+SimHash with deletion variants (``simhash.py``) proposes first: a class is compared with the first one of
+those whose fingerprints its own reaches by 4 or fewer differing bits. At 0.8 about ten bits differ, so
+MinHash proposes what is still apart: ``BANDS`` keys of ``ROWS`` minima each; a pair at exactly 0.8 shares a
+key with a chance of 0.9996. The shingles themselves decide on both, so no pair below 0.8 links.
 Texts of the same words, case aside, are one class from the start.
 
 Work on pairs is kept linear in a group of near copies: each class is compared with the most central
 class of its keys (the hub), and only what is left apart after that with the rest of the key, if enough
-of its shingles are in another class at all. Pairs whose sizes rule out 0.8, or whose sketches (one bit
+of its shingles are in another class at all, and in one of the other's size. Pairs whose sizes rule out 0.8, or whose sketches (one bit
 of each minimum) differ far more than at 0.8, are left out before any words are fetched; these are kept
 compressed, a copy a class, and the index holds numbers only.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
 from folioscope.llm.packing import slices
-from folioscope.llm.simhash import _LOWER
+from folioscope.llm.simhash import _LOWER, fingerprint_components, majority
 from folioscope.llm.util import Stash, quoted
 
 WIDTH = 5
@@ -57,19 +59,19 @@ def shingles(words: list[bytes]) -> set[bytes]:
     return {joined[a:b] for a, b in zip(starts, (ends[WIDTH - 1 :] - 1).tolist())}
 
 
-def keys(found: set[bytes]) -> tuple[np.ndarray, int, int]:
-    """One key a band, and a sketch: one bit of each minimum, in two numbers."""
+def keys(found: set[bytes]) -> tuple[np.ndarray, int, int, int]:
+    """One key a band, a sketch (one bit of each minimum, in two numbers), and the fingerprint of the shingles."""
     h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
     low = np.array([((h ^ b) * a).min() for a, b in zip(_MIX, _FLIP)], np.uint64)
     mixed = (low ^ low >> np.uint64(29)) * _FOLD
     bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8))
     first, second = np.frombuffer(bits.tobytes().ljust(16, b"\0"), np.int64).tolist()
-    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64), first, second
+    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64), first, second, majority(h)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hash, n, s, t, keys, packed): also a hash of the text's words, how many shingles it has, its sketch, its bands' keys,
-    and the words themselves, compressed."""
+    """(doc_id, hash, n, s, t, fp, keys, packed): also a hash of the text's words, how many shingles it has, its sketch, its fingerprint,
+    its bands' keys, and the words themselves, compressed."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -78,13 +80,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in part.column(1):
                 words = _words(text.as_py())
                 found, joined = shingles(words), b" ".join(words)
-                band, s, t = keys(found)
-                rows.append((xxhash.xxh3_128_digest(joined, SEED), len(found), s, t, band, pack.compress(joined)))
-            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], ["doc_id", "hash", "n", "s", "t", "keys", "packed"])
+                band, s, t, fp = keys(found)
+                rows.append((xxhash.xxh3_128_digest(joined, SEED), len(found), s, t, fp, band, pack.compress(joined)))
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], ["doc_id", "hash", "n", "s", "t", "fp", "keys", "packed"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.where("doc_id is not null").mapInArrow(of, "doc_id long, hash binary, n int, s long, t long, keys array<long>, packed binary")
+    return narrow.where("doc_id is not null").mapInArrow(of, "doc_id long, hash binary, n int, s long, t long, fp long, keys array<long>, packed binary")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def _placed(classes: DataFrame, components: DataFrame, stash: Stash) -> DataFram
 
 
 def _shared_enough(placed: DataFrame, classes: DataFrame, stash: Stash) -> DataFrame:
-    """(cid) of the placed classes that can be similar enough to another one.
+    """(cid, lone) of the placed classes that can be similar enough to another one; lone: shingles that no other placed class has.
 
     Such a class has at least ``PERCENT`` hundredths of its own shingles in common with the other, so not more than the rest
     may be in no other class that is placed. Shingles are counted as hashes; where two meet, a class is left in.
@@ -154,29 +156,44 @@ def _shared_enough(placed: DataFrame, classes: DataFrame, stash: Stash) -> DataF
 
     grams = ids.join(classes.select("cid", "packed"), "cid").select("cid", "packed").mapInArrow(of, "cid long, h long")
     lone = grams.groupBy("h").agg(F.count("*").alias("held"), F.min("cid").alias("cid")).where("held = 1").groupBy("cid").agg(F.count("*").alias("lone"))
-    able = 100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= PERCENT * F.col("n")
-    return stash.put(ids.join(lone, "cid", "left").where(able).select("cid"), "able")
+    counted = ids.join(lone, "cid", "left").select("cid", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+    return stash.put(counted.where(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("cid", "lone"), "able")
+
+
+def _common_enough(a: str, b: str) -> Column:
+    """Whether two classes, structs with n and lone, have enough shingles that they can have in common."""
+    x, y = F.col(a), F.col(b)
+    most = F.least(x["n"] - x["lone"], y["n"] - y["lone"])
+    return 100 * most >= PERCENT * (x["n"] + y["n"] - most)
 
 
 def class_components(classes: DataFrame, stash: Stash) -> DataFrame:
     """(node, component) of the classes that have a link to another; ``component`` is one of its classes.
 
-    First every class is compared with the most central one under each of its keys (the one that shares its keys with most
-    others: of texts that were changed here and there the one without changes); then all classes under a key that are still
-    in different components, as far as ``_shared_enough`` leaves them.
+    First classes whose fingerprints are linked are compared with the first of these. Then every class is compared with the most
+    central one under each of its keys (the one that shares its keys with most others: of texts that were changed here and there
+    the one without changes); then all classes under a key that are still in different components, as far as
+    ``_shared_enough`` and ``_common_enough`` leave them.
     """
     pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
-    index = classes.select("cid", F.explode("keys").alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "rows")
-    shared = stash.put(index.join(sizes, "key"), "shared")
+    near = fingerprint_components(stash.put(classes.select("fp").distinct(), "prints")).withColumnRenamed("component", "reached")
+    grouped = classes.select("cid", "fp").join(near, "fp", "left").select("cid", F.coalesce("reached", "fp").alias("group"))
+    ahead = grouped.groupBy("group").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("group", "first")
+    links = _linked(grouped.join(ahead, "group").where("cid <> first").select(*pair("cid", "first")), classes, stash)
+    early = stash.put(connected_components(links), "early").select(F.col("node").alias("cid"), F.col("component").alias("own"))
+
+    index = classes.select("cid", "keys").join(early, "cid", "left").select("cid", F.coalesce("own", "cid").alias("own"), F.explode("keys").alias("key"))
+    sizes = index.groupBy("key").agg(F.count("*").alias("rows"), F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("key", "rows")
+    shared = stash.put(index.join(stash.put(sizes, "sizes"), "key"), "shared")
     central = shared.groupBy("cid").agg(F.sum("rows").alias("met"))
-    hubs = shared.join(central, "cid").groupBy("key").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub"))
-    star = shared.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(*pair("cid", "hub"))
-    links = _linked(star, classes, stash)
+    hubs = shared.join(central, "cid").groupBy("key").agg(F.max_by(F.struct("cid", "own"), F.struct("met", -F.col("cid"))).alias("hub"))
+    star = shared.join(hubs, "key").where(F.col("own") != F.col("hub.own")).select(*pair("cid", "hub.cid"))
+    links = links.unionByName(_linked(star, classes, stash))
 
     placed = _placed(classes, stash.put(connected_components(links), "first"), stash)
     alive = _shared_enough(placed, classes, stash)
-    placed = stash.put(placed.join(alive, F.col("c.cid") == F.col("cid"), "left_semi"), "alive")
+    held = F.struct("c.cid", "c.n", "c.s", "c.t", "lone").alias("c")
+    placed = stash.put(placed.join(alive, F.col("c.cid") == F.col("cid")).select("key", held, "own", "main"), "alive")
     strays = placed.where("own <> main").select("key", F.col("c").alias("a"), F.col("own").alias("own_a"))
     rest = placed.select(F.col("key").alias("key_b"), F.col("c").alias("b"), F.col("own").alias("own_b"), "main")
     pairs = strays.join(
@@ -184,7 +201,8 @@ def class_components(classes: DataFrame, stash: Stash) -> DataFrame:
         (F.col("key") == F.col("key_b"))
         & (F.col("own_a") != F.col("own_b"))
         & ((F.col("own_b") == F.col("main")) | (F.col("own_a") < F.col("own_b")))
-        & _allowed("a", "b"),
+        & _allowed("a", "b")
+        & _common_enough("a", "b"),
     )
     return connected_components(links.unionByName(_linked(pairs.select(*pair("a.cid", "b.cid")), classes, stash)))
 
@@ -193,7 +211,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, component_id) of every row with an id; component_id is the smallest doc_id reachable by links."""
     stash = Stash(docs.sparkSession, "shingles")
     seen = stash.put(_classes(docs, id_col, text_col), "seen")
-    classes = seen.groupBy("hash").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "s", "t", "keys", "packed")])
+    classes = seen.groupBy("hash").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "s", "t", "fp", "keys", "packed")])
     classes = stash.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     linked = stash.put(class_components(classes, stash).withColumnRenamed("node", "cid"), "components")
     lows = linked.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("reached"))
@@ -204,6 +222,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of every group, with the columns it came with; rows without an id stay."""
-    kept = similar_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = similar_components(docs, id_col, text_col).groupBy(F.col("doc_id").alias(id_col))
+    found = found.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count("*") > 1).alias("repeated")).where("kept")
+    # whole texts are shuffled only where an id repeats
+    own = [F.col(f"d.{quoted(c)}") for c in docs.columns]
+    named = docs.where(F.col(id_col).isNotNull()).alias("d").join(found.alias("f"), F.col(f"d.{quoted(id_col)}") == F.col(f"f.{quoted(id_col)}"))
+    once, again = (named.where(which).select(*own) for which in (~F.col("f.repeated"), F.col("f.repeated")))
+    return once.unionByName(again.dropDuplicates([id_col])).unionByName(docs.where(F.col(id_col).isNull()))

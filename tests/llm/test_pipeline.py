@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import quality, queries, secrets, simhash, toxicity
+from folioscope.llm import quality, queries, secrets, shingles, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,6 +88,34 @@ def test_near_dedup_stage(spark):
     assert sorted(i for i in got if i is not None) == sorted(i for i in group if group[i] == i)
 
 
+def test_near_dedup_by_simhash_and_by_what_can_be_common(spark, monkeypatch):
+    """Fingerprints' deletion variants propose in the stage, and of texts that are each like none few pairs meet."""
+    rng, words, seen, met = random.Random(6), [f"w{k}" for k in range(3000)], [], []
+    base, texts = rng.choices(words, k=400), []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(400), 11 if k else 0):
+            copy[at] = f"new{k}at{at}"
+        texts.append(" ".join(copy[: 400 - 8 * (k % 2)]))
+    find, put = shingles.fingerprint_components, shingles.Stash.put
+    monkeypatch.setattr(shingles, "fingerprint_components", lambda fps: seen.append(fps.count()) or find(fps))
+
+    def counted(self, df, label):
+        out = put(self, df, label)
+        if label == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles.Stash, "put", counted)
+    texts = texts[1:120]  # the one that all are like is not there
+    sets = [shingles.shingles(t.encode().split()) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    assert not any(alike(a, b) for a, b in itertools.combinations(sets, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.drop_similar(spark, docs, SF).count() == len(texts)
+    assert seen and seen[0] > 1 and met[-1] < 100
+
+
 def test_secrets_stage(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     spans = {r.doc_id: r.spans for r in secrets.scan_secrets(documents).collect()}
