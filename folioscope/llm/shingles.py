@@ -19,6 +19,8 @@ one shingle; rows without an id stay; of rows that repeat an id one stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ SEED = 17
 MOST_BITS = 22
 #: Pairs of one hub that meet in one place, and bytes of text that a task works on at once.
 BLOCK, SLICE_BYTES = 256, 4 << 20
+#: Numbers of 64 bits that map a class's shingles where classes are still apart: with a bit or more a shingle they tell pairs apart well.
+MAP_LONGS = 16
+MAPS = [f"m{k}" for k in range(MAP_LONGS)]
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**63, size=(3, BANDS * ROWS), dtype=np.uint64)
 _MIX, _FLIP, _FOLD = _DRAWN[0] << np.uint64(1) | np.uint64(1), _DRAWN[1] << np.uint64(1), _DRAWN[2] << np.uint64(1) | np.uint64(1)
@@ -160,10 +165,31 @@ def _shared_enough(placed: DataFrame, classes: DataFrame, stash: Stash) -> DataF
     return stash.put(counted.where(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("cid", "lone"), "able")
 
 
+def _mapped(able: DataFrame, classes: DataFrame, stash: Stash) -> DataFrame:
+    """(cid, lone, map): also ``MAP_LONGS`` numbers with one bit set for each shingle, by its hash."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            maps = np.zeros((len(batch), MAP_LONGS * 64), np.uint8)
+            for k in range(len(batch)):
+                found = shingles(unpack.decompress(batch.column(2)[k].as_py()).split())
+                maps[k, [xxhash.xxh64_intdigest(x, SEED) % (MAP_LONGS * 64) for x in found]] = 1
+            longs = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(longs[:, k]) for k in range(MAP_LONGS))], ["cid", "lone", *MAPS])
+
+    known = able.join(classes.select("cid", "packed"), "cid").select("cid", "lone", "packed")
+    return stash.put(known.mapInArrow(of, f"cid long, lone long, {', '.join(f'{m} long' for m in MAPS)}"), "maps")
+
+
 def _common_enough(a: str, b: str) -> Column:
-    """Whether two classes, structs with n and lone, have enough shingles that they can have in common."""
+    """Whether two classes, structs with n, lone and maps, have enough shingles that they can have in common.
+
+    Neither lone shingles nor those behind bits that the other's map lacks are; so no pair that is alike enough is left out.
+    """
     x, y = F.col(a), F.col(b)
-    most = F.least(x["n"] - x["lone"], y["n"] - y["lone"])
+    apart = lambda u, v: reduce(add, (F.bit_count(u[m].bitwiseAND(F.bitwise_not(v[m]))) for m in MAPS))
+    most = F.least(x["n"] - x["lone"], y["n"] - y["lone"], x["n"] - apart(x, y), y["n"] - apart(y, x))
     return 100 * most >= PERCENT * (x["n"] + y["n"] - most)
 
 
@@ -191,8 +217,8 @@ def class_components(classes: DataFrame, stash: Stash) -> DataFrame:
     links = links.unionByName(_linked(star, classes, stash))
 
     placed = _placed(classes, stash.put(connected_components(links), "first"), stash)
-    alive = _shared_enough(placed, classes, stash)
-    held = F.struct("c.cid", "c.n", "c.s", "c.t", "lone").alias("c")
+    alive = _mapped(_shared_enough(placed, classes, stash), classes, stash)
+    held = F.struct("c.cid", "c.n", "c.s", "c.t", "lone", *MAPS).alias("c")
     placed = stash.put(placed.join(alive, F.col("c.cid") == F.col("cid")).select("key", held, "own", "main"), "alive")
     strays = placed.where("own <> main").select("key", F.col("c").alias("a"), F.col("own").alias("own_a"))
     rest = placed.select(F.col("key").alias("key_b"), F.col("c").alias("b"), F.col("own").alias("own_b"), "main")

@@ -113,7 +113,7 @@ def test_near_dedup_by_simhash_and_by_what_can_be_common(spark, monkeypatch):
     assert not any(alike(a, b) for a, b in itertools.combinations(sets, 2))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert corpus_pipeline.drop_similar(spark, docs, SF).count() == len(texts)
-    assert seen and seen[0] > 1 and met[-1] < 100
+    assert seen and seen[0] > 1 and met[-1] < 10
 
 
 def test_secrets_stage(spark):
