@@ -2,21 +2,23 @@
 
 Fingerprints: XXH64 (seed 42) of 4-word shingles, one bit each where over half the
 shingles have it. Two fingerprints link if at most ``MAX_BITS`` of 64 bits differ. Cut into
-three segments, one of them then differs by one bit at most, so both have a variant of that
-segment with the same bit wiped: 64 variants per distinct fingerprint are the index keys.
+three segments, one of them then differs by one bit at most, so both have that segment itself or a
+variant of it with the same bit wiped: 3 segments and 64 variants per distinct fingerprint are the index
+keys. Equal segments meet under the segment alone: under a variant only rows that differ in the wiped bit
+are compared, and a variant whose rows agree in it is left out.
 
 Chance candidates grow with the square of the distinct fingerprints over two to the power of a key's
 fixed bits, so keys are lengthened with them (``cutting_for``): cut into more segments, some choice of two or
 three differs by one bit at most, and keys are the variants of every such choice. The links found are
 the same whatever the cutting.
 
-Work on pairs is kept linear in a group of near copies. A key of two or three fingerprints, as
-chance makes most, is settled where it is counted: its smallest, its largest and the exclusive or of
-all tell which they are. Under larger keys every fingerprint is first compared with the key's smallest
-one (the hub); those links form components. Only rows of a key that lie outside its hub's component
-are then compared with the rest of the key, and a pair is taken at its first shared key alone. No key
-is gathered in one task: keys are met by joins, which Spark splits where they are skewed, and partial
-aggregates.
+A key of two or three fingerprints, as chance makes most, is settled where it is counted: its smallest,
+its largest and the exclusive or of all tell which they are. Under larger keys every fingerprint is first
+compared with the key's smallest one (the hub); those links form components. Only rows of a key that lie
+outside its hub's component are then compared with the rest of the key, and a pair is taken under the
+first piece it shares alone. So a group that its hubs reach takes work in proportion; what no hub reaches
+is compared pair by pair under the keys it shares. No key is gathered in one task: keys are met by joins,
+which Spark splits where they are skewed, and partial aggregates.
 
 Cases: null or empty text, or text without a word, has fingerprint zero and links like any
 other; fewer than four words make one shingle; a null id gets a fingerprint and no
@@ -134,35 +136,44 @@ def _packed(value: Column, mask: int) -> Column:
     return out
 
 
-#: A key's lower bits hold its piece's bits, the upper ones its number.
-KEY_BITS = 32
+#: A key's lower bits hold its piece's bits (33 at most), the next ones the wiped bit, the upper ones the piece's number.
+KEY_BITS = 40
+WIPED_BITS = 7
+#: In place of the wiped bit, where a key is the piece as it is.
+WHOLE = BITS
 
 
 def _variants(fp: str, masks: list[int]) -> Column:
-    """Keys: (piece, wiped bit) above the piece's other bits."""
+    """Keys: (piece, wiped bit or none) above the piece's other bits."""
     keys = []
-    for mask in masks:
-        bits, first = bin(mask).count("1"), len(keys)
-        piece = _packed(F.col(fp), mask)
-        for k in range(bits):
-            keys.append(F.lit((first + k) << KEY_BITS).cast("long").bitwiseOR(piece.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << k)).cast("long"))))
+    for number, mask in enumerate(masks):
+        piece, kept = _packed(F.col(fp), mask), (1 << bin(mask).count("1")) - 1
+        places = [bit for bit in range(BITS) if mask >> bit & 1]
+        for wiped, others in [(WHOLE, kept), *((bit, kept & ~(1 << k)) for k, bit in enumerate(places))]:
+            top = (number << WIPED_BITS | wiped) << KEY_BITS
+            keys.append(F.lit(top).cast("long").bitwiseOR(piece.bitwiseAND(F.lit(others).cast("long"))))
     return F.array(*keys)
 
 
+def _wiped(key: str) -> Column:
+    return F.shiftrightunsigned(key, KEY_BITS).bitwiseAND(F.lit((1 << WIPED_BITS) - 1)).cast("int")
+
+
+def _at(value: str, bit: Column) -> Column:
+    return F.call_function("shiftright", F.col(value), bit).bitwiseAND(F.lit(1)).cast("int")
+
+
 def _differing(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _first_shared_key(a: str, b: str, masks: list[int]) -> Column:
-    """The number of the first variant that a pair within the bits of a cutting shares."""
+def _first_shared_piece(a: str, b: str, masks: list[int]) -> Column:
+    """The number of the first piece in which a pair within the bits of a cutting differs by one bit at most."""
     x = F.col(a).bitwiseXOR(F.col(b))
     out: Column = F.lit(-1)
-    start = sum(bin(m).count("1") for m in masks)
-    for mask in reversed(masks):
-        start -= bin(mask).count("1")
-        part = _packed(x, mask)
-        at = F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
-        out = F.when(F.bit_count(part) <= 1, F.lit(start) + at).otherwise(out)
+    for number, mask in reversed(list(enumerate(masks))):
+        under = x.bitwiseAND(F.lit(mask - (1 << BITS) if mask >> BITS - 1 else mask).cast("long"))
+        out = F.when(F.bit_count(under) <= 1, F.lit(number)).otherwise(out)
     return out
 
 
@@ -179,8 +190,12 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tu
     # a fingerprint becomes many rows: dealt out first, so that no task makes most of them
     dealt = fps.repartition("fp")
     index = dealt.select("fp", F.explode(_variants("fp", masks)).alias("key"))
-    met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("last"), F.bit_xor("fp").alias("all"))
-    met = met.where("hub < last").withColumn("mid", F.col("all").bitwiseXOR(F.col("hub")).bitwiseXOR(F.col("last")))
+    met = index.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("last"), F.bit_xor("fp").alias("all"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("each")
+    )
+    # rows that agree in the wiped bit have an equal piece, and meet under that
+    parted = (_wiped("key") == WHOLE) | (_at("some", _wiped("key")) != _at("each", _wiped("key")))
+    met = met.where("hub < last").where(parted).withColumn("mid", F.col("all").bitwiseXOR(F.col("hub")).bitwiseXOR(F.col("last")))
     pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     several = F.when(F.col("n") == 2, F.array(pair("hub", "last"))).when(F.col("n") == 3, F.array(pair("hub", "last"), pair("hub", "mid"), pair("mid", "last")))
     links = F.filter(several, lambda e: F.bit_count(e["a"].bitwiseXOR(e["b"])) <= max_bits)
@@ -192,22 +207,24 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, cutting: tu
     star = crowded.where((F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= max_bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     first = stash.put(connected_components(star.unionByName(met.where("n < 4").select(F.explode("links").alias("l")).select("l.a", "l.b")).distinct()), "first")
 
+    # a key's main component is its hub's
     of_fp = first.select(F.col("node").alias("fp"), F.col("component").alias("own"))
-    index = crowded.join(of_fp, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own"), "key")
-    # keys of one component have no pair left to find
-    mains = index.groupBy("key").agg(F.min_by("own", "fp").alias("main"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
-    placed = stash.put(index.join(mains.select("key", "main"), "key").select("key", "fp", F.nullif("own", "fp").alias("own"), F.nullif("main", "own").alias("main")), "placed")
-    own = F.coalesce("own", "fp")
-    shared = placed.select("key", "fp", own.alias("own"), F.coalesce(F.col("main"), own).alias("main"))
-    strays = shared.where("own <> main").select("key", F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
-    rest = shared.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
+    of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    placed = crowded.join(of_fp, "fp", "left").join(of_hub, "hub", "left")
+    placed = stash.put(placed.select("key", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("main", "hub").alias("main")), "placed")
+    wiped = _wiped("key")
+    side = F.when(wiped == WHOLE, 0).otherwise(_at("fp", wiped))
+    other = F.when(wiped == WHOLE, 0).otherwise(1 - _at("fp", wiped))
+    strays = placed.where("own <> main").select("key", other.alias("side"), F.col("fp").alias("fp_a"), F.col("own").alias("own_a"))
+    rest = placed.select(F.col("key").alias("key_b"), side.alias("side_b"), F.col("fp").alias("fp_b"), F.col("own").alias("own_b"), "main")
     pairs = strays.join(
         rest,
         (F.col("key") == F.col("key_b"))
+        & (F.col("side") == F.col("side_b"))
         & (F.col("own_a") != F.col("own_b"))
         & ((F.col("own_b") == F.col("main")) | (F.col("own_a") < F.col("own_b")))
         & (_differing("fp_a", "fp_b") <= max_bits)
-        & (F.shiftrightunsigned("key", KEY_BITS) == _first_shared_key("fp_a", "fp_b", masks)),
+        & (F.shiftrightunsigned("key", KEY_BITS + WIPED_BITS) == _first_shared_piece("fp_a", "fp_b", masks)),
     )
     second = stash.put(connected_components(pairs.select("own_a", "own_b")), "second")
     stash.drop(placed)

@@ -94,6 +94,31 @@ def test_keys_of_chance_are_settled_where_they_are_counted(spark, monkeypatch):
     assert rows["placed"] < 10_000
 
 
+def test_an_equal_piece_is_met_once(spark, monkeypatch):
+    """Fingerprints with an equal segment meet under it alone, not under its 21 variants too."""
+    rng, rows, put = random.Random(21), {}, Stash.put
+
+    def counted(self, df, label):
+        out = put(self, df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Stash, "put", counted)
+    fps = [rng.getrandbits(42) << 21 | 0x15A5A5 for _ in range(200)]
+    fps = sorted({*fps, *(fp ^ sum(1 << b for b in rng.sample(range(21, 63), 1 + k % 5)) for k, fp in enumerate(fps[:80]))})
+    edges = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    got = simhash.fingerprint_components(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    assert {r.fp: r.component for r in got.collect()} == groups({n for e in edges for n in e}, edges)
+    assert rows["crowded"] < 3 * len(fps)
+
+
+def test_keys_keep_their_number(spark):
+    """Pieces of 33 bits, the highest of them set, don't reach into the number of the variant."""
+    masks = simhash.pieces((6, 3))
+    keys = spark.createDataFrame([(-1,)], "fp long").select(simhash._variants("fp", masks)).first()[0]
+    assert max(bin(m).count("1") for m in masks) == 33 and len({k >> simhash.KEY_BITS for k in keys}) == len(keys)
+
+
 def test_cuttings():
     assert [simhash.cutting_for(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [(3, 1), (3, 1), (5, 2), (6, 3), (6, 3)]
     for cutting in simhash.CUTTINGS:
