@@ -35,13 +35,17 @@ MILLION = 1_000_000
 #: Signs of scripts without spaces: kana, ideographs, hangul.
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 RUN = rf"[{CJK}]+|[\p{{L}}\p{{M}}\p{{N}}&&[^{CJK}]]+"
+#: What runs are where a text has no such sign.
+PLAIN = r"[\p{L}\p{M}\p{N}]+"
 
 
 def terms(text: Column) -> Column:
     """The terms of a text in order, with repeats; none for a null text."""
     pairs = lambda run: F.regexp_extract_all(run, F.lit("(?s)(?=(..))"), F.lit(1))
     cut = lambda run: F.when(run.rlike(f"^[{CJK}]") & (F.char_length(run) > 1), pairs(run)).otherwise(F.array(run))
-    return F.coalesce(F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0)), cut)), F.array().cast("array<string>"))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0)), cut))
+    plain = F.regexp_extract_all(F.lower(text), F.lit(PLAIN), F.lit(0))
+    return F.coalesce(F.when(F.lower(text).rlike(f"[{CJK}]"), mixed).otherwise(plain), F.array().cast("array<string>"))
 
 
 def _saturated(tf: Column, n: Column, docs: Column, words: Column) -> Column:
